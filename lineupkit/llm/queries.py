@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lineupkit.llm.line_dedup import OP8_SQL, op8_line_dedup
+from lineupkit.llm.mixing import op3_mix_quotas
 from lineupkit.llm.packing import op9_pack_tiers
 from lineupkit.llm.token_files import op2_token_wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_wavelet": op2_token_wavelet,
+    "op3_mix_quotas": op3_mix_quotas,
+    "op8_line_dedup": op8_line_dedup,
     "op9_pack_tiers": op9_pack_tiers,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op8_line_dedup": OP8_SQL}
