@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lineupkit.llm.jaccard_join import op6_ngram_jaccard
 from lineupkit.llm.language_id import op4_byte_cnn
 from lineupkit.llm.line_dedup import OP8_SQL, op8_line_dedup
 from lineupkit.llm.mixing import op3_mix_quotas
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mix_quotas": op3_mix_quotas,
     "op4_byte_cnn": op4_byte_cnn,
     "op5_prefix_counts": op5_prefix_counts,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
     "op8_line_dedup": op8_line_dedup,
     "op9_pack_tiers": op9_pack_tiers,
 }
