@@ -8,11 +8,15 @@ encoded together by the library.
 from __future__ import annotations
 
 import os
+from itertools import islice
 
 import numpy as np
 
-#: Words kept in a worker's table before it starts afresh, and the longest word that is kept.
-MAX_WORDS, MAX_WORD = 1_000_000, 64
+#: Words kept in a worker's table before it drops the later half, and the longest word that is kept.
+MAX_WORDS, MAX_WORD = 1_200_000, 64
+
+#: Marks that are a token of their own after a letter.
+MARKS = ".,|!?;:"
 
 _encoders: dict[str, WordEncoder] = {}
 
@@ -24,6 +28,10 @@ def default_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _is_plain(word: str) -> bool:
+    return word.isalpha() and word.islower() and (word.isascii() or max(word) <= "\xff")
+
+
 class _Table(dict):
     """word -> ids as bytes; an unknown word gets an empty slot that is filled later."""
 
@@ -67,13 +75,11 @@ class WordEncoder:
     def _letters(self, words: list[str]) -> list[bytes]:
         """Ids of words of lower-case letters: each ends at the token that carries the end mark."""
         out: list[bytes] = []
-        for at in range(0, len(words), 2000):
-            part = words[at : at + 2000]
-            ids = np.array(self.plain.encode(" ".join(part), add_special_tokens=False).ids, np.uint16)
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            assert len(stops) == len(part)
+        texts = [" ".join(words[at : at + 500]) for at in range(0, len(words), 500)]
+        for found in self.plain.encode_batch_fast(texts, add_special_tokens=False):
+            ids = np.array(found.ids, np.uint16)
             raw, last = ids.tobytes(), 0
-            for stop in (stops * 2).tolist():
+            for stop in (np.flatnonzero(self.ends[ids]) * 2 + 2).tolist():
                 out.append(raw[last:stop])
                 last = stop
         return out
@@ -81,9 +87,17 @@ class WordEncoder:
     def _fill(self) -> None:
         table, todo = self.table, self.table.pending
         table.pending = []
-        plain = [w for w in todo if w.isalpha() and w.islower() and (w.isascii() or max(w) <= "\xff")]
-        for word, ids in zip(plain, self._letters(plain), strict=True):
-            table[word] += ids
+        marked = [w for w in todo if w[-1] in MARKS and _is_plain(w[:-1])]
+        plain = [w for w in todo if w[-1] not in MARKS and _is_plain(w)]
+        known = set(plain)
+        stems = [w for w in {m[:-1] for m in marked} if w not in known and not table.get(w)]
+        fresh = dict(zip(plain + stems, self._letters(plain + stems), strict=True))
+        for word in plain:
+            table[word] += fresh[word]
+        marks = {m: self._library([m])[0] for m in {w[-1] for w in marked}}
+        for word in marked:
+            stem = word[:-1]
+            table[word] += (fresh.get(stem) or bytes(table[stem])) + marks[word[-1]]
         other = [w for w in todo if not table[w]]
         for word, ids in zip(other, self._library(other) if other else [], strict=True):
             table[word] += ids
@@ -96,9 +110,11 @@ class WordEncoder:
     def _words(text: str) -> list[str]:
         """The words; Latin-1 text is in normal form already, so it may be lower-cased at once."""
         text = text.replace("\n", " ")
-        if text.isascii() or max(text) <= "\xff":
-            text = text.lower()
-        return text.split(" ")
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text.split(" ")
+        return text.lower().split(" ")
 
     def encode(self, texts: list[str | None], end: int) -> list[bytes]:
         """The ids of each text and ``end`` after them, as little-endian uint16; null is empty."""
@@ -107,9 +123,10 @@ class WordEncoder:
         if self.table.pending or self.table.loose:
             self._fill()
         out = [b"".join(p) + stop for p in parts]
-        if len(self.table) > MAX_WORDS:
-            self.table = _Table()
-            self.table[""] = b""
+        if len(self.table) > MAX_WORDS:  # the words met first are the frequent ones
+            kept = _Table()
+            kept.update(islice(self.table.items(), MAX_WORDS // 2))
+            self.table = kept
         return out
 
 

@@ -1,8 +1,9 @@
 """Operator 2: token ids in binary shards, each one compressed wavelet-matrix record.
 
 Documents are put in ascending ``doc_id`` order by a range shuffle; each task encodes its documents and
-closes a shard whenever it holds ``shard_tokens`` ids.  Spark's own Parquet writer commits the shards
-(one record a file), so any file system works and a lost executor only repeats its task.
+closes a shard whenever it holds ``shard_tokens`` ids (a size at which a plane is partitioned within the
+processor's cache).  Spark's own Parquet writer commits the shards, one record each and one file a
+task, so any file system works and a lost executor only repeats its task.
 
 Nulls and edge cases: a null text has the end id alone; null doc_ids come first; repeated doc_ids
 stay side by side, one result row each; an empty table writes no shard and reads back as no rows;
@@ -28,7 +29,7 @@ _SHARD = "part int, seq int, first_doc long, n_docs long, n_tokens long, wavelet
 
 
 def write_shards(
-    docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = 2, shard_tokens: int = 8_000_000
+    docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = 2, shard_tokens: int = 1_000_000
 ) -> None:
     """Encode ``docs`` (doc_id, text) and write its shards below ``path`` in doc_id order."""
     vocabulary = vocabulary or bpe_words.default_path()
@@ -63,7 +64,7 @@ def write_shards(
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     out = ordered.mapInPandas(shards, _SHARD)
-    out.write.option("maxRecordsPerFile", 1).option("compression", "none").parquet(path)
+    out.write.option("compression", "none").parquet(path)
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
@@ -94,7 +95,7 @@ def read_documents(shards: DataFrame) -> DataFrame:
                 yield pd.DataFrame(columns | {"n_tokens": shard.lengths, "ids_crc32": sums})
 
     kind = "part int, seq int, doc_id long, at long, n_tokens long, ids_crc32 long"
-    # Batches of one record: a record is tens of MB, and a batch must fit the worker.
+    # Batches of one record: a record is a few MB, and a batch must fit the worker.
     found = shards.select("part", "seq", "wavelet").mapInPandas(decode, kind)
     placed = found.join(shard_starts(shards), ["part", "seq"])
     return placed.select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")

@@ -32,7 +32,10 @@ def build(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int], width:
         bits = (seq & seq.dtype.type(1 << level)) != 0
         out.append(_pack(np.packbits(bits).tobytes()))
         if level:
-            seq = np.concatenate([seq[~bits], seq[bits]])
+            parted, zeros = np.empty_like(seq), len(seq) - int(np.count_nonzero(bits))
+            np.compress(~bits, seq, out=parted[:zeros])
+            np.compress(bits, seq, out=parted[zeros:])
+            seq = parted
     return b"".join(out)
 
 
