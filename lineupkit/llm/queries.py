@@ -11,6 +11,7 @@ from lineupkit.llm.language_id import op4_byte_cnn
 from lineupkit.llm.line_dedup import OP8_SQL, op8_line_dedup
 from lineupkit.llm.mixing import op3_mix_quotas
 from lineupkit.llm.packing import op9_pack_tiers
+from lineupkit.llm.pii import op7_surrogates
 from lineupkit.llm.token_counts import op5_prefix_counts
 from lineupkit.llm.token_files import op2_token_wavelet
 
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_byte_cnn": op4_byte_cnn,
     "op5_prefix_counts": op5_prefix_counts,
     "op6_ngram_jaccard": op6_ngram_jaccard,
+    "op7_surrogates": op7_surrogates,
     "op8_line_dedup": op8_line_dedup,
     "op9_pack_tiers": op9_pack_tiers,
 }
