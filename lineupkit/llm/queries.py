@@ -14,8 +14,11 @@ from lineupkit.llm.packing import op9_pack_tiers
 from lineupkit.llm.pii import op7_surrogates
 from lineupkit.llm.token_counts import op5_prefix_counts
 from lineupkit.llm.token_files import op2_token_wavelet
+from lineupkit.llm.vector_dedup import op1_hnsw_dedup
+from lineupkit.llm.vector_search import op10_rp_forest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_hnsw_dedup": op1_hnsw_dedup,
     "op2_token_wavelet": op2_token_wavelet,
     "op3_mix_quotas": op3_mix_quotas,
     "op4_byte_cnn": op4_byte_cnn,
@@ -24,5 +27,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_surrogates": op7_surrogates,
     "op8_line_dedup": op8_line_dedup,
     "op9_pack_tiers": op9_pack_tiers,
+    "op10_rp_forest": op10_rp_forest,
 }
 SQL: dict[str, str] = {"op8_line_dedup": OP8_SQL}
