@@ -13,7 +13,7 @@ from itertools import islice
 import numpy as np
 
 #: Words kept in a worker's table before it drops the later half, and the longest word that is kept.
-MAX_WORDS, MAX_WORD = 1_200_000, 64
+MAX_WORDS, MAX_WORD = 900_000, 64
 
 #: Marks that are a token of their own after a letter.
 MARKS = ".,|!?;:"
@@ -38,6 +38,7 @@ class _Table(dict):
     def __init__(self) -> None:
         super().__init__()
         self.pending: list[str] = []
+        self.fresh: list[str] = []
         self.loose: dict[str, bytearray] = {}
 
     def __missing__(self, word: str) -> bytearray:
@@ -48,6 +49,12 @@ class _Table(dict):
         self.pending.append(word)
         return slot
 
+    def settle(self) -> None:
+        """Filled slots become plain bytes, which take half the room."""
+        for word in self.fresh:
+            self[word] = bytes(self[word])
+        self.fresh = []
+
 
 class WordEncoder:
     """Encode texts to arrays of uint16 ids (the vocabulary has fewer than 65,536 entries)."""
@@ -86,7 +93,7 @@ class WordEncoder:
 
     def _fill(self) -> None:
         table, todo = self.table, self.table.pending
-        table.pending = []
+        table.pending, table.fresh = [], todo
         marked = [w for w in todo if w[-1] in MARKS and _is_plain(w[:-1])]
         plain = [w for w in todo if w[-1] not in MARKS and _is_plain(w)]
         known = set(plain)
@@ -123,6 +130,7 @@ class WordEncoder:
         if self.table.pending or self.table.loose:
             self._fill()
         out = [b"".join(p) + stop for p in parts]
+        self.table.settle()
         if len(self.table) > MAX_WORDS:  # the words met first are the frequent ones
             kept = _Table()
             kept.update(islice(self.table.items(), MAX_WORDS // 2))

@@ -8,9 +8,10 @@
 3. In every posting list the members are compared with one leader (a star, not all pairs), through the
    length, positional and suffix filters, and each surviving pair is verified once on the full sets.
    Verified links are joined to components.
-4. Lists that still hold several components have all their pairs across components examined the
-   same way, members of a list's main component against the others.  A pair inside a component
-   needs no check, so components are exact and a group of near copies costs stars, not squares.
+4. In lists that still hold several components, everyone outside the main one is compared with one of
+   its members, in a few rounds; then all pairs across components that are left are examined.  A pair
+   inside a component needs no check, so components are exact and a group of near copies costs
+   stars, not squares.
 
 The suffix filter bounds the overlap by the two sets' histograms over 256 ranges of the hash.  Sets
 are recomputed from the text for the classes in surviving pairs alone, which a bitmap of fixed size
@@ -34,6 +35,7 @@ from pyspark.sql import functions as F
 
 from lineupkit.llm.components import components
 from lineupkit.llm.shingles import batch_sets, set_id
+from lineupkit.llm.workers import release
 from lineupkit.runtime import stash, table
 
 _CELL_BITS, _BLOCK = 20, 1 << 12
@@ -51,6 +53,7 @@ def _frequencies(docs: DataFrame, n: int) -> np.ndarray:
         for batch in batches:
             for own in batch_sets(batch.column(0), n):
                 np.add.at(cells, (own >> np.uint64(64 - _CELL_BITS)).astype(np.int64), 1)
+        release()
         press = zstandard.ZstdCompressor(level=1)
         blocks = [k for k in range(len(cells) // _BLOCK) if cells[k * _BLOCK : (k + 1) * _BLOCK].any()]
         data = [press.compress(cells[k * _BLOCK : (k + 1) * _BLOCK].tobytes()) for k in blocks]
@@ -79,7 +82,7 @@ def _frequencies(docs: DataFrame, n: int) -> np.ndarray:
 def _profiles(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Per document: doc_id, n, sid (identity of its set), ranked prefix, histogram over ranges."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(_frequencies(docs, n).astype(np.int64))
+    shared = spark.sparkContext.broadcast(_frequencies(docs, n).astype(np.uint32))
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
@@ -99,6 +102,7 @@ def _profiles(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64())]
                 columns += [pa.array(prefixes, pa.list_(pa.int64())), pa.array(ranges, pa.list_(pa.int16()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "sid", "prefix", "ranges"])
+        release()
 
     kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, sid long, prefix array<long>, ranges array<short>"
     return docs.mapInArrow(profile, kinds)
@@ -134,6 +138,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                 columns = [some.column("doc_id"), pa.array([set_id(x) for x in found], pa.int64())]
                 columns.append(pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays(columns, names=["label", "sid", "shingles"])
+        release()
 
     rows = docs.where("doc_id IS NOT NULL").withColumn("bucket_", bucket("doc_id"))
     kinds = f"label {docs.schema['doc_id'].dataType.simpleString()}, sid long, shingles array<long>"
@@ -141,39 +146,81 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     return found.join(wanted, ["label", "sid"], "left_semi").dropDuplicates(["sid"]).select("sid", "shingles")
 
 
-def _pair_filters(percent: int) -> Column:
-    """Length and positional filter for a pair met at a prefix shingle (columns na, pa, nb, pb)."""
-    rest = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+def _pair_filters(percent: int, first: bool) -> Column:
+    """Length and positional filter for a pair met at a prefix shingle (columns na, pa, nb, pb).
+
+    ``first``: a linked pair passes at its first common shingle; otherwise at any common shingle.
+    """
+    most = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    most = most if first else most + F.least("pa", "pb")
     return (F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb")) & (
-        (100 + percent) * rest >= F.lit(percent) * (F.col("na") + F.col("nb"))
+        (100 + percent) * most >= F.lit(percent) * (F.col("na") + F.col("nb"))
     )
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Those of the distinct pairs (a, b) of classes that link."""
-    shape = classes.select("sid", "n", "ranges")
-    left = shape.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("ranges").alias("ra"))
-    right = shape.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("ranges").alias("rb"))
-    both = pairs.join(left, "a").join(right, "b")
-    bound = F.aggregate(F.zip_with("ra", "rb", lambda x, y: F.least(x, y).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
-    bound = F.when(F.greatest("na", "nb") > _MOST_RANGED, F.least("na", "nb")).otherwise(bound)
-    enough = (100 + percent) * bound >= F.lit(percent) * (F.col("na") + F.col("nb"))
-    left_over = stash(both.where(enough).select("a", "b", "na", "nb"), "jaccard-pairs")
-    ends = left_over.select(F.col("a").alias("sid")).union(left_over.select(F.col("b").alias("sid"))).distinct()
-    sets = _sets(docs, classes.join(ends, "sid", "left_semi").select("label", "sid"), n)
-    sets = stash(sets, "jaccard-sets")
-    a = sets.select(F.col("sid").alias("a"), F.col("shingles").alias("sa"))
-    b = sets.select(F.col("sid").alias("b"), F.col("shingles").alias("sb"))
-    common = F.size(F.array_intersect("sa", "sb")).cast("long")
-    met = left_over.join(b, "b").join(a, "a").select("a", "b", "na", "nb", common.alias("common"))
-    union = F.col("na") + F.col("nb") - F.col("common")
-    return met.where(F.lit(100) * F.col("common") >= F.lit(percent) * union).select("a", "b")
-
-
-def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
+class _Verifier:
+    """Checks pairs of classes, each once, and keeps the sets it has computed."""
+
+    def __init__(self, docs: DataFrame, classes: DataFrame, n: int, percent: int) -> None:
+        self.docs, self.classes, self.n, self.percent = docs, classes, n, percent
+        self.sets: DataFrame | None = None
+        self.seen: DataFrame | None = None
+        self.links: DataFrame | None = None
+
+    def check(self, met: DataFrame) -> bool:
+        """Verify the pairs (a, b) of ``met`` that are new; whether any of them links."""
+        pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        if self.seen is not None:
+            pairs = pairs.join(self.seen, ["a", "b"], "left_anti")
+        pairs = stash(pairs, "jaccard-pairs")
+        self.seen = pairs if self.seen is None else self.seen.unionByName(pairs)
+        shape = self.classes.select("sid", "n", "ranges")
+        left = shape.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("ranges").alias("ra"))
+        right = shape.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("ranges").alias("rb"))
+        common = F.zip_with("ra", "rb", lambda x, y: F.least(x, y).cast("long"))
+        bound = F.aggregate(common, F.lit(0).cast("long"), lambda s, x: s + x)
+        bound = F.when(F.greatest("na", "nb") > _MOST_RANGED, F.least("na", "nb")).otherwise(bound)
+        enough = (100 + self.percent) * bound >= F.lit(self.percent) * (F.col("na") + F.col("nb"))
+        kept = pairs.join(left, "a").join(right, "b").where(enough).select("a", "b", "na", "nb")
+        kept = stash(kept, "jaccard-suffix")
+
+        ends = kept.select(F.col("a").alias("sid")).union(kept.select(F.col("b").alias("sid"))).distinct()
+        if self.sets is not None:
+            ends = ends.join(self.sets, "sid", "left_anti")
+        wanted = stash(self.classes.join(ends, "sid", "left_semi").select("label", "sid"), "jaccard-wanted")
+        if not wanted.isEmpty():
+            more = stash(_sets(self.docs, wanted, self.n), "jaccard-sets")
+            self.sets = more if self.sets is None else self.sets.unionByName(more)
+        if self.sets is None:
+            return False
+        a = self.sets.select(F.col("sid").alias("a"), F.col("shingles").alias("sa"))
+        b = self.sets.select(F.col("sid").alias("b"), F.col("shingles").alias("sb"))
+        both = F.size(F.array_intersect("sa", "sb")).cast("long")
+        met = kept.join(b, "b").join(a, "a").select("a", "b", "na", "nb", both.alias("both"))
+        union = F.col("na") + F.col("nb") - F.col("both")
+        links = met.where(F.lit(100) * F.col("both") >= F.lit(self.percent) * union).select("a", "b")
+        links = stash(links, "jaccard-links")
+        found = not links.isEmpty()
+        if found:
+            self.links = links if self.links is None else self.links.unionByName(links)
+        return found
+
+    def reach(self) -> DataFrame:
+        """(sid, comp) of the classes that have a link so far."""
+        empty = self.docs.sparkSession.createDataFrame([], "sid long, comp long")
+        return empty if self.links is None else stash(components(self.links).toDF("sid", "comp"), "jaccard-reach")
+
+
+def _side(df: DataFrame, x: str, *more: str) -> DataFrame:
+    """A list's rows as one side of a pair: a or b."""
+    return df.select("h", F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("pos").alias(f"p{x}"), *more)
+
+
+def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 85, rounds: int = 4) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id in reach by links) of every row.
 
     Two rows link when 100 * |intersection| >= percent * |union| for their sets of ``n``-word shingles.
+    ``rounds`` bounds the rounds of stars; it changes the work left to the last step, not the result.
     """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     profiles = stash(_profiles(docs, n, percent), "jaccard-profiles")
@@ -183,35 +230,44 @@ def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
     )
     classes = stash(classes, "jaccard-classes")
 
+    # A list is led by the member that has the fewest rarer shingles before the list's: in a group of
+    # edited copies that is the text nearest to the original, which most others link with.
     postings = classes.select("sid", "n", F.posexplode("prefix").alias("pos", "h"))
-    leaders = postings.groupBy("h").agg(F.count("*").alias("members"), F.min("sid").alias("lead"))
+    turn = F.shiftleft(F.least("pos", F.lit(1 << 19)).cast("long"), 43).bitwiseOR(F.col("sid").bitwiseAND(F.lit((1 << 43) - 1)))
+    postings = postings.withColumn("turn", turn)
+    leaders = postings.groupBy("h").agg(F.count("*").alias("members"), F.min("turn").alias("lead"))
     leaders = stash(leaders.where("members > 1").select("h", "lead"), "jaccard-leaders")
     live = stash(postings.join(leaders, "h"), "jaccard-lists")
 
-    heads = live.where("sid = lead").select("h", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
-    others = live.where("sid <> lead").select("h", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-    stars = stash(others.join(heads, "h").where(_pair_filters(percent)).select("a", "b").distinct(), "jaccard-stars")
-    links = stash(_verified(stars, classes, docs, n, percent), "jaccard-links")
-    reach = stash(components(links), "jaccard-reach")
-
-    # Lists that still hold several components: their pairs across components.
-    placed = live.join(reach.withColumnRenamed("node", "sid"), "sid", "left")
-    placed = placed.select("h", "sid", "n", "pos", F.coalesce("component", "sid").alias("comp"))
-    tally = placed.groupBy("h", "comp").agg(F.count("*").alias("members"))
-    main = tally.groupBy("h").agg(F.max_by("comp", "members").alias("main"), F.count("*").alias("comps")).where("comps > 1")
-    mixed = stash(placed.join(main.select("h", "main"), "h"), "jaccard-mixed")
-    x = mixed.where("comp <> main").select("h", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"))
-    y = mixed.select("h", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"), (F.col("comp") == F.col("main")).alias("in_main"))
-    met = x.join(y, (x.h == y.h) & (x.ca != y.cb) & (F.col("in_main") | (x.a < y.b)) & _pair_filters(percent))
-    across = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    seen = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = _verified(across.join(seen, ["a", "b"], "left_anti"), classes, docs, n, percent)
-    reach = components(links.unionByName(more))
-
-    labels = classes.select("sid", "label").join(reach.withColumnRenamed("node", "sid"), "sid", "left")
-    labels = labels.select("sid", "label", F.coalesce("component", "sid").alias("component"))
-    smallest = labels.groupBy("component").agg(F.min("label").alias("component_id"))
-    named = labels.join(smallest, "component").select("sid", "component_id")
+    verifier = _Verifier(docs, classes, n, percent)
+    stars = _side(live.where("turn <> lead"), "b").join(_side(live.where("turn = lead"), "a"), "h")
+    grew, left = verifier.check(stars.where(_pair_filters(percent, first=False))), live
+    for k in range(rounds):
+        # Lists that still hold several components, and the one with most members in each.
+        placed = left.select("h", "sid", "n", "pos").join(verifier.reach(), "sid", "left")
+        placed = stash(placed.withColumn("comp", F.coalesce("comp", "sid")), "jaccard-placed")
+        tally = placed.groupBy("h", "comp").agg(F.count("*").alias("members"))
+        main = tally.groupBy("h").agg(F.max(F.struct("members", "comp"))["comp"].alias("main"), F.count("*").alias("comps"))
+        left = stash(placed.join(main.where("comps > 1").select("h", "main"), "h"), "jaccard-mixed")
+        if not grew or k == rounds - 1:
+            break
+        # Everyone else against one member of the main component, another one in each round.
+        inner = left.where("comp = main").withColumn("draw", F.xxhash64(F.lit(k), "sid"))
+        first = inner.groupBy("h").agg(F.min("draw").alias("draw"))
+        heads = inner.join(first, ["h", "draw"], "left_semi")
+        stars = _side(left.where("comp <> main"), "b").join(_side(heads, "a"), "h")
+        grew = verifier.check(stars.where(_pair_filters(percent, first=False)))
+
+    # What is left: all pairs of a list across its components, small components against all.
+    x = _side(left.where("comp <> main"), "a", F.col("comp").alias("ca"))
+    y = _side(left, "b", F.col("comp").alias("cb"), (F.col("comp") == F.col("main")).alias("in_main"))
+    across = x.join(y, "h").where((F.col("ca") != F.col("cb")) & (F.col("in_main") | (F.col("a") < F.col("b"))))
+    verifier.check(across.where(_pair_filters(percent, first=True)))
+
+    labels = classes.select("sid", "label").join(verifier.reach(), "sid", "left")
+    labels = labels.select("sid", "label", F.coalesce("comp", "sid").alias("comp"))
+    smallest = labels.groupBy("comp").agg(F.min("label").alias("component_id"))
+    named = labels.join(smallest, "comp").select("sid", "component_id")
     out = profiles.select("doc_id", "n", "sid").join(named, "sid", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lineupkit.llm.workers import release
 from lineupkit.runtime import table
 
 WINDOW, FILTERS, WIDTHS = 256, 12, (2, 3, 4)
@@ -195,6 +196,7 @@ def identify(docs: DataFrame, net: ByteConvNet | None) -> DataFrame:
                 langs = [net.languages[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
                 scores = np.where(known, share[np.arange(n), best], 0.0)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores)], names=[*batch.schema.names, "lang_", "score_"])
+        release()
 
     schema = T.StructType(list(plain.schema.fields)).add("lang_", T.StringType()).add("score_", T.DoubleType())
     out = plain.mapInArrow(predicted, schema)

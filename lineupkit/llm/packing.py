@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lineupkit.llm import bpe_words
+from lineupkit.llm.workers import release
 from lineupkit.runtime import table
 
 #: (document number in the block, first id, number of ids)
@@ -153,6 +154,7 @@ def pack_documents(
                     yield close()
         if held:
             yield close()
+        release()
 
     # Columns are told apart by place, so those of the documents may have any name.
     head = [F.col(c).alias(f"k{i}_") for i, c in enumerate(keep)]

@@ -9,7 +9,7 @@ import pyarrow as pa
 
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C13  # odd, so it has an inverse modulo 2**64
-_STEP = 1 << 22
+_STEP = 1 << 20
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
@@ -98,7 +98,11 @@ def shingle_sets(hashes: np.ndarray, counts: np.ndarray, n: int) -> list[np.ndar
 
 def batch_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
     """Shingle sets of an Arrow column of texts (null: empty), a few MB of text at a time."""
-    texts = texts.fill_null("").cast(pa.large_string())
+    for first in range(0, len(texts), 512):
+        yield from _some_sets(texts.slice(first, 512).fill_null("").cast(pa.large_string()), n)
+
+
+def _some_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
     offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
     raw = texts.buffers()[2]
     data = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)

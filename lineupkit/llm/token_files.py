@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lineupkit.llm import bpe_words
+from lineupkit.llm.workers import release
 from lineupkit.llm.wavelet import WaveletMatrix, build
 from lineupkit.runtime import table, work_path
 
@@ -60,6 +61,7 @@ def write_shards(
                         yield close()
         if held:
             yield close()
+        release()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")

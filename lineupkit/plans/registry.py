@@ -4,7 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from lineupkit.plans import corpus_queries
 from pyspark.sql import DataFrame, SparkSession
 
+MODULES = [corpus_queries]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+for module in MODULES:
+    QUERIES |= module.QUERIES
+    SQL |= module.SQL
