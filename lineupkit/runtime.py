@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data directory, read by Spark (any file system)."""
@@ -35,10 +37,17 @@ def work_path(spark: SparkSession, label: str) -> str:
 
 
 def stash(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` below the shared folder and read it back: lineage ends here, executors may go."""
+    """Write ``df`` below the shared folder and read it back: lineage ends here, executors may go.
+
+    The shuffle files of the write are removed as it ends, since nothing reads them again.
+    """
     spark = df.sparkSession
-    path = work_path(spark, label)
-    df.write.parquet(path)
+    path, before = work_path(spark, label), spark.conf.get(_CLEAN_UP, None)
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN_UP) if before is None else spark.conf.set(_CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
