@@ -8,10 +8,10 @@
 3. In every posting list the members are compared with one leader (a star, not all pairs), through the
    length, positional and suffix filters, and each surviving pair is verified once on the full sets.
    Verified links are joined to components.
-4. In lists that still hold several components, everyone outside the main one is compared with one of
-   its members, in a few rounds; then all pairs across components that are left are examined.  A pair
-   inside a component needs no check, so components are exact and a group of near copies costs
-   stars, not squares.
+4. A leader has met its whole list and leaves it.  In lists that still hold several components, everyone
+   outside the main one is compared with one of its members, in a few rounds; then all pairs across
+   components that are left are examined.  A pair inside a component needs no check, so components are
+   exact and a group of near copies costs stars, not squares.
 
 The suffix filter bounds the overlap by the two sets' histograms over 256 ranges of the hash.  Sets
 are recomputed from the text for the classes in surviving pairs alone, which a bitmap of fixed size
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from lineupkit.llm.components import components
 from lineupkit.llm.shingles import batch_sets, set_id
 from lineupkit.llm.workers import release
-from lineupkit.runtime import stash, table
+from lineupkit.runtime import drop_stash, stash, table
 
 _CELL_BITS, _BLOCK = 20, 1 << 12
 _RANGES = 256
@@ -200,6 +200,8 @@ class _Verifier:
         union = F.col("na") + F.col("nb") - F.col("both")
         links = met.where(F.lit(100) * F.col("both") >= F.lit(self.percent) * union).select("a", "b")
         links = stash(links, "jaccard-links")
+        drop_stash(kept)
+        drop_stash(wanted)
         found = not links.isEmpty()
         if found:
             self.links = links if self.links is None else self.links.unionByName(links)
@@ -207,8 +209,18 @@ class _Verifier:
 
     def reach(self) -> DataFrame:
         """(sid, comp) of the classes that have a link so far."""
-        empty = self.docs.sparkSession.createDataFrame([], "sid long, comp long")
-        return empty if self.links is None else stash(components(self.links).toDF("sid", "comp"), "jaccard-reach")
+        if self.links is None:
+            return self.docs.sparkSession.createDataFrame([], "sid long, comp long")
+        found = components(self.links)
+        out = stash(found.toDF("sid", "comp"), "jaccard-reach")
+        drop_stash(found)
+        return out
+
+    def close(self) -> None:
+        """Remove what the checks have written."""
+        for df in (self.sets, self.seen, self.links):
+            if df is not None:
+                drop_stash(df)
 
 
 def _side(df: DataFrame, x: str, *more: str) -> DataFrame:
@@ -229,32 +241,38 @@ def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 85, rounds: int
         F.min("doc_id").alias("label"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("ranges").alias("ranges")
     )
     classes = stash(classes, "jaccard-classes")
+    members = stash(profiles.select("doc_id", "n", "sid"), "jaccard-members")
+    drop_stash(profiles)
 
     # A list is led by the member that has the fewest rarer shingles before the list's: in a group of
     # edited copies that is the text nearest to the original, which most others link with.
     postings = classes.select("sid", "n", F.posexplode("prefix").alias("pos", "h"))
     turn = F.shiftleft(F.least("pos", F.lit(1 << 19)).cast("long"), 43).bitwiseOR(F.col("sid").bitwiseAND(F.lit((1 << 43) - 1)))
-    postings = postings.withColumn("turn", turn)
-    leaders = postings.groupBy("h").agg(F.count("*").alias("members"), F.min("turn").alias("lead"))
+    leaders = postings.groupBy("h").agg(F.count("*").alias("members"), F.min(turn).alias("lead"))
     leaders = stash(leaders.where("members > 1").select("h", "lead"), "jaccard-leaders")
-    live = stash(postings.join(leaders, "h"), "jaccard-lists")
+    live = postings.join(leaders, "h").select("h", "sid", "n", "pos", (turn == F.col("lead")).alias("leads"))
+    live = stash(live, "jaccard-lists")
+    drop_stash(leaders)
 
     verifier = _Verifier(docs, classes, n, percent)
-    stars = _side(live.where("turn <> lead"), "b").join(_side(live.where("turn = lead"), "a"), "h")
-    grew, left = verifier.check(stars.where(_pair_filters(percent, first=False))), live
+    stars = _side(live.where("NOT leads"), "b").join(_side(live.where("leads"), "a"), "h")
+    grew, left, last = verifier.check(stars.where(_pair_filters(percent, first=False))), live.where("NOT leads"), live
     for k in range(rounds):
         # Lists that still hold several components, and the one with most members in each.
-        placed = left.select("h", "sid", "n", "pos").join(verifier.reach(), "sid", "left")
+        reach = verifier.reach()
+        placed = left.select("h", "sid", "n", "pos").join(reach, "sid", "left")
         placed = stash(placed.withColumn("comp", F.coalesce("comp", "sid")), "jaccard-placed")
+        drop_stash(reach)
+        drop_stash(last)
         tally = placed.groupBy("h", "comp").agg(F.count("*").alias("members"))
         main = tally.groupBy("h").agg(F.max(F.struct("members", "comp"))["comp"].alias("main"), F.count("*").alias("comps"))
-        left = stash(placed.join(main.where("comps > 1").select("h", "main"), "h"), "jaccard-mixed")
+        left = last = stash(placed.join(main.where("comps > 1").select("h", "main"), "h"), "jaccard-mixed")
+        drop_stash(placed)
         if not grew or k == rounds - 1:
             break
         # Everyone else against one member of the main component, another one in each round.
-        inner = left.where("comp = main").withColumn("draw", F.xxhash64(F.lit(k), "sid"))
-        first = inner.groupBy("h").agg(F.min("draw").alias("draw"))
-        heads = inner.join(first, ["h", "draw"], "left_semi")
+        draw = F.struct(F.xxhash64(F.lit(k), "sid").alias("draw"), "sid", "n", "pos")
+        heads = left.where("comp = main").groupBy("h").agg(F.min(draw).alias("head")).select("h", "head.*")
         stars = _side(left.where("comp <> main"), "b").join(_side(heads, "a"), "h")
         grew = verifier.check(stars.where(_pair_filters(percent, first=False)))
 
@@ -263,12 +281,17 @@ def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 85, rounds: int
     y = _side(left, "b", F.col("comp").alias("cb"), (F.col("comp") == F.col("main")).alias("in_main"))
     across = x.join(y, "h").where((F.col("ca") != F.col("cb")) & (F.col("in_main") | (F.col("a") < F.col("b"))))
     verifier.check(across.where(_pair_filters(percent, first=True)))
+    drop_stash(last)
 
-    labels = classes.select("sid", "label").join(verifier.reach(), "sid", "left")
-    labels = labels.select("sid", "label", F.coalesce("comp", "sid").alias("comp"))
+    reach = verifier.reach()
+    labels = classes.select("sid", "label").join(reach, "sid", "left")
+    labels = stash(labels.select("sid", "label", F.coalesce("comp", "sid").alias("comp")), "jaccard-labels")
     smallest = labels.groupBy("comp").agg(F.min("label").alias("component_id"))
     named = labels.join(smallest, "comp").select("sid", "component_id")
-    out = profiles.select("doc_id", "n", "sid").join(named, "sid", "left")
+    for df in (reach, classes):
+        drop_stash(df)
+    verifier.close()
+    out = members.join(named, "sid", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
