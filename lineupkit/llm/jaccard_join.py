@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from lineupkit.llm.components import components
 from lineupkit.llm.shingles import batch_sets, set_id
-from lineupkit.llm.workers import release
+from lineupkit.llm.workers import bound_batches, release
 from lineupkit.runtime import drop_stash, stash, table
 
 _CELL_BITS, _BLOCK = 20, 1 << 12
@@ -235,6 +235,7 @@ def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 85, rounds: int
     ``rounds`` bounds the rounds of stars; it changes the work left to the last step, not the result.
     """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    bound_batches(docs.sparkSession)
     profiles = stash(_profiles(docs, n, percent), "jaccard-profiles")
     known = profiles.where("n > 0 AND doc_id IS NOT NULL")
     classes = known.groupBy("sid").agg(

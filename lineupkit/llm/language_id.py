@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lineupkit.llm.workers import release
+from lineupkit.llm.workers import bound_batches, release
 from lineupkit.runtime import table
 
 WINDOW, FILTERS, WIDTHS = 256, 12, (2, 3, 4)
@@ -199,6 +199,7 @@ def identify(docs: DataFrame, net: ByteConvNet | None) -> DataFrame:
         release()
 
     schema = T.StructType(list(plain.schema.fields)).add("lang_", T.StringType()).add("score_", T.DoubleType())
+    bound_batches(docs.sparkSession)
     out = plain.mapInArrow(predicted, schema)
     own = [F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)]
     return out.select(*own, F.col("lang_").alias("lang_pred"), F.col("score_").alias("score"))

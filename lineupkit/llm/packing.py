@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lineupkit.llm import bpe_words
-from lineupkit.llm.workers import release
+from lineupkit.llm.workers import bound_batches, release
 from lineupkit.runtime import table
 
 #: (document number in the block, first id, number of ids)
@@ -160,6 +160,7 @@ def pack_documents(
     head = [F.col(c).alias(f"k{i}_") for i, c in enumerate(keep)]
     rows = docs.select(*head, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text_"))
     kinds = "".join(f"k{i}_ {rows.schema[i].dataType.simpleString()}, " for i in range(len(keep)))
+    bound_batches(docs.sparkSession)
     out = rows.mapInPandas(packed, kinds + PIECES)
     return out.select(*[F.col(f"k{i}_").alias(c) for i, c in enumerate(keep)], *[p.split()[0] for p in PIECES.split(", ")])
 
