@@ -83,19 +83,36 @@ def cooccurrence_greedy(held: DataFrame, counts: DataFrame, vocab: DataFrame, si
     return now
 
 
-def nearest_observed(queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(team_id, delta, n): for each team the fewest members missing from an observed roster.
+def _parts(roster: str) -> Column:
+    """All subsets of a roster, in its order, with the empty one."""
+    none = F.array(F.array().cast("array<string>"))
+    return F.aggregate(roster, none, lambda all_, f: F.concat(all_, F.transform(all_, lambda p: F.concat(p, F.array(f)))))
 
-    ``queries`` (team_id, roster), ``corpus`` (roster, n).  Candidates share a member (inverted index); a team
-    that shares none with any roster falls back to its size and the largest count.
+
+def nearest_observed(queries: DataFrame, corpus: DataFrame, lattice: int = 10) -> DataFrame:
+    """(team_id, delta, n): for each team the fewest members missing from an observed roster, ties to the largest count.
+
+    ``queries`` (team_id, roster), ``corpus`` (roster, n, rosters distinct); rosters are sorted.  Every distinct
+    roster of at most ``lattice`` members meets the observed ones by its subsets, each with the largest count of
+    the rosters that hold it: the largest subset found tells the distance.  So rows grow with the rosters, not with
+    their pairs.  Pairs with a longer roster are counted by the members they share.  A team that shares
+    none with any roster falls back to its size and the largest count.
     """
-    corpus = corpus.withColumn("rid_", F.xxhash64("roster")).select("rid_", "roster", "n")
-    index = corpus.select("rid_", F.explode("roster").alias("feature"), "n")
-    asked = queries.select("team_id", F.size("roster").alias("k"), F.explode("roster").alias("feature"))
-    hits = asked.join(index, "feature").groupBy("team_id", "k", "rid_", "n").agg(F.count("*").alias("both"))
-    best = hits.groupBy("team_id").agg(F.min(F.struct((F.col("k") - F.col("both")).alias("d"), (-F.col("n")).alias("n"))).alias("b"))
+    corpus = stash(corpus.select("roster", "n"), "nearest-corpus")
+    asked = stash(queries.select("roster").distinct(), "nearest-asked")
+    short, missing = F.size("roster") <= lattice, F.col("k") - F.col("both")
+    held = corpus.where(short).select(F.explode(_parts("roster")).alias("part"), "n").where(F.size("part") > 0)
+    held = held.groupBy("part").agg(F.max("n").alias("n"))
+    parts = asked.where(short).select("roster", F.size("roster").alias("k"), F.explode(_parts("roster")).alias("part")).where(F.size("part") > 0)
+    near = parts.join(held, "part").select("roster", (F.col("k") - F.size("part")).alias("d"), "n")
+    for some, seen in ((asked, corpus.where(~short)), (asked.where(~short), corpus.where(short))):
+        index = seen.select(F.col("roster").alias("seen"), "n", F.explode("roster").alias("feature"))
+        members = some.select("roster", F.size("roster").alias("k"), F.explode("roster").alias("feature"))
+        both = members.join(index, "feature").groupBy("roster", "k", "seen", "n").agg(F.count("*").alias("both"))
+        near = near.unionByName(both.select("roster", missing.cast("int").alias("d"), "n"))
+    best = near.groupBy("roster").agg(F.min(F.struct("d", (-F.col("n")).alias("n"))).alias("b"))
     most = corpus.agg(F.max("n").alias("most_"))
-    out = queries.join(best, "team_id", "left").crossJoin(F.broadcast(most))
+    out = queries.join(best, "roster", "left").crossJoin(F.broadcast(most))
     return out.where("most_ IS NOT NULL").select(
         "team_id", F.coalesce(F.col("b.d"), F.size("roster")).cast("long").alias("delta"), F.coalesce(-F.col("b.n"), F.col("most_")).alias("n")
     )

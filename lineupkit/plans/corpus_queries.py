@@ -317,6 +317,20 @@ def nearest_observed(s, d):
     return scoring.nearest_observed(dated.where("month >= '2001-06'").select("team_id", "roster"), seen)
 
 
+#: Every distinct roster against every other by the members they share; each meets itself, so none is left without.
+_NEAR_ALL = """, rr AS (SELECT roster, count(*) AS n, row_number() OVER () AS id FROM ros GROUP BY roster),
+       rf AS (SELECT id, n, len(roster) AS k, unnest(roster) AS feature FROM rr),
+       ov AS (SELECT a.id, a.k - count(*) AS delta, b.n FROM rf a JOIN rf b USING (feature) GROUP BY a.id, a.k, b.id, b.n),
+       best AS (SELECT id, delta, n FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY delta, n DESC) AS r FROM ov) WHERE r = 1)"""
+
+
+@query("e25_nearest_observed_all", f"{_NEAR_ALL} SELECT team_id, delta, best.n FROM ros JOIN rr USING (roster) JOIN best USING (id)")
+def nearest_observed_all(s, d):
+    """All teams against all rosters, without the date bounds of ``e25_nearest_observed``."""
+    every = rosters(species_members(s, d))
+    return scoring.nearest_observed(every, every.groupBy("roster").agg(F.count("*").alias("n")))
+
+
 _COMP = """comp AS (SELECT month AS "group", team_id, feature FROM mem JOIN teams USING (team_id)
          WHERE team_id IN (SELECT team_id FROM mem GROUP BY team_id HAVING count(*) = 6))"""
 
@@ -349,6 +363,14 @@ def novelty(s, d):
     return scoring.novelty(found.withColumnRenamed("times", "n")).select(F.round("novelty", 8).alias("novelty"))
 
 
+@query("e29_novelty_all", f"{_NEAR_ALL} SELECT round(100 * sum(rr.n * least(delta, 3) / 3) / sum(rr.n), 8) AS novelty FROM rr JOIN best USING (id)")
+def novelty_all(s, d):
+    """All teams against all rosters; each finds its own at least, so this is 0 on any table."""
+    counts = rosters(species_members(s, d)).groupBy("roster").agg(F.count("*").alias("n"), F.min("team_id").alias("team_id"))
+    found = scoring.nearest_observed(counts.select("team_id", "roster"), counts).select("team_id", "delta")
+    return scoring.novelty(found.join(counts, "team_id")).select(F.round("novelty", 8).alias("novelty"))
+
+
 @query(
     "e30_corpus_percentile",
     """, v AS (SELECT team_id, round(popularity + coherence, 6) AS score FROM sc), g AS (SELECT score, count(*) AS w FROM v GROUP BY score),
