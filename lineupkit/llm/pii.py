@@ -12,7 +12,9 @@ that is a real entity somewhere, is drawn again (attempt + 1) for all but the fi
 the rare entities with a later attempt are joined back by position.
 
 Candidates that fail a check (Luhn, IBAN) are left as they are.  A mail address has at most 64
-characters before the @.
+characters before the @.  A secret starts with at least 8 letters, digits or ``+/_=-`` and runs to its end, however
+long: a blank, quote, bracket, comma, semicolon, ``&`` or ``?``, or the punctuation a sentence ends with.  A person
+has every capitalised part, initial and particle (von, de la) that follows the title, with one blank between.
 
 Nulls and edge cases: a null text stays null with 0 entities; null and repeated doc_ids are rows like
 others; an empty table gives no rows; other columns pass through whatever their names.
@@ -54,10 +56,14 @@ LETTERS = [
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _TITLE = "|".join(MALE + FEMALE + NEUTRAL)
-_NAME = r"\p{Lu}[\p{L}'’-]{1,40}"
+_HEAD = rf"(?:{_TITLE})\.?(?: (?:{'|'.join(NEUTRAL)})\.?)*+ "
+# Loops are possessive: Java takes them without recursion, so no length runs out of stack.
+_NAME = r"(?:(?:\p{Lu}\.-?)*+\p{Lu}[\p{L}\p{M}'’-]++|\p{Lu}\.(?:-?\p{Lu}\.)*+|\p{Lu}(?![\p{L}\p{M}\p{N}]))"
+_PARTICLES = r"(?:(?:von|van|de|du|di|da|del|della|dos|bin|ibn|al)(?: (?:der|den|dem|la|las|los|el|zu))?+ )?+"
+_SECRET = r"[A-Za-z0-9+/_=-]{8,}+(?:[.~!@#$%^*:|]++[A-Za-z0-9+/_=-]++)*+"
 #: kind -> pattern, in order of precedence.
 PATTERNS = {
-    "secret": r"""(?<![\p{L}\p{N}])(?i:(?:api|access|secret|private)[_-]?key|(?:auth|access|bearer)[_-]?token|token|secret|passw(?:or)?d|pwd)["']? {0,2}[:=] {0,2}["']?[A-Za-z0-9+/_=-]{8,200}+""",
+    "secret": r"""(?<![\p{L}\p{N}])(?i:(?:api|access|secret|private)[_-]?key|(?:auth|access|bearer)[_-]?token|token|secret|passw(?:or)?d|pwd)["']? {0,2}[:=] {0,2}["']?""" + _SECRET,
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){1,8}",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}]|\.\d)",
     "phone": r"(?<![\p{L}\p{N}+])(?:\+?1[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\p{L}\p{N}+])\+1[ .-]?\d{3}[ .-]?\d{3}[ .-]?\d{4}(?!\d)"
@@ -65,7 +71,7 @@ PATTERNS = {
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<!\d)(?<!\d[.,-])(?:\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?!\d)",
     "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)",
-    "person": rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\.? {_NAME}(?: {_NAME})?",
+    "person": rf"(?<![\p{{L}}\p{{N}}]){_HEAD}{_PARTICLES}{_NAME}(?: {_PARTICLES}{_NAME})*+",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What a text without any entity lacks: cheap to test, and no text with an entity fails it.
@@ -119,8 +125,8 @@ def kind_of(entity: Column) -> Column:
 
 def _head(kind: Column, entity: Column) -> Column:
     """What stands before the part that identifies: a secret's key word, a person's title."""
-    secret = F.regexp_extract(entity, r"""^(.*?[:=] *["']?)[A-Za-z0-9+/_=-]+$""", 1)
-    person = F.regexp_extract(entity, rf"^((?:{_TITLE})\.? )", 1)
+    secret = F.regexp_extract(entity, rf"""^(.*?[:=] *["']?){_SECRET}$""", 1)
+    person = F.regexp_extract(entity, f"^({_HEAD})", 1)
     return F.when(kind == "secret", secret).when(kind == "person", person).otherwise(F.lit(""))
 
 
@@ -160,7 +166,7 @@ def _scramble(s: Column, hexes: Column) -> Column:
 
 
 def _hex_scramble(s: Column, hexes: Column) -> Column:
-    return F.substring(F.repeat(hexes, 2), F.lit(1), F.length(s))
+    return F.substring(F.repeat(hexes, F.ceil(F.length(s) / 128).cast("int")), F.lit(1), F.length(s))
 
 
 def _pick(names: list[str], hexes: Column, i: int) -> Column:
@@ -177,18 +183,26 @@ def _surname(word: Column, hexes: Column, attempt: Column) -> Column:
 
 
 def _person(head: Column, tail: Column, key: Column, hexes: Column, attempt: Column) -> Column:
-    given, last = F.substring_index(tail, " ", 1), F.substring_index(tail, " ", -1)
-    title = F.regexp_replace(head, r"\.? $", "")
+    """Given names and initials each by itself, particles kept, the last part as a surname (it alone grows by attempt)."""
+    title = F.regexp_extract(head, "^[^. ]+", 0)
     gender = F.when(title.isin(MALE), "male").when(title.isin(FEMALE), "female").otherwise("neutral")
-    script = F.when(given.rlike("[а-яёА-ЯЁ]"), " cyrillic").otherwise("")
-    what = F.concat(gender, script)
-    own = _random(key, F.lit("given"), F.lower(given), attempt.cast("string"))
-    name = F.lit(None).cast("string")
-    for k, names in GIVEN.items():
-        name = F.when(what == k, _pick(names, own, 0)).otherwise(name)
-    name = F.when((given == F.upper(given)) & (F.length(given) > 1), F.upper(name)).otherwise(name)
+
+    def given(part: Column) -> Column:
+        what = F.concat(gender, F.when(part.rlike("[а-яёА-ЯЁ]"), " cyrillic").otherwise(""))
+        own = _random(key, F.lit("given"), F.lower(part), attempt.cast("string"))
+        name = F.lit(None).cast("string")
+        for k, names in GIVEN.items():
+            name = F.when(what == k, _pick(names, own, 0)).otherwise(name)
+        name = F.when(part == F.upper(part), F.upper(name)).otherwise(name)
+        initial = part.contains(".") | (F.length(part) == 1)
+        return F.when(part == F.lower(part), part).when(initial, _let(own, lambda h: _scramble(part, h))).otherwise(name)
+
+    parts = F.split(tail, " ")
+    last = F.element_at(parts, -1)
     family = _surname(last, _random(key, F.lit("surname"), F.lower(last), attempt.cast("string")), attempt)
-    return F.when(tail.contains(" "), F.concat_ws(" ", name, family)).otherwise(family)
+    family = F.when(last.endswith("."), F.concat(F.initcap(family), F.lit("."))).otherwise(family)
+    before = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), given)
+    return F.array_join(F.concat(before, F.array(family)), " ")
 
 
 def surrogate(kind: Column, entity: Column, attempt: Column, key: str) -> Column:
