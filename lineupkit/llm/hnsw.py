@@ -58,12 +58,13 @@ class Hnsw:
         for at in range(0, len(new), 512):
             some = slice(at, at + 512)
             links[new[some]] = self._diverse(ids[some], sims[some], room)
-        # Reverse links: all proposals of a vector together with its present links, best kept.
+        # Reverse links: a vector's proposals, nearest first (more than any choice looks at), together with its present links, best kept.
         source = np.repeat(new, room)
         target = links[new].ravel()
         keep = target >= 0
         source, target = source[keep], target[keep]
-        order = np.argsort(target, kind="stable")
+        value = np.concatenate([np.einsum("ij,ij->i", self.x[source[at : at + 65_536]], self.x[target[at : at + 65_536]]) for at in range(0, len(source), 65_536)] or [[]])
+        order = np.lexsort((-value, target))
         source, target = source[order], target[order]
         heads, first, count = np.unique(target, return_index=True, return_counts=True)
         width = int(min(count.max(initial=0), 4 * room))

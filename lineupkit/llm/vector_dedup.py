@@ -3,7 +3,8 @@
 Equal vectors are one node with a multiplicity.  Every node queries every shard's graph.  A query's
 beam is widened until its last member is no link any more, so all links within reach are in it; and a
 shard's starting beam is widened until an audit passes: against brute force over a sample of its
-queries, all links and nine tenths of the nearest vectors must be found.  Cosines of found
+queries, drawn by hash, all links and nine tenths of the nearest vectors must be found.  A shard whose audit never
+passes is compared by brute force in blocks, and so is a query whose beam grows to the whole shard.  Cosines of found
 candidates are computed anew in double precision.  A task counts its links and keeps a spanning
 forest of them, never the pairs; forests are united by connected components.
 
@@ -37,7 +38,7 @@ class _Search:
 
     def __init__(self, shard: pa.Table | None, threshold: float, beam: int, audit: int) -> None:
         self.threshold, self.beam, self.audit = threshold, beam, audit
-        self.audited = False
+        self.audited = self.exact = False
         self.parent: dict[int, int] = {}
         self.edges: list[tuple[int, int]] = []
         self.graph = None
@@ -73,8 +74,27 @@ class _Search:
             if not missed and nearest >= 0.9:
                 break
             self.beam *= 2
+        else:
+            self.exact = True
         self.audited = True
 
+    def _count(self, links: np.ndarray, ids: np.ndarray, row: np.ndarray, node: np.ndarray) -> None:
+        """Add links between queries ``row`` and vectors ``node`` of the shard."""
+        np.add.at(links, row, self.weight[node])
+        for a, b in zip(ids[row].tolist(), self.ids[node].tolist(), strict=True):
+            a, b = self._root(a), self._root(b)
+            if a != b:
+                self.parent[max(a, b)] = min(a, b)
+                self.edges.append((a, b))
+
+    def _compare(self, links: np.ndarray, ids: np.ndarray, vectors: np.ndarray, norms: np.ndarray, todo: np.ndarray) -> None:
+        """The queries ``todo`` against every vector of the shard, in blocks."""
+        for at in range(0, len(self.ids), 2048):
+            some = slice(at, at + 2048)
+            cosines = vectors[todo] @ self.vectors[some].T / (norms[todo][:, None] * self.norms[some])
+            r, c = np.nonzero((cosines >= self.threshold) & (self.ids[some] != ids[todo][:, None]))
+            self._count(links, ids, todo[r], at + c)
+
     def __call__(self, batch: pa.RecordBatch | None) -> Iterator[pa.RecordBatch]:
         if batch is None:
             u, v = zip(*self.edges, strict=True) if self.edges else ((), ())
@@ -90,19 +110,16 @@ class _Search:
         links = np.zeros(len(ids), np.int64)
         todo, beam, slack = np.arange(len(ids)), self.beam, 1e-4
         while len(todo):
+            if self.exact or beam >= len(self.ids):
+                self._compare(links, ids, vectors, norms, todo)
+                break
             near, sims = self.graph.search(unit[todo], beam)
-            full = (sims[:, -1] >= self.threshold - slack) & (beam < len(self.ids))
+            full = sims[:, -1] >= self.threshold - slack
             r, c = np.nonzero((sims >= self.threshold - slack) & ~full[:, None])
             row, node = todo[r], near[r, c]
             dots = (vectors[row] * self.vectors[node]).sum(1)
             good = (dots / (norms[row] * self.norms[node]) >= self.threshold) & (self.ids[node] != ids[row])
-            row, node = row[good], node[good]
-            np.add.at(links, row, self.weight[node])
-            for a, b in zip(ids[row].tolist(), self.ids[node].tolist(), strict=True):
-                a, b = self._root(a), self._root(b)
-                if a != b:
-                    self.parent[max(a, b)] = min(a, b)
-                    self.edges.append((a, b))
+            self._count(links, ids, row[good], node[good])
             todo, beam = todo[full], min(beam * 4, len(self.ids))
         yield self._rows(ids, [None] * len(ids), links)
 

@@ -35,7 +35,8 @@ def against_shards(
 
     ``rows`` and ``queries`` have ``id`` (long), ``e`` (array<double>) and columns of equal names and types
     besides.  A task holds one shard and streams the queries: ``work(shard batch)`` returns a function
-    that is given query batches and, with None, called once at the end; both give record batches.
+    that is given query batches and, with None, called once at the end; both give record batches.  Queries come in the
+    order of a hash, in batches of 256 with the rest last, however the rows arrive.
     Vectors of different lengths meet in different calls.
     """
     names = ["id", "e", *[c for c in rows.columns if c not in ("id", "e")]]
@@ -45,10 +46,19 @@ def against_shards(
     q = queries.select(*names, F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard_"), block.alias("block_"), F.lit(1).alias("asks_"))
     both = r.unionByName(q).withColumn("dim_", F.size("e"))
     dealt = both.repartitionById(shards * blocks, F.col("shard_") * blocks + F.col("block_"))
-    ordered = dealt.sortWithinPartitions("dim_", "asks_", "id")
+    # By hash, so that the first queries of every task are a random sample.
+    ordered = dealt.sortWithinPartitions("dim_", "asks_", F.xxhash64(F.lit("sample"), "id"), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dim, held, ask = None, [], None
+        dim, held, ask, queue = None, [], None, []
+
+        def asked(rest: bool) -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(queue)
+            ready = table.num_rows if rest else table.num_rows // 256 * 256
+            for at in range(0, ready, 256):
+                yield from ask(table.slice(at, min(256, ready - at)).combine_chunks().to_batches()[0])
+            queue[:] = table.slice(ready).to_batches()
+
         for whole in batches:
             # Stretches of one vector length and one role.
             key = np.array(whole.column("dim_")) * 2 + np.array(whole.column("asks_"))
@@ -57,6 +67,8 @@ def against_shards(
                 part = whole.slice(a, b - a)
                 d, asks = divmod(int(key[a]), 2)
                 if d != dim:
+                    if queue:
+                        yield from asked(True)
                     if ask:
                         yield from ask(None)
                     dim, held, ask = d, [], None
@@ -66,8 +78,11 @@ def against_shards(
                 if ask is None:
                     ask = work(pa.Table.from_batches(held).combine_chunks() if held else None)
                     held = []
-                for at in range(0, part.num_rows, 256):
-                    yield from ask(part.slice(at, 256))
+                queue.append(part)
+                if sum(q.num_rows for q in queue) >= 256:
+                    yield from asked(False)
+        if queue:
+            yield from asked(True)
         if ask:
             yield from ask(None)
 
