@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -18,19 +20,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor and the driver can reach, as the session names it.
 
-    ``spark.checkpoint.dir`` is used when the cluster sets it.  Only where it is unset (tests, one
-    machine) a temporary folder is made and recorded in the session.
+    That is ``spark.checkpoint.dir`` or what ``setCheckpointDir`` was given.  Only on one machine (master
+    ``local``) a temporary folder is made where neither is set; a cluster without either is an error,
+    since each executor would write to its own disk.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = spark.conf.get("lineupkit.shared.dir", None)
-    if not found:
+        context = spark.sparkContext
+        given = context._jsc.sc().getCheckpointDir()
+        if given.isDefined():
+            return given.get().rstrip("/")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lineupkit-")
-        spark.conf.set("lineupkit.shared.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
+        context.setCheckpointDir(found)
+        found = context._jsc.sc().getCheckpointDir().get()
     return found.rstrip("/")
 
 
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A short table from the driver's rows.  It goes by way of Arrow, which starts no Python worker."""
+    names = [x.strip().split(" ")[0] for x in schema.split(", ")]
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "array<long>": pa.list_(pa.int64())}
+    fields = [(n, kinds[x.strip().split(" ")[1]]) for n, x in zip(names, schema.split(", "), strict=True)]
+    columns = [pa.array([r[k] for r in rows], kind) for k, (_, kind) in enumerate(fields)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=pa.schema(fields)))
+
+
 def work_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark)}/lineupkit/{label}-{uuid.uuid4().hex}"
