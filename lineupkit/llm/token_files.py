@@ -7,7 +7,8 @@ task, so any file system works and a lost executor only repeats its task.
 
 Nulls and edge cases: a null text has the end id alone; null doc_ids come first; repeated doc_ids
 stay side by side, one result row each; an empty table writes no shard and reads back as no rows;
-other columns are ignored.
+other columns are ignored.  Texts reach a worker in batches of a few MB; a text longer than that, and the record that
+it closes, are held whole by one task.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lineupkit.llm import bpe_words
-from lineupkit.llm.workers import release
 from lineupkit.llm.wavelet import WaveletMatrix, build
+from lineupkit.llm.workers import bound_batches, release
 from lineupkit.runtime import table, work_path
 
 _SHARD = "part int, seq int, first_doc long, n_docs long, n_tokens long, wavelet binary"
@@ -65,6 +66,7 @@ def write_shards(
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    bound_batches(docs.sparkSession)
     out = ordered.mapInPandas(shards, _SHARD)
     out.write.option("compression", "none").parquet(path)
 
