@@ -72,6 +72,11 @@ class WordEncoder:
         vocab = self.full.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.special = [t.content.lower() for t in self.full.get_added_tokens_decoder().values()]
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop the table, which a worker would else hold between its tasks."""
         self.table = _Table()
         self.table[""] = b""
 
@@ -113,27 +118,34 @@ class WordEncoder:
                 slot.extend(ids)
             table.loose = {}
 
-    @staticmethod
-    def _words(text: str) -> list[str]:
-        """The words; Latin-1 text is in normal form already, so it may be lower-cased at once."""
+    def _words(self, text: str) -> list[str]:
+        """The words; Latin-1 text is in normal form already, so it may be lower-cased at once.
+
+        Added tokens are matched before anything is lower-cased, so a text in which lower case would
+        make one is left to the library as it stands.
+        """
         text = text.replace("\n", " ")
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
             return text.split(" ")
-        return text.lower().split(" ")
+        low = text.lower()
+        return (text if any(s in low for s in self.special) else low).split(" ")
+
+    def encode(self, texts: list[str | None], end: int, max_words: int = MAX_WORDS) -> list[bytes]:
+        """The ids of each text and ``end`` after them, as little-endian uint16; null is empty.
 
-    def encode(self, texts: list[str | None], end: int) -> list[bytes]:
-        """The ids of each text and ``end`` after them, as little-endian uint16; null is empty."""
+        ``max_words`` bounds the table (about 150 bytes a word); it changes the work, not the ids.
+        """
         stop, look = np.array([end], "<u2").tobytes(), self.table.__getitem__
         parts = [list(map(look, self._words(t))) if t else [] for t in texts]
         if self.table.pending or self.table.loose:
             self._fill()
         out = [b"".join(p) + stop for p in parts]
         self.table.settle()
-        if len(self.table) > MAX_WORDS:  # the words met first are the frequent ones
+        if len(self.table) > max_words:  # the words met first are the frequent ones
             kept = _Table()
-            kept.update(islice(self.table.items(), MAX_WORDS // 2))
+            kept.update(islice(self.table.items(), max_words // 2))
             self.table = kept
         return out
 

@@ -110,8 +110,14 @@ def pack_documents(
     block_tokens: int = 8_000_000,
     group_tokens: int = 524_288,
     keep: list[str] | None = None,
+    with_ids: bool = False,
+    table_words: int = bpe_words.MAX_WORDS,
 ) -> DataFrame:
-    """The pieces of all windows (``PIECES``), with the columns ``keep`` of the documents before them."""
+    """The pieces of all windows (``PIECES``), with the columns ``keep`` of the documents before them.
+
+    ``with_ids`` adds ``ids``, the piece's ids as little-endian uint16: what a trainer reads.
+    ``table_words`` bounds the encoder's table in each worker.
+    """
     vocabulary = vocabulary or bpe_words.default_path()
     keep = keep or []
 
@@ -133,11 +139,13 @@ def pack_documents(
                     if doc not in wide:
                         wide[doc] = memoryview(np.frombuffer(held[doc], "<u2").astype("<u4").tobytes())
                     crc = zlib.crc32(wide[doc][4 * at : 4 * (at + n)])
-                    out.append((doc, at, n, crc, len(held[doc]) // 2, base + made, offset, kind, base + groups + group))
+                    row = (doc, at, n, crc, len(held[doc]) // 2, base + made, offset, kind, base + groups + group)
+                    out.append((*row, held[doc][2 * at : 2 * (at + n)]) if with_ids else row)
                     offset += n
                 made += 1
             groups += max(chosen, default=-1) + 1
             names = ["doc", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "context", "step_group"]
+            names += ["ids"] if with_ids else []
             found = pd.DataFrame(out, columns=names)
             own = pd.concat(rows, ignore_index=True).iloc[found.pop("doc").to_numpy()].reset_index(drop=True)
             held, rows, size = [], [], 0
@@ -146,7 +154,7 @@ def pack_documents(
         for batch in batches:
             for first in range(0, len(batch), 256):
                 some = batch.iloc[first : first + 256]
-                found = encoder.encode(some["text_"].tolist(), end_id)
+                found = encoder.encode(some["text_"].tolist(), end_id, table_words)
                 held += found
                 rows.append(some.drop(columns="text_"))
                 size += sum(map(len, found)) // 2
@@ -154,6 +162,8 @@ def pack_documents(
                     yield close()
         if held:
             yield close()
+        if table_words < bpe_words.MAX_WORDS:
+            encoder.forget()
         release()
 
     # Columns are told apart by place, so those of the documents may have any name.
@@ -161,8 +171,9 @@ def pack_documents(
     rows = docs.select(*head, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text_"))
     kinds = "".join(f"k{i}_ {rows.schema[i].dataType.simpleString()}, " for i in range(len(keep)))
     bound_batches(docs.sparkSession)
-    out = rows.mapInPandas(packed, kinds + PIECES)
-    return out.select(*[F.col(f"k{i}_").alias(c) for i, c in enumerate(keep)], *[p.split()[0] for p in PIECES.split(", ")])
+    pieces = PIECES + (", ids binary" if with_ids else "")
+    out = rows.mapInPandas(packed, kinds + pieces)
+    return out.select(*[F.col(f"k{i}_").alias(c) for i, c in enumerate(keep)], *[p.split()[0] for p in pieces.split(", ")])
 
 
 def op9_pack_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
