@@ -7,8 +7,10 @@ the left half's blocks of every source from the multivariate hypergeometric law,
 random but exactly adding numbers of blocks.  Shards then take disjoint runs of each source's
 (hashed, hence permuted) blocks and order what they hold by another hash.
 
-Shuffled data: per-source and per-block sums only, combined before the shuffle; a hot source is
-spread over its blocks.  The driver sees one row a source, at most ``max_sources`` (else ValueError).
+Shuffled data: to plan, per-source and per-block sums only, combined before the shuffle (a hot source is spread over
+its blocks); then each taken copy once, to its output shard.  The block in which a source's last pass ends is found from
+sums of blocks by digits of its number, 1,024 values at a time, so no task orders all blocks.  The driver
+sees one row a source, at most ``max_sources`` (else ValueError); up to 2**30 blocks in all.
 
 Nulls and edge cases: a null text has no words; null is a source of its own, last in order; rows
 alike in doc_id and text are dealt alike and share a cut equally; a source without words has target
@@ -24,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lineupkit.runtime import stash, table
+from lineupkit.runtime import drop_stash, local_table, stash, table
 
 
 def word_count(text: Column) -> Column:
@@ -99,14 +101,13 @@ def mix(
     per_source.sort(key=lambda r: (r.source_ is None, (r.source_ or "").encode()))
     total = sum(r.s for r in per_source)
     goal = targets([r.s for r in per_source], [weights[k % len(weights)] for k in range(len(per_source))], most)
-    grain = max(block_words, total // 10_000_000)
     rows = []
     for r, t in zip(per_source, goal, strict=True):
         passes = min(math.floor(most), int(t // r.s)) if r.s else 0
-        blocks = min(65_536, max(1, -(-r.s // grain)))
+        blocks = max(1, -(-r.s // block_words))
         rows.append((r.source_, r.s, t, blocks, passes, min(round(t), math.floor(most * r.s)) - passes * r.s))
     kinds = "source_ string, source_size_ long, target_ double, blocks_ long, passes_ long, need_ long"
-    plan = spark.createDataFrame(rows, kinds)
+    plan = local_table(spark, rows, kinds)
 
     def planned(df: DataFrame, by: DataFrame) -> DataFrame:
         # At most max_sources short rows: a proven bound for the broadcast.
@@ -118,10 +119,19 @@ def mix(
 
     block = F.pmod("key_", "blocks_")
     cut = planned(sizes, plan).where("need_ > 0").withColumn("block_", block)
-    words = cut.groupBy("source_", "need_", "block_").agg(F.sum("size_").alias("words_"))
-    words = words.withColumn("upto_", upto(["block_"], "words_")).where("upto_ >= need_ AND upto_ - words_ < need_")
-    ends = {r.source_: (r.block_, r.need_ - r.upto_ + r.words_) for r in words.collect()}
-    last = spark.createDataFrame([(s, b, n) for s, (b, n) in ends.items()], "source_ string, last_ long, part_ long")
+    words = stash(cut.groupBy("source_", "block_").agg(F.sum("size_").alias("words_")), "mix-blocks")
+    ends = {r[0]: (0, r[5]) for r in rows if r[5] > 0}
+    most_blocks = max((r[3] for r in rows), default=1)
+    for shift in (20, 10, 0):
+        if shift and most_blocks <= 1 << shift:
+            continue
+        state = local_table(spark, [(k, *v) for k, v in ends.items()], "source_ string, prefix_ long, part_ long")
+        some = planned(words, state).where(F.shiftright("block_", shift + 10) == F.col("prefix_"))
+        some = some.groupBy("source_", "part_", F.shiftright("block_", shift).alias("digit_")).agg(F.sum("words_").alias("words_"))
+        some = some.withColumn("upto_", upto(["digit_"], "words_")).where("upto_ >= part_ AND upto_ - words_ < part_")
+        ends = {r.source_: (r.digit_, r.part_ - r.upto_ + r.words_) for r in some.collect()}
+    drop_stash(words)
+    last = local_table(spark, [(k, *v) for k, v in ends.items()], "source_ string, last_ long, part_ long")
     inside = planned(cut, last).where("block_ = last_").groupBy("source_", "part_", "key_").agg(F.sum("size_").alias("words_"))
     inside = inside.withColumn("upto_", upto(["key_"], "words_")).where("upto_ >= part_ AND upto_ - words_ < part_")
     keys = {r.source_: (r.key_, r.part_ - r.upto_ + r.words_, r.words_) for r in inside.collect()}
@@ -133,7 +143,8 @@ def mix(
         end, (edge, part, group) = ends.get(s, (-1, 0))[0], keys.get(s, (0, 0, 1))
         final.append((s, *head, end, edge, part, group, bounds[k, :-1].tolist()))
     kinds += ", last_ long, edge_ long, part_ long, group_ long, bounds_ array<long>"
-    plan = spark.createDataFrame(final, kinds)
+    plan = local_table(spark, final, kinds)
+    drop_stash(sizes)
 
     out = plain.withColumns({"source_": source, "key_": key, "size_": word_count(F.col(at["text"]))})
     out = planned(out, plan).withColumn("block_", block)
@@ -172,13 +183,32 @@ def mix(
 
 
 def emit(mixed: DataFrame, columns: list[str], shards: int = 64) -> DataFrame:
-    """The mix itself: a row a copy, partitioned by output shard and in the shard's order."""
+    """The mix itself: a row a copy with its shard, rank and words, partitioned by output shard and in its order."""
     rows = mixed.select(*columns, F.explode("draws").alias("draw_"))
     dealt = rows.repartitionById(shards, F.col("draw_.shard")).sortWithinPartitions("draw_.shard", "draw_.rank")
-    return dealt.select(*columns, F.col("draw_.shard").alias("shard"), F.col("draw_.words").alias("words"))
+    return dealt.select(*columns, F.col("draw_.shard").alias("shard"), F.col("draw_.rank").alias("rank"), F.col("draw_.words").alias("words"))
 
 
 def op3_mix_quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents mixed with weights 1, 2, 3."""
+    """All documents mixed with weights 1, 2, 3: the mix is written with its texts, and the result counted from it.
+
+    ``shards`` names the output shards of a document's copies, in order.  A document of which nothing is taken is
+    written as well, without text and shard, so that the files account for every row; rows alike in doc_id and
+    text are told apart by their number.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    same = [F.xxhash64("doc_id", "text").alias("a"), F.xxhash64(F.lit("second"), "doc_id", "text").alias("b")]
+    facts = ["doc_id", "a", "b", "size", "source_size", "target"]
+    none = F.array(F.struct(F.lit(None).cast("int").alias("shard"), F.xxhash64("doc_id", "text").alias("rank"), F.lit(0).cast("long").alias("words")))
+    mixed = mix(docs).select("*", *same).withColumn("draws", F.when(F.size("draws") > 0, F.col("draws")).otherwise(none))
+    rows = mixed.select(*facts, "text", F.posexplode("draws").alias("copy", "draw"))
+    rows = rows.select(*facts, "copy", "draw.*", F.when(F.col("draw.shard").isNotNull(), F.col("text")).alias("text"))
+    home = F.coalesce("shard", F.pmod("rank", F.lit(64)).cast("int"))
+    made = stash(rows.repartitionById(64, home).sortWithinPartitions(F.col("shard").asc_nulls_last(), "rank"), "mix")
+
+    alike = F.sum(F.when(F.col("copy") == 0, 1).otherwise(0))
+    counted = made.drop("text").groupBy(facts).agg(
+        F.sum("words").alias("words"), alike.alias("rows"), F.array_join(F.sort_array(F.collect_set("shard")), ",").alias("shards")
+    )
+    each = counted.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))).alias("row"))
+    return each.select("doc_id", "size", "source_size", "target", F.expr("words div rows").alias("taken"), "shards")
