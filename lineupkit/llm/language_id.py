@@ -2,8 +2,8 @@
 
 Filters of several widths slide over the bytes of fixed-length windows, each filter's largest
 response in a window is kept, and a softmax layer reads them.  The network is trained in numpy on a
-bounded sample of labelled windows (``per_language`` windows of each language, drawn by hash from all
-labelled documents, window places by hash as well).  A prediction covers the whole text: every
+bounded sample of labelled windows (those of the ``per_language`` distinct texts of each language with the smallest
+hashes of all labelled documents, window places by hash as well).  A prediction covers the whole text: every
 window counts, and the windows' log-probabilities are averaged, weighted by their bytes.
 
 Filters read bytes through tables: the contributions of two neighbouring bytes to all filters are
@@ -21,12 +21,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lineupkit.llm.workers import bound_batches, release
-from lineupkit.runtime import table
+from lineupkit.runtime import local_table, table
 
 WINDOW, FILTERS, WIDTHS = 256, 12, (2, 3, 4)
 UNKNOWN = "und"
@@ -129,26 +129,37 @@ def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], epochs:
     return net
 
 
-def fit(labelled: DataFrame, per_language: int = 1_500, seed: int = 11) -> ByteConvNet | None:
-    """Train on a bounded sample of (text, lang) rows: about ``per_language`` windows of each language.
+def fit(labelled: DataFrame, per_language: int = 1_500, seed: int = 11, max_languages: int = 10_000) -> ByteConvNet | None:
+    """Train on a bounded sample of (text, lang) rows: ``per_language`` distinct texts of each language.
 
-    The sample takes each language's documents by hash below a share computed from the full counts,
-    then one window a document, at a place that a hash picks from its whole text.
+    Copies of a text count once, so a group of copies can't fill a language's sample.  Those drawn are the
+    texts with the smallest hashes: a share computed from the full counts leaves a few more than are asked for, and
+    these alone are put in order.  Then one window a text, at a place that a hash picks from its whole length.
+    More than ``max_languages`` labels are an error (the driver holds the sample).
     """
+    spark = labelled.sparkSession
     rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL AND text <> ''").select("text", "lang")
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(256).collect()}
+    hashed = rows.select("lang", F.xxhash64(F.lit(seed), "text").alias("hash_"))
+    counts = {r.lang: r.n for r in hashed.distinct().groupBy("lang").agg(F.count("*").alias("n")).limit(max_languages + 1).collect()}
+    if len(counts) > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
     if not counts:
         return None
-    spark = labelled.sparkSession
-    wanted = [(k, min(1.0, per_language / n), -(-per_language // n)) for k, n in counts.items()]
-    shares = spark.createDataFrame(wanted, "lang string, share_ double, windows_ long")
-    hashed = F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(1_000_000)) / 1_000_000
-    drawn = rows.join(F.broadcast(shares), "lang").where(hashed < F.col("share_"))
+    span, most = 1 << 40, per_language + 6 * int(per_language**0.5) + 20
+    wanted = [(k, min(span, -(-span * most // n)), -(-per_language // n)) for k, n in counts.items()]
+    shares = local_table(spark, wanted, "lang string, share_ long, windows_ long")
+    near = F.pmod("hash_", F.lit(span)) < F.col("share_")
+    few = hashed.join(F.broadcast(shares), "lang").where(near).select("lang", "hash_", "windows_").distinct()
+    order = Window.partitionBy("lang").orderBy(F.pmod("hash_", F.lit(span)), "hash_")
+    few = few.withColumn("place_", F.row_number().over(order)).where(F.col("place_") <= per_language)
+    # At most per_language short rows a language: a proven bound for the broadcast.
+    texts = rows.withColumn("hash_", F.xxhash64(F.lit(seed), "text")).join(F.broadcast(few), ["lang", "hash_"])
+    drawn = texts.groupBy("lang", "hash_").agg(F.min("text").alias("text"), F.first("windows_").alias("windows_"))
     at = F.pmod(F.xxhash64(F.lit(seed + 1), "text", "n_"), F.greatest(F.lit(1), F.length("text") - WINDOW // 2))
     # A language of few documents gives several windows of each, at most 16.
     many = drawn.select("lang", "text", F.explode(F.sequence(F.lit(1), F.least(F.lit(16), F.col("windows_")))).alias("n_"))
     cut = many.select("lang", F.encode(F.substring("text", (at + 1).cast("int"), F.lit(WINDOW)), "utf-8").alias("cut_"))
-    sample = cut.limit(3 * per_language * len(counts)).collect()
+    sample = cut.collect()  # two windows for each text asked for, at most
     sample.sort(key=lambda r: (r.lang, bytes(r.cut_)))
     languages = sorted(counts)
     # Every eighth window is shown in capitals as well: headings and shouted text are rare but real.

@@ -66,3 +66,24 @@ def test_awkward_documents(spark):
         for _, stage in corpus_pipeline.STAGES:
             docs = stash(stage(spark, docs, SF), "test-awkward")
         assert docs.count() >= len(data) // 4
+
+
+def test_near_copies_go_by_row(spark):
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    a, b = "one two three four five six seven eight nine ten", "some other words that stand in no copy at all here"
+    rows = [(1, a, "en", "s", 1), (2, a, "en", "s", 1), (2, b, "en", "s", 1), (3, "z " * 9, "en", "t", 1), (3, "z " * 9, "en", "s", 1)]
+    rows += [(None, a, None, "s", 1), (None, "alone " + b[::-1], None, "s", 1), (None, "alone " + b[::-1], None, "s", 1), (7, None, None, None, None), (7, None, None, None, None), (8, " ", None, None, None)]
+    got = corpus_pipeline.near_copies(spark, spark.createDataFrame(rows, kinds).repartition(3), SF).collect()
+    left = [rows[k] for k in (0, 2, 4, 6, 8, 9, 10)]
+    assert sorted(map(tuple, got), key=str) == sorted(left, key=str)
+
+
+def test_windows_hold_their_ids(spark):
+    import zlib
+
+    import numpy as np
+
+    docs = spark.createDataFrame([(1, "some words"), (2, None)], "doc_id long, text string")
+    for r in corpus_pipeline.windows(spark, docs, SF).collect():
+        ids = np.frombuffer(r.ids, "<u2")
+        assert len(ids) == r.length and zlib.crc32(ids.astype("<u4").tobytes()) == r.ids_crc32

@@ -16,6 +16,7 @@ from lineupkit.llm.queries import QUERIES, SQL
 from lineupkit.llm.shingles import batch_sets
 from lineupkit.llm.wavelet import WaveletMatrix, build
 from lineupkit.runtime import work_path
+from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 KINDS = "doc_id long, text string, lang string, source string, size long, n_tokens long, draws string, text_ string"
@@ -54,7 +55,7 @@ def crc(ids):
 
 def test_word_encoder_equals_library():
     rng = random.Random(3)
-    bits = ["a", "The", " ", "  ", "\n", "'s", "'LL", "9", "é", "É́", "İ", "ß", "ΣΑΣ", "!", "..", ",", "\t", "\x1c", " ", "日本", "<|endoftext|>", "x" * 70, "_"]
+    bits = ["a", "The", " ", "  ", "\n", "'s", "'LL", "9", "é", "É́", "İ", "ß", "ΣΑΣ", "!", "..", ",", "\t", "\x1c", " ", "日本", "<|endoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|STARTofTEXT|>", "x" * 70, "_"]
     texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 12))) for _ in range(1500)] + [None]
     encoder = bpe_words.WordEncoder(bpe_words.default_path())
     for text, got in zip(texts, encoder.encode(texts, 2), strict=True):
@@ -63,6 +64,13 @@ def test_word_encoder_equals_library():
 
 def test_wavelet_queries():
     ids = np.random.default_rng(1).integers(0, 60, 5000).astype(np.uint16)
+    many = np.random.default_rng(2).integers(0, 3, 300_000).astype(np.uint16)
+    many[150_000:290_000] = 2  # long stretches without the others
+    wide = WaveletMatrix(build(many, [1], [300_000]))
+    for token in range(3):
+        where = np.flatnonzero(many == token)
+        for k in (0, 1, 1023, 1024, len(where) // 2, len(where) - 1):
+            assert wide.locate(token, k) == where[k]
     shard = WaveletMatrix(build(ids, [3, None], [4000, 1000]))
     assert (shard.decode() == ids).all() and shard.doc_ids == [3, None]
     assert all(shard.access(i) == ids[i] for i in range(0, 5000, 61))
@@ -250,7 +258,40 @@ def test_mixing(spark, odd, empty, sample):
         want = mixing.targets([size[s] for s in names], [(1, 2, 3)[k % 3] for k in range(len(names))])
         assert [target[s][1] for s in names] == pytest.approx(want)
     out = mixing.emit(mixing.mix(sample, whole_documents=True), ["doc_id"], 64)
-    assert out.agg({"words": "sum"}).first()[0] > 0 and out.columns == ["doc_id", "shard", "words"]
+    assert out.agg({"words": "sum"}).first()[0] > 0 and out.columns == ["doc_id", "shard", "rank", "words"]
+
+
+def test_mix_is_written_as_dealt(spark, sample):
+    """The mix as emitted: every shard holds its quota of whole blocks, copies are disjoint, targets are met."""
+    docs = sample.select("doc_id", "text", "source")
+    mixed = mixing.mix(docs, block_words=50, shards=8)
+    rows = mixing.emit(mixed, ["doc_id", "source", "size"], 8).collect()
+    taken = Counter()
+    for r in rows:
+        taken[r.doc_id] += r.words
+        assert 0 <= r.shard < 8 and r.words <= r["size"]
+    assert all(taken[r.doc_id] == r.taken for r in mixed.select("doc_id", "taken").collect())
+    # A copy of a document is dealt once: its draws have distinct ranks, and all shards hold like shares.
+    assert len({(r.doc_id, r.rank) for r in rows}) == len(rows)
+    # Each source's blocks lie in the shards in runs as long as the tree's quotas.
+    key = F.xxhash64(F.lit(20_240), F.col("doc_id").cast("long"), "text")
+    block = F.pmod(key, F.greatest(F.lit(1), F.ceil(F.col("source_size") / 50)))
+    placed = mixed.select("source", F.ceil(F.col("source_size") / 50).alias("blocks"), block.alias("block"), F.posexplode("draws").alias("copy", "draw"))
+    spots = defaultdict(list)
+    for r in placed.collect():
+        spots[r.source].append((r.copy * r.blocks + r.block, r.draw.shard))
+    names = sorted((s for s in spots if s is not None), key=lambda s: s.encode()) + [s for s in spots if s is None]
+    quotas = mixing.split_quotas([max(spots[s])[0] + 1 for s in names], 8, 20_240)
+    assert quotas.sum(0).max() - quotas.sum(0).min() <= 3
+    for name, own in zip(names, quotas, strict=True):
+        assert all(shard == np.searchsorted(np.cumsum(own), k, "right") for k, shard in spots[name])
+    got = {r.doc_id: r for r in QUERIES["op3_mix_quotas"](spark, SF).collect()}
+    direct = {r.doc_id: r for r in mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "draws").collect()}
+    assert got.keys() == direct.keys()
+    for k, r in got.items():
+        want = direct[k]
+        assert (r["size"], r.source_size, r.target, r.taken) == (want["size"], want.source_size, want.target, want.taken)
+        assert r.shards == ",".join(map(str, sorted({d.shard for d in want.draws})))
 
 
 def test_prefix_counts_equal_library():
@@ -275,6 +316,35 @@ def test_token_counts(odd, empty, sample):
     assert stored.prefix_tokens[-1] == stored.n_tokens and len(stored.prefix_tokens) == len(stored.text) + 1
 
 
+def test_language_prediction_equals_plain_convolution(spark, odd, sample):
+    """Every window of every text by the filters' definition, weighted by its bytes."""
+    net = language_id.fit(sample.select("text", "lang"), per_language=40)
+    for r in language_id.identify(odd.select("doc_id", "text").union(sample.select("doc_id", "text").where("doc_id % 7 = 0")), net).collect():
+        data = (r.text or "").encode()
+        if not re.search(r"[^\W\d_]", r.text or ""):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        total = np.zeros(len(net.languages))
+        for at in range(0, len(data), language_id.WINDOW):
+            own = np.frombuffer(data[at : at + language_id.WINDOW + 3].ljust(language_id.WINDOW + 3, b"\0"), np.uint8)
+            high = [np.max([sum(f[j][own[i + j]] for j in range(len(f))) for i in range(language_id.WINDOW)], axis=0) for f in net.filters]
+            z = np.maximum(np.concatenate(high), 0) @ net.out + net.bias
+            total += (z - np.log(np.exp(z - z.max()).sum()) - z.max()) * min(language_id.WINDOW, len(data) - at)
+            if at > 40 * language_id.WINDOW:
+                break
+        else:
+            want = np.exp(total / len(data) - (total / len(data)).max())
+            assert r.lang_pred == net.languages[int(want.argmax())] and r.score == pytest.approx(want.max() / want.sum(), abs=1e-3)
+
+
+def test_language_sample_is_exact_and_free_of_copies(spark):
+    rows = [(f"text number {k} of many words", "en") for k in range(300)] + [("one and the same text", "fr")] * 400 + [(f"le texte {k}", "fr") for k in range(5)]
+    net = language_id.fit(spark.createDataFrame(rows, "text string, lang string"), per_language=20)
+    assert net.languages == ["en", "fr"]
+    with pytest.raises(ValueError):
+        language_id.fit(spark.createDataFrame(rows, "text string, lang string"), max_languages=1)
+
+
 def test_language_id(spark, odd, empty):
     got = QUERIES["op4_byte_cnn"](spark, "/root/testdata/sf0.01").collect()
     truth = {r.doc_id: r.lang for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
