@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from lineupkit.llm.components import components
 from lineupkit.llm.shingles import batch_sets, set_id
 from lineupkit.llm.workers import bound_batches, release
-from lineupkit.runtime import drop_stash, stash, table
+from lineupkit.runtime import drop_stash, local_table, stash, table
 
 _CELL_BITS, _BLOCK = 20, 1 << 12
 _RANGES = 256
@@ -80,7 +80,7 @@ def _frequencies(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def _profiles(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Per document: doc_id, n, sid (identity of its set), ranked prefix, histogram over ranges."""
+    """Per document: doc_id, n, sid (identity of its set), ranked prefix, histogram over ranges (written)."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(_frequencies(docs, n).astype(np.uint32))
 
@@ -105,11 +105,13 @@ def _profiles(docs: DataFrame, n: int, percent: int) -> DataFrame:
         release()
 
     kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, sid long, prefix array<long>, ranges array<short>"
-    return docs.mapInArrow(profile, kinds)
+    out = stash(docs.mapInArrow(profile, kinds), "jaccard-profiles")
+    shared.destroy()
+    return out
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(sid, shingles) of the classes ``wanted`` (sid, label): scanned anew, picked by a bitmap."""
+    """(sid, shingles) of the classes ``wanted`` (sid, label): scanned anew, picked by a bitmap (written)."""
     spark = docs.sparkSession
 
     def bucket(c: str) -> Column:
@@ -143,7 +145,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     rows = docs.where("doc_id IS NOT NULL").withColumn("bucket_", bucket("doc_id"))
     kinds = f"label {docs.schema['doc_id'].dataType.simpleString()}, sid long, shingles array<long>"
     found = rows.mapInArrow(compute, kinds)
-    return found.join(wanted, ["label", "sid"], "left_semi").dropDuplicates(["sid"]).select("sid", "shingles")
+    out = stash(found.join(wanted, ["label", "sid"], "left_semi").dropDuplicates(["sid"]).select("sid", "shingles"), "jaccard-sets")
+    shared.destroy()
+    return out
 
 
 def _pair_filters(percent: int, first: bool) -> Column:
@@ -189,7 +193,7 @@ class _Verifier:
             ends = ends.join(self.sets, "sid", "left_anti")
         wanted = stash(self.classes.join(ends, "sid", "left_semi").select("label", "sid"), "jaccard-wanted")
         if not wanted.isEmpty():
-            more = stash(_sets(self.docs, wanted, self.n), "jaccard-sets")
+            more = _sets(self.docs, wanted, self.n)
             self.sets = more if self.sets is None else self.sets.unionByName(more)
         if self.sets is None:
             return False
@@ -210,7 +214,7 @@ class _Verifier:
     def reach(self) -> DataFrame:
         """(sid, comp) of the classes that have a link so far."""
         if self.links is None:
-            return self.docs.sparkSession.createDataFrame([], "sid long, comp long")
+            return local_table(self.docs.sparkSession, [], "sid long, comp long")
         found = components(self.links)
         out = stash(found.toDF("sid", "comp"), "jaccard-reach")
         drop_stash(found)
@@ -236,7 +240,7 @@ def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 85, rounds: int
     """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     bound_batches(docs.sparkSession)
-    profiles = stash(_profiles(docs, n, percent), "jaccard-profiles")
+    profiles = _profiles(docs, n, percent)
     known = profiles.where("n > 0 AND doc_id IS NOT NULL")
     classes = known.groupBy("sid").agg(
         F.min("doc_id").alias("label"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("ranges").alias("ranges")
