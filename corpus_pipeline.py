@@ -47,14 +47,36 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest doc_id of each group of near copies: five-word shingles, similarity 0.8."""
-    found = jaccard_join.near_duplicates(docs, n=5, percent=80)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("gone_"), "left_anti")
+    """One row of each group of near copies (five-word shingles, similarity 0.8): that of the smallest doc_id.
+
+    Decisions are by row, not by doc_id: a row is known by doc_id and text, rows without doc_id come
+    after all others, and of rows that share a doc_id that with the smaller hash of its text stays.  Of rows
+    equal in doc_id and text one stays.  Null and blank texts are copies of nothing and all stay.
+    """
+    key = F.struct(
+        F.col("doc_id").isNull().alias("absent"), F.col("doc_id").alias("id"),
+        F.xxhash64("text").alias("a"), F.xxhash64(F.lit("second"), "text").alias("b"),
+    )
+    found = jaccard_join.near_duplicates(docs.select(key.alias("doc_id"), "text"), n=5, percent=80)
+    known = found.where("n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("rows_"), F.first("component_id").alias("first_"))
+    verdicts = known.select(F.col("doc_id").alias("key_"), (F.col("doc_id") == F.col("first_")).alias("stays_"), "rows_")
+    verdicts = stash(verdicts.where("NOT stays_ OR rows_ > 1"), "copies")
+    names = [f"c{i}_" for i in range(len(docs.columns))]
+    rows = docs.select(*[F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)], key.alias("row_"))
+    one = rows.join(verdicts, rows["row_"] == F.col("key_"), "left_anti").select(*names)
+    # Rows equal in doc_id and text: one of them, by its other columns.
+    repeated = rows.join(verdicts.where("stays_"), rows["row_"] == F.col("key_"), "left_semi")
+    least = F.min_by(F.struct(*names), F.to_json(F.struct(*[n for c, n in zip(docs.columns, names, strict=True) if c != "text"])))
+    repeated = repeated.groupBy("row_").agg(least.alias("least_")).select("least_.*")
+    return one.unionByName(repeated).toDF(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole documents drawn to the sources' target weights, repeated where a source is short."""
+    """Whole documents drawn to the sources' target weights, repeated where a source is short.
+
+    A null text has no words and is never drawn; null is a source of its own; rows alike in doc_id and text are
+    dealt alike; without words nothing is drawn.
+    """
     mixed = mixing.mix(docs, whole_documents=True)
     own = [f"c{i}_" for i in range(len(docs.columns))]
     mixed = mixed.toDF(*own, "size_", "source_size_", "target_", "taken_", "draws")
@@ -62,8 +84,11 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of windows of at most 4,096 ids."""
-    return packing.pack_documents(docs)
+    """The pieces of windows of at most 4,096 ids, with their ids.
+
+    A null text is the end id alone; null and repeated doc_ids are packed each row on its own.
+    """
+    return packing.pack_documents(docs, block_tokens=4_000_000, with_ids=True, table_words=200_000)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
