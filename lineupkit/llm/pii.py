@@ -5,11 +5,14 @@ IBANs, secrets after a key word, persons after a title) are found by one pattern
 function of (key, kind, normalised entity, attempt): the same entity gets the same surrogate in every
 document.  Digits become digits and letters letters of the same case and script; punctuation stays;
 cards keep a valid check digit and IBANs theirs; a mail domain maps by itself, so addresses of one
-domain stay together; given names follow the title's gender, surnames the script and capitals.
+domain stay together; given names follow the entity's gender, all names the script and capitals.
 
-Collision checks: over the distinct entities of all documents, a surrogate that two entities share, or
-that is a real entity somewhere, is drawn again (attempt + 1) for all but the first of them until none is left;
-the rare entities with a later attempt are joined back by position.
+Surrogates are made once for each distinct entity, in a table of their own, and joined to the mentions; so the plan over
+the texts stays small.  First the parts that entities share (surnames, mail domains), then whole entities from them:
+"Mr. John Smith" and "Dr. John Smith" are one entity whose gender is that of all its titles, and "Mrs. Smith" has their
+surname.  Collision checks at both levels, over all documents: a surrogate that two entities share, or that is a real
+entity somewhere, is drawn again (attempt + 1) for all but the first of them; later attempts have more letters, so that
+they end.  Surnames and mail domains keep their surrogate whatever happens to the entities that they stand in.
 
 Candidates that fail a check (Luhn, IBAN) are left as they are.  A mail address has at most 64
 characters before the @.  A secret starts with at least 8 letters, digits or ``+/_=-`` and runs to its end, however
@@ -17,7 +20,8 @@ long: a blank, quote, bracket, comma, semicolon, ``&`` or ``?``, or the punctuat
 has every capitalised part, initial and particle (von, de la) that follows the title, with one blank between.
 
 Nulls and edge cases: a null text stays null with 0 entities; null and repeated doc_ids are rows like
-others; an empty table gives no rows; other columns pass through whatever their names.
+others; an empty table gives no rows; other columns pass through whatever their names.  Texts of any length are
+searched whole; a text's mentions and its pieces are held by one task.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineupkit.runtime import stash, table
+from lineupkit.runtime import drop_stash, stash, table
 
 # Titles by gender.
 MALE = ["Mr", "Mister", "Herr", "Monsieur", "Señor", "Sr", "Don", "г-н"]
@@ -40,16 +44,33 @@ GIVEN = {
     "female cyrillic": ["Анна", "Вера", "Галина", "Дарья", "Елена", "Жанна", "Зоя", "Ирина", "Ксения", "Лидия", "Мария", "Нина", "Ольга", "Полина", "Раиса", "София"],
 }
 GIVEN["neutral cyrillic"] = ["Саша", "Женя", "Валя", "Шура", "Слава", "Паша", "Миша", "Вася", "Тоша", "Лёля", "Кира", "Ника", "Рома", "Тома", "Гена", "Лера"]
-# Syllables of surrogate surnames.
+GIVEN["male greek"] = ["Ανδρέας", "Βασίλης", "Γιάννης", "Δημήτρης", "Ηλίας", "Κώστας", "Νίκος", "Πέτρος"]
+GIVEN["female greek"] = ["Άννα", "Βασιλική", "Δήμητρα", "Ελένη", "Ζωή", "Κατερίνα", "Μαρία", "Σοφία"]
+GIVEN["neutral greek"] = ["Άγγελος", "Αύρα", "Ερμής", "Ήλιος", "Μελής", "Φοίβη", "Χάρις", "Ωρίων"]
+# Syllables of surrogate surnames by script.
 SYLLABLES = ["ba", "ce", "di", "fo", "gu", "ha", "je", "ki", "lo", "mu", "na", "pe", "ri", "so", "tu", "va"]
 CYRILLIC = ["ба", "ве", "ги", "до", "жу", "за", "ке", "ли", "мо", "ну", "па", "ре", "си", "то", "фу", "ха"]
+GREEK = ["βα", "γε", "δι", "ζο", "θυ", "κα", "λε", "μι", "νο", "ξυ", "πα", "ρε", "σι", "το", "φυ", "χα"]
+# Particles inside names, which stay.
+PARTICLES = ["von", "van", "de", "du", "di", "da", "del", "della", "dos", "bin", "ibn", "al", "der", "den", "dem", "la", "las", "los", "el", "zu"]
 # Letters by script and case.
 LETTERS = [
     ("[a-z]", "abcdefghijklmnopqrstuvwxyz"),
     ("[A-Z]", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
     ("[а-яё]", "абвгдежзиклмнопрстуфхцчшэюя"),
     ("[А-ЯЁ]", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ"),
-    ("[α-ωά-ώ]", "αβγδεζηθικλμνξοπρστυφχψω"),
+    (r"(?=\p{Ll})\p{IsGreek}", "αβγδεζηθικλμνξοπρστυφχψω"),
+    (r"\p{IsGreek}", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"),
+    (r"(?=\p{Ll})\p{IsArmenian}", "աբգդեզէըթժիլխծկհձղճմ"),
+    (r"\p{IsArmenian}", "ԱԲԳԴԵԶԷԸԹԺԻԼԽԾԿՀՁՂՃՄ"),
+    (r"\p{IsHebrew}", "אבגדהוזחטיכלמנסעפצקרשת"),
+    (r"\p{IsArabic}", "ابتثجحخدذرزسشصضطظعغفقكلمنهوي"),
+    (r"\p{IsDevanagari}", "कखगघचछजझटठडढतथदधनपफबभमयरलवशषसह"),
+    (r"\p{IsThai}", "กขคงจชซดตถทธนบปผพฟมยรลวสหอ"),
+    (r"\p{IsHangul}", "가나다라마바사아자차카타파하"),
+    (r"\p{IsHiragana}", "あいうえおかきくけこさしすせそたちつてと"),
+    (r"\p{IsKatakana}", "アイウエオカキクケコサシスセソタチツテト"),
+    (r"\p{IsHan}", "山川田中大小木林森水火土金石天地日月星光"),
     (r"\p{Lu}", "ÀÁÂÄÇÈÉÊËÌÍÎÏÑÒÓÔÖÙÚÛÜ"),
     (r"\p{L}", "àáâäçèéêëìíîïñòóôöùúûü"),
 ]
@@ -59,7 +80,7 @@ _TITLE = "|".join(MALE + FEMALE + NEUTRAL)
 _HEAD = rf"(?:{_TITLE})\.?(?: (?:{'|'.join(NEUTRAL)})\.?)*+ "
 # Loops are possessive: Java takes them without recursion, so no length runs out of stack.
 _NAME = r"(?:(?:\p{Lu}\.-?)*+\p{Lu}[\p{L}\p{M}'’-]++|\p{Lu}\.(?:-?\p{Lu}\.)*+|\p{Lu}(?![\p{L}\p{M}\p{N}]))"
-_PARTICLES = r"(?:(?:von|van|de|du|di|da|del|della|dos|bin|ibn|al)(?: (?:der|den|dem|la|las|los|el|zu))?+ )?+"
+_PARTICLES = rf"(?:(?:{'|'.join(PARTICLES[:12])})(?: (?:{'|'.join(PARTICLES[12:])}))?+ )?+"
 _SECRET = r"[A-Za-z0-9+/_=-]{8,}+(?:[.~!@#$%^*:|]++[A-Za-z0-9+/_=-]++)*+"
 #: kind -> pattern, in order of precedence.
 PATTERNS = {
@@ -130,14 +151,10 @@ def _head(kind: Column, entity: Column) -> Column:
     return F.when(kind == "secret", secret).when(kind == "person", person).otherwise(F.lit(""))
 
 
-def _tail(kind: Column, entity: Column) -> Column:
-    return F.substring(entity, F.length(_head(kind, entity)) + 1, F.length(entity))
-
-
-def normal(kind: Column, entity: Column) -> Column:
+def normal(kind: Column, tail: Column) -> Column:
     """The form that coreferent mentions share."""
-    tail = _tail(kind, entity)
-    out = F.when(kind.isin("phone", "card", "ssn"), _digits(tail))
+    out = F.when(kind == "phone", F.concat(F.when(tail.startswith("+"), "+").otherwise(""), _digits(tail)))
+    out = out.when(kind.isin("card", "ssn"), _digits(tail))
     out = out.when(kind == "iban", F.replace(tail, F.lit(" "), F.lit("")))
     return out.when(kind.isin("email", "person"), F.lower(tail)).otherwise(tail)
 
@@ -169,141 +186,172 @@ def _hex_scramble(s: Column, hexes: Column) -> Column:
     return F.substring(F.repeat(hexes, F.ceil(F.length(s) / 128).cast("int")), F.lit(1), F.length(s))
 
 
-def _pick(names: list[str], hexes: Column, i: int) -> Column:
-    return F.element_at(F.array(*map(F.lit, names)), _byte(hexes, F.lit(i)) % len(names) + 1)
-
-
-def _surname(word: Column, hexes: Column, attempt: Column) -> Column:
-    """Three syllables and one more for each later attempt, in the word's script and capitals."""
-    syllables = F.sequence(F.lit(1), F.least(F.lit(40), attempt + 3))
-    latin, other = (F.array(*map(F.lit, x)) for x in (SYLLABLES, CYRILLIC))
-    of = lambda table: F.array_join(F.transform(syllables, lambda i: F.element_at(table, _byte(hexes, i) % 16 + 1)), "")
-    plain = F.when(word.rlike("[а-яёА-ЯЁ]"), of(other)).otherwise(of(latin))
-    return F.when((word == F.upper(word)) & (F.length(word) > 1), F.upper(plain)).otherwise(F.initcap(plain))
-
-
-def _person(head: Column, tail: Column, key: Column, hexes: Column, attempt: Column) -> Column:
-    """Given names and initials each by itself, particles kept, the last part as a surname (it alone grows by attempt)."""
-    title = F.regexp_extract(head, "^[^. ]+", 0)
-    gender = F.when(title.isin(MALE), "male").when(title.isin(FEMALE), "female").otherwise("neutral")
-
-    def given(part: Column) -> Column:
-        what = F.concat(gender, F.when(part.rlike("[а-яёА-ЯЁ]"), " cyrillic").otherwise(""))
-        own = _random(key, F.lit("given"), F.lower(part), attempt.cast("string"))
-        name = F.lit(None).cast("string")
-        for k, names in GIVEN.items():
-            name = F.when(what == k, _pick(names, own, 0)).otherwise(name)
-        name = F.when(part == F.upper(part), F.upper(name)).otherwise(name)
-        initial = part.contains(".") | (F.length(part) == 1)
-        return F.when(part == F.lower(part), part).when(initial, _let(own, lambda h: _scramble(part, h))).otherwise(name)
-
-    parts = F.split(tail, " ")
-    last = F.element_at(parts, -1)
-    family = _surname(last, _random(key, F.lit("surname"), F.lower(last), attempt.cast("string")), attempt)
-    family = F.when(last.endswith("."), F.concat(F.initcap(family), F.lit("."))).otherwise(family)
-    before = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), given)
-    return F.array_join(F.concat(before, F.array(family)), " ")
-
-
-def surrogate(kind: Column, entity: Column, attempt: Column, key: str) -> Column:
-    """The replacement of an entity of a known kind."""
-    k = F.lit(key)
-
-    def made(head: Column, tail: Column, hexes: Column) -> Column:
-        scrambled = _scramble(tail, hexes)
-        body = F.substring(scrambled, F.lit(1), F.length(scrambled) - 1)
-        luhn = F.concat(body, ((10 - _luhn_sum(F.concat(_digits(body), F.lit("0"))) % 10) % 10).cast("string"))
-        fresh = F.concat(F.substring(tail, 1, 2), F.lit("00"), F.substring(scrambled, F.lit(5), F.length(scrambled)))
-        checked = F.lpad((98 - _mod97(F.replace(fresh, F.lit(" "), F.lit("")))).cast("string"), 2, "0")
-        iban = F.concat(F.substring(fresh, 1, 2), checked, F.substring(fresh, F.lit(5), F.length(fresh)))
-        local, domain = F.substring_index(tail, "@", 1), F.substring_index(tail, "@", -1)
-        name = F.substring(domain, F.lit(1), F.length(domain) - F.length(F.substring_index(domain, ".", -1)) - 1)
-        host = _scramble(name, _random(k, F.lit("domain"), F.lower(domain)))
-        email = F.concat(_scramble(local, hexes), F.lit("@"), host, F.lit("."), F.substring_index(domain, ".", -1))
-        country = F.when(tail.startswith("+"), F.regexp_extract(tail, r"^(\+\d{1,3})", 1)).otherwise(F.lit(""))
-        phone = F.concat(country, F.substring(scrambled, F.length(country) + 1, F.length(tail)))
-        ip = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_byte(hexes, i) % 254 + 1).cast("string")), ".")
-        secret = F.when(tail.rlike("^[0-9a-f]+$"), _hex_scramble(tail, hexes)).otherwise(scrambled)
-        return F.concat(
-            head,
-            F.when(kind == "email", email)
-            .when(kind == "card", luhn)
-            .when(kind == "iban", iban)
-            .when(kind == "phone", phone)
-            .when(kind == "ip", ip)
-            .when(kind == "secret", secret)
-            .when(kind == "person", _person(head, tail, k, hexes, attempt))
-            .otherwise(scrambled),
-        )
-
-    hexes = _random(k, kind, normal(kind, entity), attempt.cast("string"))
-    return _let(hexes, lambda h: made(_head(kind, entity), _tail(kind, entity), h))
-
-
-def _settle(found: DataFrame, key: str, rounds: int = 40) -> DataFrame | None:
-    """(kind, norm, attempt) of the entities that need a later attempt than the first, if any."""
-    again: DataFrame | None = None
+def _script(word: Column) -> Column:
+    out = F.when(word.rlike("[а-яёА-ЯЁ]"), "cyrillic").when(word.rlike(r"\p{IsGreek}"), "greek")
+    return out.when(word.rlike(r"\p{IsLatin}"), "latin").otherwise("other")
+
+
+def _parts_made(parts: DataFrame, key: str) -> DataFrame:
+    """``other``: the surrogate of a shared part (kind surname or domain, norm in lower case)."""
+    norm, attempt = F.col("norm"), F.col("attempt")
+    parts = parts.withColumn("hexes_", _random(F.lit(key), F.col("kind"), norm, attempt.cast("string")))
+    hexes, count = F.col("hexes_"), F.least(F.lit(40), attempt + 3)
+
+    def syllables(table: list[str]) -> Column:
+        of = F.array(*map(F.lit, table))
+        return F.array_join(F.transform(F.sequence(F.lit(1), count), lambda i: F.element_at(of, _byte(hexes, i) % 16 + 1)), "")
+
+    more = F.repeat(F.substring(norm, 1, 1), F.greatest(F.lit(0), attempt - 2))
+    script = _script(norm)
+    name = F.when(script == "latin", syllables(SYLLABLES)).when(script == "cyrillic", syllables(CYRILLIC)).when(script == "greek", syllables(GREEK))
+    name = name.otherwise(_scramble(F.concat(norm, more), hexes))
+    name = F.when(norm.endswith(".") & (script != "other"), F.concat(name, F.lit("."))).otherwise(name)
+    top = F.substring_index(norm, ".", -1)
+    host = F.substring(norm, F.lit(1), F.length(norm) - F.length(top) - 1)
+    domain = F.concat(_scramble(F.concat(host, more), hexes), F.lit("."), top)
+    return parts.withColumn("other", F.when(F.col("kind") == "surname", name).otherwise(domain)).drop("hexes_")
+
+
+def _given(part: Column, gender: Column, norm: Column, attempt: Column, key: str) -> Column:
+    """A part before the surname, in lower case: particles stay, initials become initials, names follow gender and script."""
+    seed = F.concat_ws("\x01", part, gender, F.when(attempt > 0, norm).otherwise(F.lit("")), attempt.cast("string"))
+    own = _random(F.lit(key), F.lit("given"), seed)
+    what = F.concat_ws(" ", gender, F.when(_script(part) != "latin", _script(part)))
+    names = F.create_map(*[x for k, v in GIVEN.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+
+    def made(hexes: Column) -> Column:
+        table = names[what]
+        drawn = F.transform(F.sequence(F.lit(0), attempt), lambda i: F.element_at(table, _byte(hexes, i) % F.size(table) + 1))
+        more = F.repeat(F.substring(part, 1, 1), F.greatest(F.lit(0), attempt - 2))
+        initial = part.contains(".") | (F.length(part) == 1) | table.isNull()
+        return F.when(initial, _scramble(F.concat(part, more), hexes)).otherwise(F.lower(F.array_join(drawn, "-")))
+
+    return F.when(part.isin(PARTICLES), part).otherwise(_let(own, made))
+
+
+def _entities_made(found: DataFrame, key: str) -> DataFrame:
+    """``other``: an entity's surrogate in its normal form, from ``part_other``, the surrogate of its surname or domain."""
+    kind, norm, attempt = F.col("kind"), F.col("norm"), F.col("attempt")
+    found = found.withColumn("hexes_", _random(F.lit(key), kind, norm, attempt.cast("string")))
+    hexes = F.col("hexes_")
+    more = F.repeat(F.lit("a"), F.greatest(F.lit(0), attempt - 2))
+    held = F.when(kind == "email", F.concat(F.substring_index(norm, "@", 1), more)).when(kind == "secret", F.concat(norm, more)).otherwise(norm)
+    mixed = F.when((kind == "secret") & norm.rlike("^[0-9a-f]+$"), _hex_scramble(norm, hexes)).otherwise(_scramble(held, hexes))
+    found = found.withColumn("mixed_", F.when(~kind.isin("person", "ip"), mixed))
+    mixed = F.col("mixed_")
+    body = F.substring(mixed, F.lit(1), F.length(mixed) - 1)
+    luhn = F.concat(body, ((10 - _luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10).cast("string"))
+    rest = F.substring(mixed, F.lit(5), F.length(mixed))
+    checked = F.lpad((98 - _mod97(F.concat(F.substring(norm, 1, 2), F.lit("00"), rest))).cast("string"), 2, "0")
+    country = F.regexp_extract(norm, r"^\+(?:1|7|\d\d)", 0)
+    ip = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_byte(hexes, i) % 254 + 1).cast("string")), ".")
+    parts = F.split(norm, " ")
+    before = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda p: _given(p, F.col("gender"), norm, attempt, key))
+    out = (
+        F.when(kind == "email", F.concat(mixed, F.lit("@"), F.col("part_other")))
+        .when(kind == "card", luhn)
+        .when(kind == "iban", F.concat(F.substring(norm, 1, 2), checked, rest))
+        .when(kind == "phone", F.concat(country, F.substring(mixed, F.length(country) + 1, F.length(mixed))))
+        .when(kind == "ip", ip)
+        .when(kind == "person", F.array_join(F.concat(before, F.array("part_other")), " "))
+        .otherwise(mixed)
+    )
+    return found.withColumn("other", out).drop("hexes_", "mixed_")
+
+
+def _settle(found: DataFrame, make, key: str, rounds: int) -> DataFrame:
+    """``found`` (kind, norm, ...) with ``other``: a surrogate for each, none shared and none real (written)."""
     now = found.withColumn("attempt", F.lit(0))
     for _ in range(rounds):
-        made = now.withColumn("other", normal(F.col("kind"), surrogate(F.col("kind"), F.col("entity"), F.col("attempt"), key)))
-        made = stash(made.select("kind", "norm", "entity", "attempt", "other"), "pii-surrogates")
+        made = stash(make(now, key), "pii-surrogates")
         # The first of equal surrogates keeps it; none may be a real entity.
-        first = made.groupBy("kind", "other").agg(F.min("norm").alias("first_"), F.count("*").alias("n_")).where("n_ > 1")
-        shared = made.join(first, ["kind", "other"]).where("norm <> first_").select("kind", "norm")
-        real = made.select("kind", F.col("norm").alias("other")).distinct()
-        taken = made.join(real, ["kind", "other"], "left_semi").select("kind", "norm")
-        clash = stash(shared.union(taken).distinct().withColumn("clash_", F.lit(1)), "pii-clashes")
-        if clash.isEmpty():
-            return again
-        now = made.join(clash, ["kind", "norm"], "left")
-        now = now.select("kind", "norm", "entity", (F.col("attempt") + F.coalesce("clash_", F.lit(0))).alias("attempt"))
-        now = stash(now, "pii-attempts")
-        again = now.where("attempt > 0").select("kind", "norm", "attempt")
-    raise RuntimeError("surrogates did not settle")
+        first = made.groupBy("kind", "other").agg(F.min("norm").alias("first_"))
+        real = made.select("kind", F.col("norm").alias("other"), F.lit(True).alias("real_")).distinct()
+        clash = (F.col("norm") != F.col("first_")) | F.col("real_").isNotNull()
+        now = made.join(first, ["kind", "other"]).join(real, ["kind", "other"], "left").withColumn("clash_", clash)
+        now = stash(now.drop("first_", "real_"), "pii-attempts")
+        drop_stash(made)
+        if now.where("clash_").isEmpty():
+            return now.drop("clash_", "attempt")
+        now = now.withColumn("attempt", F.col("attempt") + F.col("clash_").cast("int")).drop("clash_", "other")
+    raise RuntimeError(f"surrogates did not settle in {rounds} rounds: too few of one format")
+
+
+def _written(kind: Column, head: Column, tail: Column, other: Column) -> Column:
+    """A surrogate in the format of one mention: its punctuation, blanks and capitals."""
+    bare = F.regexp_replace(other, r"[^\p{L}\p{N}]", "")
+
+    def pour(done: Column, c: Column) -> Column:
+        taken = F.substring(bare, done["k"], F.lit(1))
+        cased = F.when((c == F.upper(c)) & (c != F.lower(c)), F.upper(taken)).otherwise(taken)
+        fills = c.rlike(r"[\p{L}\p{N}]")
+        return F.struct((done["k"] + fills.cast("int")).alias("k"), F.concat(done["s"], F.when(fills, cased).otherwise(c)).alias("s"))
+
+    start = F.struct(F.lit(1).alias("k"), F.lit("").alias("s"))
+    poured = F.aggregate(F.filter(F.split(tail, ""), lambda c: c != ""), start, pour, lambda d: d["s"])
+    # Later attempts can be longer than the mention.
+    poured = F.when(F.length(_bare(tail)) == F.length(bare), poured).otherwise(other)
+
+    def styled(part: Column, new: Column) -> Column:
+        loud = (part == F.upper(part)) & (F.length(_bare(part)) > 1)
+        pieces = F.array_join(F.transform(F.split(new, "-"), lambda p: F.initcap(p)), "-")
+        return F.when(part == F.lower(part), new).when(loud, F.upper(new)).otherwise(pieces)
+
+    name = F.array_join(F.zip_with(F.split(tail, " "), F.split(other, " "), styled), " ")
+    return F.concat(head, F.when(kind == "person", name).when(kind.isin("ip", "secret"), other).otherwise(poured))
+
+
+def _bare(s: Column) -> Column:
+    return F.regexp_replace(s, r"[^\p{L}\p{N}]", "")
+
+
+def surrogates(mentions: DataFrame, key: str, rounds: int = 40) -> DataFrame:
+    """(kind, entity, new) for the distinct (kind, entity) of ``mentions`` (written)."""
+    forms = mentions.select("kind", "entity").distinct()
+    forms = forms.withColumn("head", _head(F.col("kind"), F.col("entity")))
+    forms = forms.withColumn("tail", F.substring(F.col("entity"), F.length("head") + 1, F.length("entity")))
+    forms = stash(forms.withColumn("norm", normal(F.col("kind"), F.col("tail"))), "pii-forms")
+    title = F.regexp_extract("head", "^[^. ]+", 0)
+    known = forms.groupBy("kind", "norm").agg(F.max(title.isin(MALE)).alias("male"), F.max(title.isin(FEMALE)).alias("female"))
+    gender = F.when(F.col("male") & ~F.col("female"), "male").when(F.col("female") & ~F.col("male"), "female").otherwise("neutral")
+    part = F.when(F.col("kind") == "person", F.element_at(F.split("norm", " "), -1)).when(F.col("kind") == "email", F.substring_index("norm", "@", -1))
+    of = F.when(F.col("kind") == "person", "surname").when(F.col("kind") == "email", "domain")
+    known = stash(known.select("kind", "norm", gender.alias("gender"), of.alias("part_kind"), part.alias("part")), "pii-entities")
+    parts = known.where("part_kind IS NOT NULL").select(F.col("part_kind").alias("kind"), F.col("part").alias("norm")).distinct()
+    parts = _settle(parts, _parts_made, key, rounds).select(F.col("kind").alias("part_kind"), F.col("norm").alias("part"), F.col("other").alias("part_other"))
+    whole = known.join(parts, ["part_kind", "part"], "left").select("kind", "norm", "gender", "part_other")
+    whole = _settle(whole, _entities_made, key, rounds)
+    new = _written(F.col("kind"), F.col("head"), F.col("tail"), F.col("other"))
+    out = stash(forms.join(whole.select("kind", "norm", "other"), ["kind", "norm"]).select("kind", "entity", new.alias("new")), "pii-new")
+    for df in (forms, known, parts, whole):
+        drop_stash(df)
+    return out
 
 
 def replace_entities(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
     """``docs`` with entities in ``text`` replaced; ``n_entities`` and ``kinds`` (sorted) added."""
     names = [f"c{i}_" for i in range(len(docs.columns))]
     at = dict(zip(docs.columns, names, strict=True))
-    plain = docs.toDF(*names)
-    text = F.col(at["text"])
-    # (kind, entity) of every candidate in order; the costly steps only where the pattern is found.
-    candidates = F.transform(
-        F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda e: F.struct(kind_of(e).alias("kind"), e.alias("entity"))
-    )
+    text, same = F.col(at["text"]), [at["doc_id"], at["text"]]
+    plain = docs.toDF(*names).withColumns({"a_": F.xxhash64(*same), "b_": F.xxhash64(F.lit("second"), *same)})
+    found = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
     maybe = text.rlike(HINTS[0]) | text.rlike(HINTS[1]) | text.rlike(HINTS[2])
-    hits = plain.where(maybe)
-    each = hits.select(F.inline(candidates).alias("kind", "entity")).where("kind IS NOT NULL")
-    each = each.select("kind", normal(F.col("kind"), F.col("entity")).alias("norm"), "entity")
-    found = each.groupBy("kind", "norm").agg(F.min("entity").alias("entity"))
-    again = _settle(stash(found, "pii-entities"), key)
-
-    rows = plain.withColumn("found_", F.when(maybe, candidates))
-    if again is None:
-        rows = rows.withColumn("attempts_", F.lit(None).cast("map<int,int>"))
-    else:
-        row = F.xxhash64(at["doc_id"], at["text"])
-        spots = hits.select(row.alias("row_"), F.posexplode(candidates).alias("pos", "c")).where("c.kind IS NOT NULL")
-        spots = spots.select("row_", "pos", F.col("c.kind").alias("kind"), normal(F.col("c.kind"), F.col("c.entity")).alias("norm"))
-        later = spots.join(again, ["kind", "norm"]).select("row_", "pos", "attempt").distinct()
-        later = later.groupBy("row_").agg(F.map_from_entries(F.collect_list(F.struct("pos", "attempt"))).alias("attempts_"))
-        rows = rows.withColumn("row_", row).join(later, "row_", "left")
-
-    def new(c: Column, i: Column) -> Column:
-        attempt = F.coalesce(F.try_element_at("attempts_", i), F.lit(0))
-        return F.when(c["kind"].isNull(), c["entity"]).otherwise(surrogate(c["kind"], c["entity"], attempt, key))
-
+    mentions = plain.where(maybe).select("a_", "b_", F.posexplode(found).alias("pos", "entity"))
+    mentions = stash(mentions.withColumn("kind", kind_of(F.col("entity"))).where("kind IS NOT NULL").distinct(), "pii-mentions")
+    new = mentions.join(surrogates(mentions, key), ["kind", "entity"])
+    # One row a document: rows alike in doc_id and text share it.
+    per_row = new.groupBy("a_", "b_").agg(
+        F.map_from_entries(F.collect_list(F.struct("pos", "new"))).alias("new_"), F.count("*").alias("n_"), F.sort_array(F.collect_set("kind")).alias("kinds_")
+    )
+    rows = plain.join(stash(per_row, "pii-rows"), ["a_", "b_"], "left")
+    drop_stash(mentions)
+    pieces = F.transform(found, lambda e, i: F.coalesce(F.try_element_at("new_", i), e))
     gaps = F.split(text, ANY, -1)
-    woven = F.array_join(F.transform(F.arrays_zip(gaps.alias("g"), F.transform("found_", new).alias("n")), lambda p: F.concat(p["g"], F.coalesce(p["n"], F.lit("")))), "")
-    rows = rows.withColumn("new_", F.when(F.size("found_") > 0, woven).otherwise(text))
-    kinds = F.filter(F.col("found_")["kind"], lambda k: k.isNotNull())
-    own = [F.col("new_" if c == "text" else n).alias(c) for n, c in zip(names, docs.columns, strict=True)]
-    none = F.array().cast("array<string>")
+    woven = F.array_join(F.transform(F.arrays_zip(gaps.alias("g"), pieces.alias("n")), lambda p: F.concat(p["g"], F.coalesce(p["n"], F.lit("")))), "")
+    rows = rows.withColumn("text_", F.when(F.col("n_").isNotNull(), woven).otherwise(text))
+    own = [F.col("text_" if c == "text" else n).alias(c) for n, c in zip(names, docs.columns, strict=True)]
     return rows.select(
-        *own,
-        F.size(F.coalesce(kinds, none)).cast("long").alias("n_entities"),
-        F.array_sort(F.array_distinct(F.coalesce(kinds, none))).alias("kinds"),
+        *own, F.coalesce("n_", F.lit(0)).cast("long").alias("n_entities"), F.coalesce("kinds_", F.array().cast("array<string>")).alias("kinds")
     )
 
 
