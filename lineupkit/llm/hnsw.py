@@ -5,6 +5,10 @@ from __future__ import annotations
 import numpy as np
 
 
+#: Bytes for the marks of the vectors that searches under way have seen.
+SEEN_BYTES = 32 << 20
+
+
 class Hnsw:
     """Graph over unit vectors (float32, one a row); nearness is the inner product.
 
@@ -58,7 +62,7 @@ class Hnsw:
         for at in range(0, len(new), 512):
             some = slice(at, at + 512)
             links[new[some]] = self._diverse(ids[some], sims[some], room)
-        # Reverse links: a vector's proposals, nearest first (more than any choice looks at), together with its present links, best kept.
+        # Reverse links: a vector's proposals, nearest first, together with its present links, best kept.
         source = np.repeat(new, room)
         target = links[new].ravel()
         keep = target >= 0
@@ -67,7 +71,7 @@ class Hnsw:
         order = np.lexsort((-value, target))
         source, target = source[order], target[order]
         heads, first, count = np.unique(target, return_index=True, return_counts=True)
-        width = int(min(count.max(initial=0), 4 * room))
+        width = int(min(count.max(initial=0), 4 * room))  # more than a choice looks at: it takes the nearest 3 * room
         for at in range(0, len(heads), 512):
             h, f, c = heads[at : at + 512], first[at : at + 512], np.minimum(count[at : at + 512], width)
             place = f[:, None] + np.arange(width)
@@ -122,10 +126,17 @@ class Hnsw:
                 at[moving], best[moving] = near[better][np.arange(len(moving)), top], value
         return at
 
-    def _search(
+    def _search(self, queries: np.ndarray, start: np.ndarray, layer: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """Best-first beam search: (ids, similarities), best first, -1 padded; so many queries at once
+        that their marks of seen vectors stay within ``SEEN_BYTES``."""
+        step = max(1, SEEN_BYTES // max(1, len(self.x)))
+        found = [self._step(queries[k : k + step], start[k : k + step], layer, beam) for k in range(0, max(1, len(queries)), step)]
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+    def _step(
         self, queries: np.ndarray, start: np.ndarray, layer: int, beam: int, expand: int = 4
     ) -> tuple[np.ndarray, np.ndarray]:
-        """Best-first beam search of all queries in step: (ids, similarities), best first, -1 padded."""
+        """The search of some queries in step."""
         q, n = len(queries), len(self.x)
         links = self.links[layer]
         seen = np.zeros((q, n), bool)

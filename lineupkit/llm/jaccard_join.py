@@ -304,3 +304,20 @@ def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 85, rounds: int
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents: 4-word shingles, similarity 0.85."""
     return near_duplicates(table(spark, sf_dir, "documents"), 4, 85)
+
+
+OP6_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' '))) END AS sh FROM w),
+x AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS h FROM s),
+p AS (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM x a JOIN x b ON a.h = b.h AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+r(u, v) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.u, p.v FROM r JOIN p ON p.u = r.v),
+c AS (SELECT u, min(v) AS component_id FROM r GROUP BY u)
+SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id FROM s JOIN c ON c.u = s.doc_id
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lineupkit.llm.jaccard_join import op6_ngram_jaccard
+from lineupkit.llm.jaccard_join import OP6_SQL, op6_ngram_jaccard
 from lineupkit.llm.language_id import op4_byte_cnn
 from lineupkit.llm.line_dedup import OP8_SQL, op8_line_dedup
 from lineupkit.llm.mixing import op3_mix_quotas
@@ -14,7 +14,7 @@ from lineupkit.llm.packing import op9_pack_tiers
 from lineupkit.llm.pii import op7_surrogates
 from lineupkit.llm.token_counts import op5_prefix_counts
 from lineupkit.llm.token_files import op2_token_wavelet
-from lineupkit.llm.vector_dedup import op1_hnsw_dedup
+from lineupkit.llm.vector_dedup import OP1_SQL, op1_hnsw_dedup
 from lineupkit.llm.vector_search import op10_rp_forest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -29,4 +29,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pack_tiers": op9_pack_tiers,
     "op10_rp_forest": op10_rp_forest,
 }
-SQL: dict[str, str] = {"op8_line_dedup": OP8_SQL}
+SQL: dict[str, str] = {"op1_hnsw_dedup": OP1_SQL, "op6_ngram_jaccard": OP6_SQL, "op8_line_dedup": OP8_SQL}

@@ -13,7 +13,8 @@ must fit a task.  Queries come in blocks of ``block_rows``.
 
 Nulls and edge cases: vectors that are null, zero or hold null or non-finite components link with
 nothing and are components of their own; only vectors of equal length are compared; a null vec_id
-takes no part (component null); an empty table gives no rows; other columns are ignored.
+takes no part (component null); rows that share a vec_id are vectors each of its own, linked or not by what they hold,
+and get a result row each; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -61,16 +62,16 @@ class _Search:
     def _widen(self, unit: np.ndarray) -> None:
         """The audit: a sample of queries by brute force, in blocks."""
         sample = unit[: self.audit].astype(np.float32)
-        exact = sample @ self.graph.x.T
+        inner, top = [], np.zeros(len(sample), np.float32)
+        for at in range(0, len(sample), 32):  # 32 queries against a shard: a few tens of MB at most
+            sims = sample[at : at + 32] @ self.graph.x.T
+            inner += [np.flatnonzero(row >= self.threshold) for row in sims]
+            top[at : at + 32] = sims.max(1)
         while self.beam < len(self.ids):
             ids, sims = self.graph.search(sample, self.beam)
-            inner = exact >= self.threshold
-            found = np.zeros_like(inner)
-            r, c = np.nonzero(ids >= 0)
-            found[r, ids[r, c]] = True
             open_end = sims[:, -1] >= self.threshold  # widened query by query later
-            missed = (inner & ~found)[~open_end].any()
-            nearest = (sims[:, 0] >= exact.max(1) - 1e-5).mean()
+            missed = any(not np.isin(want, got).all() for want, got, more in zip(inner, ids, open_end, strict=True) if not more)
+            nearest = (sims[:, 0] >= top - 1e-5).mean()
             if not missed and nearest >= 0.9:
                 break
             self.beam *= 2
@@ -142,8 +143,9 @@ def near_vectors(
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
     usable = F.col("vec_id").isNotNull() & is_valid(F.col("e"))
     keyed = rows.select("vec_id", "e", usable.alias("usable_"), *hashes(F.col("e")))
-    nodes = keyed.where("usable_").groupBy("ha_", "hb_").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"), F.first("e").alias("e"))
-    nodes = stash(nodes, "vector-nodes")
+    nodes = keyed.where("usable_").groupBy("ha_", "hb_").agg(F.min("vec_id").alias("low"), F.count("*").alias("n"), F.first("e").alias("e"))
+    # A number of its own for every distinct vector, fixed by being written.
+    nodes = stash(nodes.withColumn("id", F.monotonically_increasing_id()), "vector-nodes")
     count = nodes.count()
     shards = max(spark.sparkContext.defaultParallelism, -(-count // shard_rows))
     blocks = max(1, -(-count // block_rows))
@@ -153,10 +155,10 @@ def near_vectors(
 
     reach = components(found.where("v IS NOT NULL").select("u", "v"))
     links = found.where("v IS NULL").groupBy("u").agg(F.sum("links").alias("links"))
-    joined = nodes.select("ha_", "hb_", "id", "n").join(links, F.col("id") == F.col("u"), "left")
-    joined = joined.join(reach, F.col("id") == F.col("node"), "left").select(
-        "ha_", "hb_", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")
-    )
+    joined = nodes.select("ha_", "hb_", "id", "n", "low").join(links, F.col("id") == F.col("u"), "left")
+    joined = joined.join(reach, F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id"))
+    least = joined.groupBy("component").agg(F.min("low").alias("component_id"))
+    joined = joined.join(least, "component").select("ha_", "hb_", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
     alone = keyed.where(~F.col("usable_")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     known = keyed.where("usable_").select("vec_id", "ha_", "hb_").join(joined, ["ha_", "hb_"])
     out = known.select("vec_id", "n_links", "component_id").unionByName(alone)
@@ -166,3 +168,18 @@ def near_vectors(
 def op1_hnsw_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All embeddings linked at cosine 0.9."""
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+OP1_SQL = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+      WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+r(u, w) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.u, p.w FROM r JOIN p ON p.u = r.w),
+c AS (SELECT u, min(w) AS component_id FROM r GROUP BY u),
+n AS (SELECT u, count(*) AS n_links FROM p GROUP BY u)
+SELECT c.u AS vec_id, coalesce(n_links, 0) AS n_links, component_id, c.u = component_id AS kept
+FROM c LEFT JOIN n ON n.u = c.u
+"""

@@ -200,6 +200,11 @@ def test_jaccard_join(spark, sample, n, percent):
         assert got == brute_classes(texts, n, percent)
 
 
+def test_op6_equals_sql(spark, duck):
+    got = sorted(map(tuple, QUERIES["op6_ngram_jaccard"](spark, SF).collect()))
+    assert got == sorted(duck.sql(SQL["op6_ngram_jaccard"]).fetchall())
+
+
 def test_jaccard_odd_rows(odd, empty):
     got = jaccard_join.near_duplicates(odd).collect()
     assert len(got) == odd.count() and all(r.component_id is None for r in got if r.doc_id is None)

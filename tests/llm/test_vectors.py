@@ -87,3 +87,47 @@ def test_graph_recall():
     assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(ids, best, strict=True)]) > 0.9
     assert Hnsw(x[:1]).search(q[:2], 4)[0][:, 0].tolist() == [0, 0]
     assert (Hnsw(np.zeros((0, 32))).search(q[:2], 4)[0] == -1).all()
+
+
+def test_repeated_ids(spark):
+    """Rows that share a vec_id are vectors of their own; a search names an id once."""
+    a, b, c = [1.0, 0.0, 0.0], [1.0, 0.1, 0.0], [0.0, 0.0, 1.0]
+    df = spark.createDataFrame([(1, a), (1, b), (1, a), (2, c), (2, b), (3, c)], "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, near_vectors(df).collect()))
+    assert got == [(1, 3, 1, True)] * 3 + [(2, 1, 2, True), (2, 3, 1, False), (3, 1, 2, False)]
+    found = sorted(map(tuple, nearest(df, F.col("vec_id") == 1, k=2).select("query_id", "rank", "vec_id").collect()))
+    assert found == [(1, 1, 2), (1, 2, 3)]
+
+
+def regions(n, seed):
+    """A few tight groups, an even cloud and a line: regions that are unlike in how hard they are to search."""
+    rng = np.random.default_rng(seed)
+    tight = rng.normal(size=(8, 32)).repeat(n // 32, 0) + rng.normal(size=(n // 4, 32)) * 0.15
+    line = np.linspace(0, 1, n // 4)[:, None] * rng.normal(size=32) + rng.normal(size=(n // 4, 32)) * 0.3
+    return np.concatenate([tight, line, rng.normal(size=(n - len(tight) - len(line), 32))]).astype(np.float32).astype(float)
+
+
+def test_many_rows_in_few_shards(spark):
+    x = regions(20_000, 3)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    asked = np.arange(0, 20_000, 40)
+    sims = unit[asked] @ unit.T
+    sims[np.arange(len(asked)), asked] = -2
+    want = np.argsort(-sims, 1)[:, :5]
+    found = {}
+    for r in nearest(df, F.col("vec_id") % 40 == 0).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = np.array([len(found[int(q)] & set(w.tolist())) / 5 for q, w in zip(asked, want, strict=True)])
+    assert hits.mean() >= 0.95 and min(hits[:125].mean(), hits[125:250].mean(), hits[250:].mean()) >= 0.9
+    got = {r.vec_id: r.n_links for r in near_vectors(df.where("vec_id % 4 = 0"), beam=16).collect()}
+    own = unit[::4]
+    links = np.concatenate([(own[k : k + 1000] @ own.T >= 0.9).sum(1) for k in range(0, len(own), 1000)]) - 1
+    assert sum(got[4 * k] for k in range(len(own))) >= 0.999 * links.sum() and all(got[4 * k] <= n for k, n in enumerate(links.tolist()))
+
+
+def test_op1_equals_sql(spark, duck):
+    from lineupkit.llm.queries import QUERIES, SQL
+
+    got = sorted(map(tuple, QUERIES["op1_hnsw_dedup"](spark, "/root/testdata/sf0.001").select("vec_id", "n_links", "component_id", "kept").collect()))
+    assert got == sorted(duck.sql(SQL["op1_hnsw_dedup"]).fetchall())
