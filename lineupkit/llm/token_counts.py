@@ -5,14 +5,16 @@ ends in exactly one token ``t`` such that the last token of what is before ``t``
 when encoded together, so ``count[i] = count[i - len(t)] + 1``.  The recurrence is run once for each
 distinct stretch between a black and a blank and kept, as differences by character, in a bounded
 table in each Python worker; a text's counts are the running sum of its stretches' differences.
-Truncation and budget questions are then look-ups in that array.
+Truncation and budget questions are then look-ups in that array: ``count_tokens`` stores it, compressed, beside each text's
+id, and ``within_budget`` and ``tokens_of_prefix`` answer from the stored column without the text or the tokenizer.
 
 Pre-tokens at a cut follow the tokenizer's pattern: a run of white space at the cut is one
 pre-token, and inside a text its last blank joins the next word.
 
 Nulls and edge cases: a null or empty text has the single count 0; strings of added tokens inside a
 text count one token, cuts inside them count as plain text; null and repeated doc_ids are rows like
-others; an empty table gives no rows; other columns pass through whatever their names.
+others; an empty table gives no rows; other columns pass through whatever their names.  Texts reach a worker in batches of a
+few MB; one longer than that is held whole with eight bytes a character.  A worker's tables take some 150 MB at most.
 """
 
 from __future__ import annotations
@@ -21,20 +23,25 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import islice
 from operator import sub
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lineupkit.llm.bpe_words import default_path
-from lineupkit.runtime import table
+from lineupkit.llm.workers import bound_batches, release
+from lineupkit.runtime import stash, table
 
-#: Stretches a worker keeps before it starts afresh, and the longest it keeps.
-MAX_UNITS, MAX_UNIT = 1_000_000, 64
+#: Stretches a worker keeps before it drops the later half (about 150 bytes each), and the longest it keeps.
+MAX_UNITS, MAX_UNIT = 400_000, 64
+#: Pairs of tokens and heads of pre-tokens a worker keeps (about 200 and 800 bytes each).
+MAX_PAIRS, MAX_HEADS = 300_000, 50_000
 #: Characters of a pre-token's head whose state is kept and shared by words that start alike.
 HEAD = 6
 #: Pre-tokens of the byte-level pattern, white space apart (fixed value).
@@ -86,7 +93,7 @@ class PrefixCounter:
         self.units = _Units(self._differences)
 
     def _stay_apart(self, left: str, right: str) -> bool:
-        if len(self.apart) > 2_000_000:
+        if len(self.apart) > MAX_PAIRS:
             self.apart.clear()
         got = self.model.tokenize(left + right)
         found = self.apart[left, right] = len(got) == 2 and got[0].value == left
@@ -114,7 +121,7 @@ class PrefixCounter:
                     break
             if stop == HEAD and n > HEAD:
                 self.heads[shown[:HEAD]] = (counts.copy(), last.copy())
-                if len(self.heads) > MAX_UNITS // 4:
+                if len(self.heads) > MAX_HEADS:
                     self.heads.clear()
         if n == len(text):
             return counts[1:]
@@ -184,8 +191,10 @@ class PrefixCounter:
         look = self.units.__getitem__
         raw = [look(parts[0])] if parts[0] else []
         raw += [look(" " + p) for p in parts[1:]]
-        if len(self.units) > MAX_UNITS:
-            self.units.clear()
+        if len(self.units) > MAX_UNITS:  # the stretches met first are the frequent ones
+            kept = _Units(self._differences)
+            kept.update(islice(self.units.items(), MAX_UNITS // 2))
+            self.units = kept
         out = np.zeros(len(text) + 1, np.int64)
         np.cumsum(np.frombuffer(b"".join(raw), np.int16), out=out[1:])
         return out
@@ -198,23 +207,69 @@ def counter(path: str) -> PrefixCounter:
     return _counters[path]
 
 
+def pack_prefixes(counts: np.ndarray) -> bytes:
+    """The stored form of the counts of all prefixes."""
+    return zstandard.ZstdCompressor(level=1).compress(np.diff(counts).astype("<i2").tobytes())
+
+
+def open_prefixes(stored: bytes) -> np.ndarray:
+    """Tokens of the first i characters, i from 0."""
+    return np.concatenate([[0], np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(stored), "<i2"), dtype=np.int64)])
+
+
+def _from_stored(stored: DataFrame, places: Column, answers: list[str], ask) -> DataFrame:
+    """``stored`` without its counts, and the columns ``answers``: ``ask(counts, place)`` for each row, null without either."""
+    names = [f"c{i}_" for i in range(len(stored.columns))]
+    held = names[stored.columns.index("prefix_tokens")]
+
+    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, asked = batch.column(held).to_pylist(), batch.column("asked_").to_pylist()
+            none = (None,) * len(answers)
+            found = [none if r is None or x is None else ask(open_prefixes(r), x) for r, x in zip(raw, asked, strict=True)]
+            more = [pa.array([f[k] for f in found], pa.int64()) for k in range(len(answers))]
+            kept = [n for n in names if n != held]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), *more], names=[*kept, *(f"{a}_" for a in answers)])
+        release()
+
+    plain = stored.select("*", places.cast("long").alias("asked_")).toDF(*names, "asked_")
+    schema = T.StructType([f for f in plain.schema.fields if f.name not in (held, "asked_")])
+    for name in answers:
+        schema = schema.add(f"{name}_", T.LongType())
+    own = [F.col(n).alias(c) for c, n in zip(stored.columns, names, strict=True) if n != held]
+    return plain.mapInArrow(answered, schema).select(*own, *[F.col(f"{a}_").alias(a) for a in answers])
+
+
+def within_budget(stored: DataFrame, budget: int | Column) -> DataFrame:
+    """``all_tokens`` and ``budget_chars`` (longest prefix of at most ``budget`` tokens) from stored counts."""
+    place = budget if isinstance(budget, Column) else F.lit(budget)
+    return _from_stored(stored, place, ["all_tokens", "budget_chars"], lambda counts, most: (int(counts[-1]), longest_prefix(counts, most)))
+
+
+def tokens_of_prefix(stored: DataFrame, chars: int | Column) -> DataFrame:
+    """``first_tokens``: tokens of the first ``chars`` characters (of all, if fewer) from stored counts."""
+    place = chars if isinstance(chars, Column) else F.lit(chars)
+    return _from_stored(stored, place, ["first_tokens"], lambda counts, k: (int(counts[min(max(k, 0), len(counts) - 1)]),))
+
+
 def longest_prefix(counts: np.ndarray, budget: int) -> int:
     """Characters of the longest prefix of at most ``budget`` tokens (counts can fall as well as rise)."""
-    return int(np.flatnonzero(counts <= budget)[-1])
+    fits = np.flatnonzero(counts <= budget)
+    return int(fits[-1]) if len(fits) else 0
 
 
 def count_tokens(docs: DataFrame, budget: int = 512, vocabulary: str | None = None, store: bool = False) -> DataFrame:
     """``docs`` with ``n_bytes``, ``n_tokens`` and ``fits_chars`` added.
 
     ``fits_chars`` is the length of the longest prefix within ``budget`` tokens.  With ``store`` the
-    counts of all prefixes are added as ``prefix_tokens`` (element i + 1: tokens of the first i
-    characters), to answer later questions without encoding.
+    counts of all prefixes are added as ``prefix_tokens`` (their differences by character as zstd of little-endian int16),
+    to answer later questions without encoding.
     """
     vocabulary = vocabulary or default_path("byte_bpe_50k.json")
     names = [f"c{i}_" for i in range(len(docs.columns))]
     text = names[docs.columns.index("text")]
     kinds = [("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("fits_chars", pa.int64())]
-    kinds += [("prefix_tokens", pa.list_(pa.int32()))] if store else []
+    kinds += [("prefix_tokens", pa.binary())] if store else []
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(vocabulary)
@@ -226,20 +281,26 @@ def count_tokens(docs: DataFrame, budget: int = 512, vocabulary: str | None = No
                     counts = own.prefixes(value or "")
                     n = int(counts[-1])
                     row = (len((value or "").encode()), n, longest_prefix(counts, budget) if n > budget else len(counts) - 1)
-                    rows.append((*row, counts.astype(np.int32)) if store else row)
+                    rows.append((*row, pack_prefixes(counts)) if store else row)
                 more = [pa.array(c, k) for c, (_, k) in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*names, *(f"{n}_" for n, _ in kinds)])
+        release()
 
+    bound_batches(docs.sparkSession)
     plain = docs.toDF(*names)
     schema = T.StructType(list(plain.schema.fields))
     for name, kind in kinds:
-        schema = schema.add(f"{name}_", T.LongType() if kind == pa.int64() else T.ArrayType(T.IntegerType()))
+        schema = schema.add(f"{name}_", T.LongType() if kind == pa.int64() else T.BinaryType())
     out = plain.mapInArrow(counted, schema)
     own = [F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)]
     return out.select(*own, *[F.col(f"{n}_").alias(n) for n, _ in kinds])
 
 
 def op5_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token counts of all documents and whether they pass 512 tokens."""
-    out = count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), 512)
-    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"), "fits_chars")
+    """Prefix counts of all documents written once; their totals and what fits 512 tokens answered from the table."""
+    made = count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), 512, store=True)
+    stored = stash(made.select("doc_id", "n_bytes", "prefix_tokens"), "prefix-tokens")
+    out = within_budget(stored, 512)
+    return out.select(
+        "doc_id", "n_bytes", F.col("all_tokens").alias("n_tokens"), (F.col("all_tokens") > 512).alias("over_limit"), F.col("budget_chars").alias("fits_chars")
+    )

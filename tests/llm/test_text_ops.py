@@ -318,7 +318,17 @@ def test_token_counts(odd, empty, sample):
             assert len(tokenizer.encode(text[: r.fits_chars], add_special_tokens=False).ids) <= 50 or r.n_tokens <= 50
     assert token_counts.count_tokens(empty).count() == 0
     stored = token_counts.count_tokens(odd.select("doc_id", "text"), store=True).where("doc_id = 4").first()
-    assert stored.prefix_tokens[-1] == stored.n_tokens and len(stored.prefix_tokens) == len(stored.text) + 1
+    counts = token_counts.open_prefixes(stored.prefix_tokens)
+    assert counts[-1] == stored.n_tokens and len(counts) == len(stored.text) + 1
+    kept = token_counts.count_tokens(odd.drop("n_tokens"), store=True).withColumn("budget_chars", F.lit("clash"))
+    n = lambda text: len(tokenizer.encode(text, add_special_tokens=False).ids)
+    for r in token_counts.within_budget(kept, 3).toDF(*[f"x{k}" for k in range(13)]).collect():
+        assert r.x11 == n(r.x1 or "") and n((r.x1 or "")[: r.x12]) <= 3 and r.x10 == "clash"
+    for r in token_counts.tokens_of_prefix(kept.select("text", "prefix_tokens"), F.length("text") - 2).where("text IS NOT NULL").collect():
+        assert r.first_tokens == n(r.text[: max(0, len(r.text) - 2)])
+    direct = {r.doc_id: (r.n_bytes, r.n_tokens, r.fits_chars) for r in token_counts.count_tokens(sample.select("doc_id", "text"), 512).collect()}
+    got = QUERIES["op5_prefix_counts"](sample.sparkSession, SF).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_tokens, r.fits_chars) for r in got} == direct and all(r.over_limit == (r.n_tokens > 512) for r in got)
 
 
 def test_language_prediction_equals_plain_convolution(spark, odd, sample):
