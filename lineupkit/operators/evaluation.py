@@ -6,14 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def normalize_name(name: Column) -> Column:
-    """Trimmed, lower-cased, every word and every hyphen part capitalised; blank gives null."""
-    part = lambda p: F.concat(F.upper(F.substring(p, 1, 1)), p.substr(F.lit(2), F.length(p)))
-    word = lambda w: F.array_join(F.transform(F.split(w, "-"), part), "-")
-    out = F.array_join(F.transform(F.split(F.trim(F.lower(name)), r"\s+"), word), " ")
-    return F.when(F.trim(name) != "", out)
-
-
 def chronological_split(sizes: DataFrame, order: str, share: float) -> DataFrame:
     """``cumulative`` and ``train`` added to (order, n): training ends at the first cumulative count of
     at least ``round(total * share)``, halves to even.  One row an event, so one window orders them."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lineupkit.operators import evaluation
+from lineupkit.operators import evaluation, names
 from lineupkit.plans import corpus_queries as base
 from lineupkit.runtime import table
 from lineupkit.sources.domain import MEMBERS_SQL, teams
@@ -40,7 +40,7 @@ def _placed(s, d):
          array_to_string(list_transform(string_split(w, '-'), lambda p: upper(p[1]) || p[2:]), '-')), ' ') AS name FROM part""",
 )
 def normalized_names(s, d):
-    return table(s, d, "part").select("p_partkey", evaluation.normalize_name(F.col("p_name")).alias("name"))
+    return table(s, d, "part").select("p_partkey", names.normalize_name(F.col("p_name")).alias("name"))
 
 
 @query(

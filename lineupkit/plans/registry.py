@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from lineupkit.plans import corpus_queries, evaluation_queries
+from lineupkit.plans import corpus_queries, evaluation_queries, ingest_queries
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = [corpus_queries, evaluation_queries]
+MODULES = [corpus_queries, evaluation_queries, ingest_queries]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 for module in MODULES:
