@@ -20,8 +20,12 @@ def _beside(df: DataFrame, one_row: DataFrame) -> DataFrame:
 def team_weights(teams: DataFrame, tau: float | None, in_person: float = 1.0) -> DataFrame:
     """(team_id, w): exponential recency in days times the in-person multiplier, mean 1.
 
-    ``tau`` None leaves age out.  The newest day of the table is the reference.
+    ``tau`` None leaves age out.  The newest day of the table is the reference; with ``tau`` a team without a day has
+    no weight and no row.
     """
+    if tau is not None and tau <= 0:
+        raise ValueError("tau must be positive")
+    teams = teams.where("day IS NOT NULL") if tau is not None else teams
     age = F.datediff(F.col("ref_"), F.col("day")) if tau is not None else F.lit(0)
     raw = _beside(teams, teams.agg(F.max("day").alias("ref_"))).select(
         "team_id", (F.exp(-age / F.lit(tau or 1.0)) * F.when(F.col("in_person"), in_person).otherwise(1.0)).alias("raw_")
@@ -86,7 +90,9 @@ def shifted_ppmi(counts: DataFrame, shift: float = 1.0) -> DataFrame:
         raise ValueError("shift must be positive")
     both = mirrored(counts, "n")
     rows = both.groupBy("i").agg(F.sum("n").alias("r"))
-    total = both.agg(F.sum("n").alias("total_"))
+    # A negative count is an error; a table without any positive one has no rows.
+    refused = F.raise_error(F.lit("counts must not be negative"))
+    total = both.agg(F.when(F.min("n") < 0, refused.cast("double")).otherwise(F.sum("n")).alias("total_"))
     left = rows.select("i", F.col("r").alias("ri"))
     right = rows.select(F.col("i").alias("j"), F.col("r").alias("rj"))
     lift = F.ln(F.col("n") * F.col("total_") / (F.col("ri") * F.col("rj"))) - F.ln(F.lit(float(shift)))

@@ -72,20 +72,18 @@ def icc(rows: DataFrame, group: str, value: str) -> DataFrame:
     return sums.select(F.col("g").alias("groups"), "n", F.when((F.col("g") >= 2) & (below > 0), (between - within) / below).alias("icc"))
 
 
-def blocks(couplings: DataFrame, features: DataFrame) -> DataFrame:
-    """Every species pair's block split into synergy (mean), row and column effects and interaction.
+def blocks(cells: DataFrame) -> DataFrame:
+    """The known couplings of every species pair split into synergy (the block's mean), row and column effects and interaction.
 
-    ``features`` (feature, species) is a vocabulary, so the grid of its pairs is small; a pair without a coupling
-    counts 0.
+    ``cells`` as ``operators.blocks.entries`` gives them; sums over known couplings are divided by the block's sides, so a pair
+    without a coupling counts 0 and needs no row.
     """
-    a = features.select(F.col("feature").alias("i"), F.col("species").alias("p"))
-    b = features.select(F.col("feature").alias("j"), F.col("species").alias("q"))
-    both = couplings.unionByName(couplings.select(F.col("j").alias("i"), F.col("i").alias("j"), "coupling"))
-    grid = a.join(b, F.col("p") < F.col("q")).join(both, ["i", "j"], "left").fillna(0.0, ["coupling"])
-    whole, row, col = (F.avg("coupling").over(Window.partitionBy("p", "q", *x)) for x in ([], ["i"], ["j"]))
-    named = grid.withColumns({"synergy": whole, "row_": row, "col_": col})
-    inter = F.col("coupling") - F.col("row_") - F.col("col_") + F.col("synergy")
+    half = cells.where("p < q")
+    whole = half.groupBy("p", "q").agg(F.sum("b").alias("s_"))
+    row = half.groupBy("p", "q", "i").agg(F.sum("b").alias("r_"))
+    col = half.groupBy("p", "q", "j").agg(F.sum("b").alias("c_"))
+    named = half.join(whole, ["p", "q"]).join(row, ["p", "q", "i"]).join(col, ["p", "q", "j"])
+    mean, r, c = F.col("s_") / (F.col("np") * F.col("nq")), F.col("r_") / F.col("nq"), F.col("c_") / F.col("np")
     return named.select(
-        "p", "q", "i", "j", "coupling", "synergy", (F.col("row_") - F.col("synergy")).alias("row"),
-        (F.col("col_") - F.col("synergy")).alias("col"), inter.alias("inter"),
-    )
+        "p", "q", "i", "j", F.col("b").alias("coupling"), mean.alias("synergy"), (r - mean).alias("row"), (c - mean).alias("col"), (F.col("b") - r - c + mean).alias("inter")
+    )

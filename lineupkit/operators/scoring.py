@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineupkit.operators.corpus import mirrored, team_pairs
+from lineupkit.operators.evaluation import running_sums
 from lineupkit.runtime import stash
 
 
@@ -31,33 +32,6 @@ def pairwise_rows(members: DataFrame, couplings: DataFrame) -> DataFrame:
     return rows.select("team_id", "i", "j", "coupling", share.alias("share"), F.row_number().over(order).alias("rank"))
 
 
-def single_swaps(members: DataFrame, fields: DataFrame, couplings: DataFrame, top: int = 20, field_weight: float = 1.0) -> DataFrame:
-    """The ``top`` legal single swaps of each team: out, in, delta_adj, delta_raw, delta_coherence, rank.
-
-    A feature is its own species here, so any feature that the team lacks may come in.  The coupling
-    of a feature to a team is one aggregate over the team's members; a swap corrects it for the
-    member that leaves.
-    """
-    both = mirrored(couplings, "coupling")
-    h = fields.select("feature", "h")
-    # Teams by features they lack: the vocabulary is short.
-    teams = members.select("team_id").distinct()
-    cand = teams.crossJoin(F.broadcast(h)).join(members.withColumn("own_", F.lit(True)), ["team_id", "feature"], "left")
-    pull = members.toDF("team_id", "j").join(both, "j").groupBy("team_id", "i").agg(F.sum("coupling").alias("pull")).withColumnRenamed("i", "feature")
-    cand = cand.join(pull, ["team_id", "feature"], "left").fillna(0.0, ["pull"])
-    inn = cand.where("own_ IS NULL").select("team_id", F.col("feature").alias("in"), F.col("h").alias("h_in"), F.col("pull").alias("pull_in"))
-    out = cand.where("own_").select("team_id", F.col("feature").alias("out"), F.col("h").alias("h_out"), F.col("pull").alias("pull_out"))
-    pairs = out.join(inn, "team_id").join(both.toDF("in", "out", "tie"), ["in", "out"], "left").fillna(0.0, ["tie"])
-    gain = F.col("pull_in") - F.col("tie") - F.col("pull_out")
-    rise = F.col("h_in") - F.col("h_out")
-    swaps = pairs.select(
-        "team_id", "out", "in", (-field_weight * rise - gain).alias("delta_adj"), (-rise - gain).alias("delta_raw"), gain.alias("delta_coherence")
-    )
-    # Rounded for the order only, so that the last bits do not decide between equal swaps.
-    order = Window.partitionBy("team_id").orderBy(F.round("delta_adj", 9), "out", "in")
-    return swaps.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-
-
 def cooccurrence_scores(held: DataFrame, counts: DataFrame, vocab: DataFrame) -> DataFrame:
     """(team_id, feature, score): how often each feature of the vocabulary meets the held ones."""
     teams = held.select("team_id").distinct().crossJoin(F.broadcast(vocab.select("feature")))
@@ -118,15 +92,14 @@ def nearest_observed(queries: DataFrame, corpus: DataFrame, lattice: int = 10) -
     )
 
 
-def weighted_percentiles(scored: DataFrame, value: str, weight: str) -> DataFrame:
+def weighted_percentiles(scored: DataFrame, value: str, weight: str, width: float = 0.01) -> DataFrame:
     """``percentile`` of every row's value: weight below plus half the weight of equals, in percent.
 
-    Sums by distinct value first; only these are put in order.
+    Sums by distinct value first; these are put in order by stretches of ``width``.
     """
-    sums = scored.groupBy(value).agg(F.sum(weight).alias("w_"))
-    run = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    placed = sums.withColumn("upto_", F.sum("w_").over(run)).crossJoin(F.broadcast(sums.agg(F.sum("w_").alias("total_"))))
-    share = 100.0 * (F.col("upto_") - F.col("w_") / 2) / F.col("total_")
+    sums = scored.where(F.col(value).isNotNull()).groupBy(value).agg(F.sum(weight).alias("w_"))
+    placed = running_sums(sums, value, ["w_"], width).crossJoin(F.broadcast(sums.agg(F.sum("w_").alias("total_"))))
+    share = 100.0 * (F.col("w__below") + F.col("w_") / 2) / F.col("total_")
     return scored.join(placed.select(value, share.alias("percentile")), value)
 
 

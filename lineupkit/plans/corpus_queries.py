@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lineupkit.operators import corpus, scoring
+from lineupkit.operators import completion, corpus, scoring
 from lineupkit.sources.domain import MEMBERS_SQL, pair_members, rosters, species_members, teams
 
 TAU, IN_PERSON, SUPPORT = 365.0, 3.0, 10
@@ -234,21 +234,18 @@ def pairwise_rows(s, d):
 
 @query(
     "e20_single_swaps",
-    """, six AS (SELECT team_id FROM mem GROUP BY team_id HAVING count(*) = 6),
-       m6 AS (SELECT * FROM mem WHERE team_id IN (SELECT team_id FROM six)),
+    """, m6 AS (SELECT mem.* FROM mem SEMI JOIN fld USING (feature)),
        pull AS (SELECT team_id, csym.i AS f, sum(coupling) AS p FROM m6 JOIN csym ON m6.feature = csym.j GROUP BY 1, 2),
        sw AS (SELECT o.team_id, o.feature AS out, c.feature AS "in", a.h AS ho, c.h AS hi, coalesce(x.p, 0) AS po, coalesce(y.p, 0) AS pi, coalesce(t.coupling, 0) AS tie
          FROM m6 o JOIN fld a ON a.feature = o.feature JOIN fld c ON NOT EXISTS (SELECT 1 FROM m6 z WHERE z.team_id = o.team_id AND z.feature = c.feature)
          LEFT JOIN pull x ON x.team_id = o.team_id AND x.f = o.feature LEFT JOIN pull y ON y.team_id = o.team_id AND y.f = c.feature
          LEFT JOIN csym t ON t.i = c.feature AND t.j = o.feature),
-       ds AS (SELECT team_id, out, "in", -(hi - ho) - (pi - tie - po) AS dr, pi - tie - po AS dc FROM sw),
-       rk AS (SELECT *, row_number() OVER (PARTITION BY team_id ORDER BY round(dr, 9), out, "in") AS k FROM ds)
-       SELECT team_id, out, "in", round(dr, 6) AS delta_adj, round(dr, 6) AS delta_raw, round(dc, 6) AS delta_coherence, CAST(k AS INTEGER) AS rank FROM rk WHERE k <= 10""",
+       ds AS (SELECT team_id, out, "in", -0.5::DOUBLE * (hi - ho) - (pi - tie - po) AS da, -(hi - ho) - (pi - tie - po) AS dr, pi - tie - po AS dc FROM sw),
+       rk AS (SELECT *, row_number() OVER (PARTITION BY team_id ORDER BY round(da, 9), out, "in") AS k FROM ds)
+       SELECT team_id, out, "in", round(da, 6) AS delta_adj, round(dr, 6) AS delta_raw, round(dc, 6) AS delta_coherence, CAST(k AS INTEGER) AS rank FROM rk WHERE k <= 10""",
 )
 def single_swaps(s, d):
-    members = species_members(s, d)
-    six = members.groupBy("team_id").count().where("count = 6").select("team_id")
-    out = scoring.single_swaps(members.join(six, "team_id", "left_semi"), *_model(s, d), top=10)
+    out = completion.ranked_swaps(species_members(s, d), completion.local_model(*_model(s, d)), 10, 0.5)
     return out.select("team_id", "out", "in", *[F.round(c, 6).alias(c) for c in ("delta_adj", "delta_raw", "delta_coherence")], "rank")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lineupkit.operators import evaluation, names
+from lineupkit.operators import blocks, evaluation, names
 from lineupkit.plans import corpus_queries as base
 from lineupkit.runtime import table
 from lineupkit.sources.domain import MEMBERS_SQL, teams
@@ -89,12 +89,12 @@ def icc(s, d):
 @query(
     "f2_block_anova",
     f""", {base._PAIRMODEL}, ft AS (SELECT DISTINCT feature, species FROM pmem),
-       b AS (SELECT x.species AS p, y.species AS q, x.feature AS i, y.feature AS j, coalesce(c.coupling, d.coupling, 0) AS coupling
+       b AS (SELECT x.species AS p, y.species AS q, x.feature AS i, y.feature AS j, coalesce(c.coupling, d.coupling, 0) AS coupling, coalesce(c.coupling, d.coupling) IS NOT NULL AS known
          FROM ft x JOIN ft y ON x.species < y.species LEFT JOIN pcpl c ON c.i = x.feature AND c.j = y.feature LEFT JOIN pcpl d ON d.j = x.feature AND d.i = y.feature),
        e AS (SELECT *, avg(coupling) OVER (PARTITION BY p, q) AS m, avg(coupling) OVER (PARTITION BY p, q, i) AS r, avg(coupling) OVER (PARTITION BY p, q, j) AS c FROM b)
-       SELECT p, q, i, j, round(coupling, 7) AS coupling, round(m, 7) AS synergy, round(r - m, 7) AS row, round(c - m, 7) AS col, round(coupling - r - c + m, 7) AS inter FROM e""",
+       SELECT p, q, i, j, round(coupling, 7) AS coupling, round(m, 7) AS synergy, round(r - m, 7) AS row, round(c - m, 7) AS col, round(coupling - r - c + m, 7) AS inter FROM e WHERE known""",
 )
 def block_anova(s, d):
     _, couplings, features = base._pair_model(s, d)
-    out = evaluation.blocks(couplings, features.select("feature", "species"))
+    out = evaluation.blocks(blocks.entries(couplings, features.select("feature", "species")))
     return out.select("p", "q", "i", "j", *[F.round(c, 7).alias(c) for c in ("coupling", "synergy", "row", "col", "inter")])
