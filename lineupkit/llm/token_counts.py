@@ -14,7 +14,7 @@ pre-token, and inside a text its last blank joins the next word.
 Nulls and edge cases: a null or empty text has the single count 0; strings of added tokens inside a
 text count one token, cuts inside them count as plain text; null and repeated doc_ids are rows like
 others; an empty table gives no rows; other columns pass through whatever their names.  Texts reach a worker in batches of a
-few MB; one longer than that is held whole with eight bytes a character.  A worker's tables take some 150 MB at most.
+few MB; one longer than that is held whole with eight bytes a character.  A worker's tables take some 250 MB at most.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ from lineupkit.llm.workers import bound_batches, release
 from lineupkit.runtime import stash, table
 
 #: Stretches a worker keeps before it drops the later half (about 150 bytes each), and the longest it keeps.
-MAX_UNITS, MAX_UNIT = 400_000, 64
+MAX_UNITS, MAX_UNIT = 800_000, 64
 #: Pairs of tokens and heads of pre-tokens a worker keeps (about 200 and 800 bytes each).
 MAX_PAIRS, MAX_HEADS = 300_000, 50_000
 #: Characters of a pre-token's head whose state is kept and shared by words that start alike.
@@ -258,10 +258,10 @@ def longest_prefix(counts: np.ndarray, budget: int) -> int:
     return int(fits[-1]) if len(fits) else 0
 
 
-def count_tokens(docs: DataFrame, budget: int = 512, vocabulary: str | None = None, store: bool = False) -> DataFrame:
+def count_tokens(docs: DataFrame, budget: int | None = 512, vocabulary: str | None = None, store: bool = False) -> DataFrame:
     """``docs`` with ``n_bytes``, ``n_tokens`` and ``fits_chars`` added.
 
-    ``fits_chars`` is the length of the longest prefix within ``budget`` tokens.  With ``store`` the
+    ``fits_chars`` is the length of the longest prefix within ``budget`` tokens (null without a budget).  With ``store`` the
     counts of all prefixes are added as ``prefix_tokens`` (their differences by character as zstd of little-endian int16),
     to answer later questions without encoding.
     """
@@ -280,7 +280,7 @@ def count_tokens(docs: DataFrame, budget: int = 512, vocabulary: str | None = No
                 for value in batch.column(text).to_pylist():
                     counts = own.prefixes(value or "")
                     n = int(counts[-1])
-                    row = (len((value or "").encode()), n, longest_prefix(counts, budget) if n > budget else len(counts) - 1)
+                    row = (len((value or "").encode()), n, None if budget is None else longest_prefix(counts, budget) if n > budget else len(counts) - 1)
                     rows.append((*row, pack_prefixes(counts)) if store else row)
                 more = [pa.array(c, k) for c, (_, k) in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*names, *(f"{n}_" for n, _ in kinds)])
@@ -298,7 +298,7 @@ def count_tokens(docs: DataFrame, budget: int = 512, vocabulary: str | None = No
 
 def op5_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prefix counts of all documents written once; their totals and what fits 512 tokens answered from the table."""
-    made = count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), 512, store=True)
+    made = count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), None, store=True)
     stored = stash(made.select("doc_id", "n_bytes", "prefix_tokens"), "prefix-tokens")
     out = within_budget(stored, 512)
     return out.select(
