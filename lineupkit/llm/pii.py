@@ -98,6 +98,7 @@ ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What a text without any entity lacks: cheap to test, and no text with an entity fails it.
 HINTS = ["[0-9@]", PATTERNS["secret"], PATTERNS["person"]]
 DEFAULT_KEY = "lineupkit surrogate key"
+_BITMAP_BITS = 24
 
 
 def _let(value: Column, body) -> Column:
@@ -343,8 +344,18 @@ def replace_entities(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
     per_row = new.groupBy("a_", "b_").agg(
         F.map_from_entries(F.collect_list(F.struct("pos", "new"))).alias("new_"), F.count("*").alias("n_"), F.sort_array(F.collect_set("kind")).alias("kinds_")
     )
-    rows = plain.join(stash(per_row, "pii-rows"), ["a_", "b_"], "left")
+    per_row = stash(per_row, "pii-rows")
     drop_stash(mentions)
+    # Only documents with an entity meet its surrogates: a bitmap of fixed size (2**18 words at most, a proven bound for the
+    # broadcast) tells them, and a few others, from the rest, whose texts are not moved.
+    spot = F.pmod("a_", F.lit(1 << _BITMAP_BITS))
+    word, bit = F.shiftright(spot, 6), F.expr(f"shiftleft(1L, cast(pmod(a_, {1 << _BITMAP_BITS}) % 64 as int))")
+    bitmap = per_row.groupBy(word.alias("word_")).agg(F.bit_or(bit).alias("bits_"))
+    marked = plain.join(F.broadcast(bitmap), word == F.col("word_"), "left")
+    hit = F.coalesce(F.col("bits_").bitwiseAND(bit) != 0, F.lit(False))
+    found_rows = marked.where(hit).drop("word_", "bits_").join(per_row, ["a_", "b_"], "left")
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in per_row.schema.fields if f.name not in ("a_", "b_")]
+    rows = found_rows.unionByName(marked.where(~hit).drop("word_", "bits_").select("*", *nothing))
     pieces = F.transform(found, lambda e, i: F.coalesce(F.try_element_at("new_", i), e))
     gaps = F.split(text, ANY, -1)
     woven = F.array_join(F.transform(F.arrays_zip(gaps.alias("g"), pieces.alias("n")), lambda p: F.concat(p["g"], F.coalesce(p["n"], F.lit("")))), "")
