@@ -68,6 +68,13 @@ class Model:
         return m, rounds
 
 
+def available(pins: DataFrame, vocab: DataFrame, excluded: list[str] | None = None) -> DataFrame:
+    """(team_id, free): the vocabulary without each row's ``pinned`` array and the excluded features, in order."""
+    all_ = vocab.agg(F.sort_array(F.collect_set("feature")).alias("all_"))  # a vocabulary is a short list
+    barred = F.concat("pinned", F.array(*map(F.lit, excluded or [])).cast("array<string>"))
+    return pins.crossJoin(F.broadcast(all_)).select("team_id", F.array_except("all_", barred).alias("free"))
+
+
 def local_model(fields: DataFrame, couplings: DataFrame, features: DataFrame | None = None, max_features: int = 4_000) -> Model:
     """The model on the driver, ready to be sent to tasks; ``features`` (feature, species, item), else each its own species."""
     rows = fields.select("feature", "h", *(["m"] if "m" in fields.columns else [])).limit(max_features + 1).collect()

@@ -21,6 +21,12 @@ def placement(teams: DataFrame, event: str, placing: str) -> DataFrame:
     return teams.withColumn("placement", F.when(field > 1, 1 - (F.col(placing) - 1) / (field - 1)))
 
 
+def win_rate() -> Column:
+    """Wins over all games of (wins, losses, ties); null without games."""
+    games = F.col("wins") + F.col("losses") + F.col("ties")
+    return F.when(games > 0, F.col("wins") / games)
+
+
 def average_rank(value: str, by: str) -> Column:
     """Rank within ``by``; ties share their mean rank."""
     ties = F.count("*").over(Window.partitionBy(by, value))

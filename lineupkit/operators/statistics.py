@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lineupkit.operators.corpus import mirrored
+from lineupkit.operators.corpus import mirrored, pairs_of
 from lineupkit.operators.evaluation import running_sums
+from lineupkit.runtime import stash
 
 
 def uniform(*parts: Column | str) -> Column:
@@ -168,3 +169,89 @@ def pseudo_likelihood(members: DataFrame, fields: DataFrame, couplings: DataFram
     z = F.col("h") + F.col("pull")
     sums = both.groupBy("team_id").agg(F.sum(F.when(F.col("on_") == 1, z).otherwise(0.0) - soft(z) + soft(F.col("h"))).alias("d_"))
     return sums.crossJoin(F.broadcast(base)).select("team_id", (F.col("d_") - F.col("base_")).alias("pll"))
+
+
+def last_slices(windows: DataFrame, slices: int) -> DataFrame:
+    """(event, last): every event of the last 1, 2, ... ``slices`` windows, for sweeps over the length of the training time.
+
+    ``windows`` (event, window) counts windows from 0 to ``slices`` - 1; one row an event, so a sweep repeats rows ``slices`` times at most.
+    """
+    return windows.select("event", F.explode(F.sequence(F.lit(slices) - F.col("window"), F.lit(slices))).alias("last"))
+
+
+def third_moments(members: DataFrame, weights: DataFrame, top: int) -> DataFrame:
+    """(i, j, k, c3, se, z) for all triples of the ``top`` most weighted features (ties by name): connected third moment, its error, their quotient.
+
+    The error is the root of Σ W² (E[(x-m)²(y-m)²(z-m)²] - c3²), W the weights over their sum.  Indicators make every centred
+    product a sum of raw moments, so teams are met once, for pairs and triples of what they hold of the top features.
+    """
+    if not 3 <= top <= 200:
+        raise ValueError("top must lie from 3 to 200")
+    sums = weights.agg(F.sum("w").alias("all_"), (F.sum(F.col("w") * F.col("w")) / F.pow(F.sum("w"), 2)).alias("w2_"))
+    known = members.join(weights, "team_id")
+    first = known.groupBy("feature").agg(F.sum("w").alias("s_")).orderBy(F.desc(F.round("s_", 9)), "feature").limit(top)
+    m = first.crossJoin(F.broadcast(sums)).select("feature", (F.col("s_") / F.col("all_")).alias("m"))
+    m = F.broadcast(stash(m, "third-moments"))  # at most ``top`` rows
+    held = known.join(m.select("feature"), "feature").groupBy("team_id", "w").agg(F.sort_array(F.collect_set("feature")).alias("r"))
+    rest = lambda k: F.slice("r", k + 2, F.size("r"))
+    pair = F.transform("r", lambda x, k: F.transform(rest(k), lambda y: F.array(x, y)))
+    triple = F.transform("r", lambda x, k: F.transform(pairs_of(rest(k)), lambda p: F.array(x, p["i"], p["j"])))
+    sets = held.select("w", F.explode(F.concat(F.flatten(pair), F.flatten(triple))).alias("key"))
+    raw = sets.groupBy("key").agg(F.sum("w").alias("s_")).crossJoin(F.broadcast(sums)).select("key", (F.col("s_") / F.col("all_")).alias("p"))
+    raw = stash(raw, "third-moments-raw")  # at most a table of ``top`` to the third power
+    a, b, c = (m.toDF(f, f"m{f}") for f in "ijk")
+    out = a.join(b, F.col("i") < F.col("j")).join(c, F.col("j") < F.col("k")).crossJoin(F.broadcast(sums.select("w2_")))
+    for name, key in (("pij", "ij"), ("pik", "ik"), ("pjk", "jk"), ("t", "ijk")):
+        out = out.withColumn("key", F.array(*key)).join(raw.withColumnRenamed("p", name), "key", "left").drop("key").fillna(0.0, [name])
+    x, y, z = (F.col(f"m{f}") for f in "ijk")
+    c3 = F.col("t") - x * F.col("pjk") - y * F.col("pik") - z * F.col("pij") + 2 * x * y * z
+    (ai, bi), (aj, bj), (ak, bk) = ((1 - 2 * v, v * v) for v in (x, y, z))
+    square = ai * aj * ak * F.col("t") + ai * aj * bk * F.col("pij") + ai * bj * ak * F.col("pik") + bi * aj * ak * F.col("pjk")
+    square = square + ai * x * bj * bk + aj * y * bi * bk + ak * z * bi * bj + bi * bj * bk
+    se = F.sqrt(F.greatest(F.col("w2_") * (square - c3 * c3), F.lit(0.0)))
+    out = out.select("i", "j", "k", c3.alias("c3"), se.alias("se"))
+    return out.withColumn("z", F.when(F.col("se") > 0, F.col("c3") / F.col("se")))
+
+
+def calibration(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """(kind, n, r, mae): moments (i, j, p, i = j for first ones) of two samples: ``marginal``, and ``connected`` p - m m for pairs.
+
+    Pairs that one side never saw have p = 0 there; features that a side lacks leave.
+    """
+
+    def connected(moments: DataFrame) -> DataFrame:
+        m = moments.where("i = j").select(F.col("i").alias("f_"), F.col("p").alias("m_"))
+        both = moments.where("i <> j").join(m.toDF("i", "a_"), "i").join(m.toDF("j", "b_"), "j")
+        return both.select("i", "j", "p", (F.col("p") - F.col("a_") * F.col("b_")).alias("c"))
+
+    a, b = (x.where("i = j").select(F.col("i").alias("feature"), F.col("p").alias(n)) for x, n in ((ours, "a"), (theirs, "b")))
+    first = a.join(b, "feature")
+    inside = first.select("feature")
+    both = connected(ours).select("i", "j", F.col("c").alias("ca")).join(connected(theirs).select("i", "j", F.col("c").alias("cb")), ["i", "j"], "full")
+    both = both.join(inside.toDF("i"), "i", "left_semi").join(inside.toDF("j"), "j", "left_semi")
+    left, right = (first.select(F.col("feature").alias(k), F.col("a").alias(f"a{k}"), F.col("b").alias(f"b{k}")) for k in "ij")
+    both = both.join(left, "i").join(right, "j")
+    pairs = both.select(F.coalesce("ca", -F.col("ai") * F.col("aj")).alias("a"), F.coalesce("cb", -F.col("bi") * F.col("bj")).alias("b"))
+    rows = first.select(F.lit("marginal").alias("kind"), "a", "b").unionByName(pairs.select(F.lit("connected").alias("kind"), "a", "b"))
+    return rows.groupBy("kind").agg(F.count("*").alias("n"), F.corr("a", "b").alias("r"), F.avg(F.abs(F.col("a") - F.col("b"))).alias("mae"))
+
+
+def popularity_field(m: Column) -> Column:
+    """Logit of a marginal, kept off 0 and 1: the field of a model without couplings."""
+    p = F.least(F.greatest(m, F.lit(1e-9)), F.lit(1 - 1e-9))
+    return F.ln(p / (1 - p))
+
+
+def swept_metrics(problems: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:
+    """Ranking metrics of every setting ``keys`` of a sweep; ``counts`` (keys, feature, n) scores the features in that setting.
+
+    Ranks are as in ``marginal_ranks`` (n equal to nine digits is a tie); a truth that a setting never saw is left out there.
+    """
+    n = F.round("n", 9)
+    order = counts.select(*keys, "feature", n.alias("n"), F.rank().over(Window.partitionBy(*keys).orderBy(F.desc(n))).alias("r_"))
+    truth = problems.where("held_out").join(order, "feature").select(*keys, "team_id", F.col("feature").alias("truth"), F.col("n").alias("n_true"), "r_")
+    known = problems.where(~F.col("held_out")).join(order, "feature").select(*keys, "team_id", "n")
+    above = truth.join(known, [*keys, "team_id"], "left").groupBy(*keys, "team_id", "truth", "r_").agg(F.sum(F.when(F.col("n") > F.col("n_true"), 1).otherwise(0)).alias("a_"))
+    rank = F.col("r_") - F.col("a_")
+    hit = lambda k: F.avg((rank <= k).cast("double")).alias(f"hit{k}")
+    return above.groupBy(*keys).agg(F.count("*").alias("n"), hit(1), hit(5), hit(10), F.avg(1.0 / rank).alias("mrr"))

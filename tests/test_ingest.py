@@ -3,7 +3,7 @@
 import json
 
 import pytest
-from lineupkit.operators import corpus, ingest, names
+from lineupkit.operators import corpus, ingest, names, usage
 from pyspark.sql import functions as F
 
 SIX = ["Mega Charizard Y", "floette", "Arcanine [Hisuian Form]", "Tauros [Paldean Form - Blaze Breed]", "Rotom [Wash Rotom]", "farfetch'd"]
@@ -81,3 +81,13 @@ def test_bad_counts_and_weights(spark):
         corpus.shifted_ppmi(spark.createDataFrame([("a", "b", -1), ("a", "c", 5)], "i string, j string, n long")).collect()
     with pytest.raises(ValueError):
         corpus.team_weights(spark.createDataFrame([(1, None, True)], "team_id long, day date, in_person boolean"), 0.0)
+
+
+def test_usage_report(spark, tmp_path):
+    data = {"A": {"usage": 0.5, "Teammates": {"B": 2.5, "Z": 1.0}}, "B": {"usage": 0.7, "Teammates": {"A": 2.5}}, "C": {"usage": 0.1, "Teammates": {}}}
+    (tmp_path / "u.json").write_text(json.dumps({"info": {"metagame": "m", "cutoff": 1760, "number of battles": 9}, "data": data}))
+    rows = usage.read_usage(spark, str(tmp_path / "u.json"))
+    assert {(r.metagame, r.cutoff, r.battles) for r in rows.collect()} == {("m", 1760, 9)}
+    vocab = usage.usage_vocabulary(rows, 0.2)
+    assert [r.name for r in vocab.collect()] == ["B", "A"]
+    assert {tuple(r) for r in usage.usage_cooccurrence(rows, vocab).collect()} == {("A", "B", 2.5), ("B", "A", 2.5)}
