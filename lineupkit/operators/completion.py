@@ -139,6 +139,29 @@ def ranked_swaps(members: DataFrame, model: Model, top: int = 20, field_weight:
     return _each(members, model, work, "team_id long, out string, in string, delta_adj double, delta_raw double, delta_coherence double, rank int", pinned)
 
 
+def resolve_sites(sites: DataFrame, model: Model, pinned: DataFrame | None = None, excluded: list[str] | None = None) -> DataFrame:
+    """A feature for every pinned site: (team_id, feature, problem).
+
+    ``sites`` (team_id, feature) names each site by any feature of it.  In the order of these names, each takes its feature of
+    largest marginal (ties by name) that clashes with nothing placed so far; where a site has none, the team has one row with a problem.
+    """
+    barred = np.array([k for k, f in enumerate(model.names) if f in set(excluded or [])], int)
+
+    def work(own: Model, wanted: np.ndarray, pins: np.ndarray):
+        placed, found = pins, []
+        for f in wanted:
+            free = (own.species == own.species[f]) & ~own.clash(placed)
+            free[barred] = False
+            options = np.flatnonzero(free)
+            if not len(options):
+                return (None,), ("no feature can stand on a site",)
+            found.append(options[np.lexsort((options, -np.round(own.m[options], 12)))[0]])
+            placed = np.append(placed, found[-1])
+        return np.array(own.names, object)[np.array(found, int)], np.full(len(found), None)
+
+    return _each(sites, model, work, "team_id long, feature string, problem string", pinned)
+
+
 def greedy_descent(members: DataFrame, model: Model, max_swaps: int = 20, field_weight: float = 1.0, pinned: DataFrame | None = None) -> DataFrame:
     """The chain of best swaps of each team while the energy falls: (team_id, step, out, in, delta)."""
 

@@ -203,3 +203,19 @@ def symmetry(rows: DataFrame) -> DataFrame:
     """(r): correlation of a fit's two directions."""
     back = rows.select(F.col("i").alias("j"), F.col("j").alias("i"), F.col("coupling").alias("back"))
     return rows.where("i < j").join(back, ["i", "j"]).agg(F.corr("coupling", "back").alias("r"))
+
+
+def prefix_fits(members: DataFrame, rows: DataFrame, sizes: list[int | None], cutoff: float = 1, c: float = 0.1) -> DataFrame:
+    """(n_used, i, j, coupling): the fit on the first of ``rows`` (team_id from 1), for every size (None: all).  All rows weigh 1, empty ones too.
+
+    Each fit is its own distributed run; the sizes are a short list.  ``n_used`` of None is -1.
+    """
+    out = []
+    for size in sizes:
+        some, used = (x if size is None else x.where(F.col("team_id") <= size) for x in (members, rows))
+        weights = used.select("team_id").withColumn("w", F.lit(1.0))
+        out.append(build_model(some, weights, cutoff, c)["couplings"].select(F.lit(-1 if size is None else size).alias("n_used"), "i", "j", "coupling"))
+    both = out[0]
+    for more in out[1:]:
+        both = both.unionByName(more)
+    return both

@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lineupkit.operators.names import item_name, species_name
+from lineupkit.operators.names import item_name, species_name, strip_blanks
 
 TEAM_SIZE, LEAST_TEAMS, LEAST_PROTECT = 6, 64, 1.0
 # Version written, and the least version of each type that is read.
@@ -222,3 +222,16 @@ def match_observations(docs: DataFrame) -> DataFrame:
 def species_sets(members: Column) -> Column:
     """The species of a roster, in order."""
     return F.array_sort(F.transform(members, lambda m: m["species"]))
+
+
+def read_votes(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    """(row_no, feature, vote) of a text with one row of 0 and 1 a case, a digit a name; blank lines do not count, another width is an error.
+
+    ``row_no`` counts from 1 in the order of the file, which is short by its nature and read whole.
+    """
+    lines = F.filter(F.transform(F.split("value", "\n"), strip_blanks), lambda x: x != "")
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(lines).alias("pos", "line"))
+    wrong = F.raise_error(F.concat(F.lit(f"a row must have {len(names)} digits: "), F.col("line")))
+    checked = F.when(F.col("line").rlike(f"^[01]{{{len(names)}}}$"), F.col("line")).otherwise(wrong.cast("string"))
+    votes = [F.struct(F.lit(n).alias("feature"), F.substring(checked, k + 1, 1).cast("int").alias("vote")) for k, n in enumerate(names)]
+    return rows.select((F.col("pos") + 1).cast("long").alias("row_no"), F.inline(F.array(*votes)))

@@ -11,6 +11,15 @@ COSMETIC = [
     "green plumage", "blue plumage", "yellow plumage", "white plumage", "small size", "average size", "large size", "super size",
 ]
 REGIONS = ["hisuian", "alolan", "galarian", "paldean"]
+# Fixed values of species slugs: whole names, regions, formes that stand before or after their species, bases with hyphens of their own.
+SLUGS = {
+    "eternal flower floette": "floette", "paldean tauros aqua breed": "tauros-paldeaaqua",
+    "paldean tauros blaze breed": "tauros-paldeablaze", "paldean tauros combat breed": "tauros-paldeacombat",
+}
+SLUG_REGIONS = {"alolan": "alola", "galarian": "galar", "hisuian": "hisui", "paldean": "paldea"}
+ROTOM_FORMES = ["wash", "heat", "frost", "mow", "fan"]
+LYCANROC_FORMES = ["dusk", "midnight", "midday"]
+HYPHENED = ["ho-oh", "porygon-z", "jangmo-o", "hakamo-o", "kommo-o", "wo-chien", "chien-pao", "ting-lu", "chi-yu", "type-null", "nidoran-f", "nidoran-m"]
 # Aliases, spellings of no item, and items that a regulation forbids.
 SPECIES_ALIASES = {"Floette": "Eternal Flower Floette"}
 ITEM_ALIASES = {"Dread Plate": "Black Glasses", "Glimmorite": "Glimmoranite", "King’s Rock": "King's Rock"}
@@ -89,3 +98,23 @@ def slugify(name: Column) -> Column:
     """Lower-case words joined by hyphens, all else dropped; null where nothing is left."""
     out = F.regexp_replace(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "-"), "^-+|-+$", "")
     return F.when(out != "", out)
+
+
+def species_slug(name: Column) -> Column:
+    """Slug of a species: regions and formes behind the base, words joined, at most the first hyphen kept."""
+    low = F.lower(name)
+    bare = strip_blanks(F.regexp_replace(low, r"(?U)[^a-z0-9\s-]+", ""))
+    words = F.filter(F.split(bare, r"(?U)\s+"), lambda w: w != "")
+    one, two, count = F.get(words, F.lit(0)), F.get(words, F.lit(1)), F.size(words)
+    regions = F.create_map(*[F.lit(x) for pair in SLUG_REGIONS.items() for x in pair])
+    region = F.try_element_at(regions, one)
+    joined = F.array_join(words, "")
+    parts = F.split(joined, "-", -1)
+    plain = F.when(joined.isin(HYPHENED), F.regexp_replace(joined, "-", "")).when(
+        joined.contains("-"), F.concat(F.get(parts, F.lit(0)), F.lit("-"), F.array_join(F.slice(parts, F.lit(2), F.size(parts)), ""))
+    ).otherwise(joined)
+    out = F.when((count >= 2) & region.isNotNull(), F.concat(F.array_join(F.slice(words, F.lit(2), count), ""), F.lit("-"), region))
+    out = out.when((count == 2) & (two == "rotom") & one.isin(ROTOM_FORMES), F.concat(F.lit("rotom-"), one))
+    forme = F.when(two == "midday", "lycanroc").otherwise(F.concat(F.lit("lycanroc-"), two))
+    out = out.when((count == 2) & (one == "lycanroc") & two.isin(LYCANROC_FORMES), forme).otherwise(plain)
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in SLUGS.items() for x in pair]), low), out)
