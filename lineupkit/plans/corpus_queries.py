@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lineupkit.operators import completion, corpus, scoring
+from lineupkit.operators import completion, corpus, evaluation, scoring
 from lineupkit.sources.domain import MEMBERS_SQL, pair_members, rosters, species_members, teams
 
 TAU, IN_PERSON, SUPPORT = 365.0, 3.0, 10
@@ -301,17 +301,25 @@ def top_feature_of_site(s, d):
     return m.groupBy("species").agg(F.max_by("feature", "m").alias("feature"), F.round(F.max("m"), 9).alias("m"))
 
 
-@query(
-    "e25_nearest_observed",
-    """, q AS (SELECT team_id, roster FROM ros SEMI JOIN teams ON teams.team_id = ros.team_id AND month >= '2001-06'),
-       c AS (SELECT roster, count(*) AS n FROM ros SEMI JOIN teams ON teams.team_id = ros.team_id AND month < '1996' GROUP BY roster)
-       SELECT team_id, delta, n FROM (SELECT team_id, len(q.roster) - len(list_intersect(q.roster, c.roster)) AS delta, n,
-         row_number() OVER (PARTITION BY team_id ORDER BY len(q.roster) - len(list_intersect(q.roster, c.roster)), n DESC) AS k FROM q CROSS JOIN c) WHERE k = 1""",
-)
+#: The teams of the last fifth of the time ask, all teams before are the corpus; a roster is a mask of its features.
+_LATE = """, mo AS (SELECT month, count(*) AS n FROM teams GROUP BY month), tm AS (SELECT month, sum(n) OVER (ORDER BY month) - n < round_even((SELECT sum(n) FROM mo) * 0.8::DOUBLE, 0) AS train FROM mo),
+       vid AS (SELECT feature, row_number() OVER (ORDER BY feature) - 1 AS k FROM (SELECT DISTINCT feature FROM mem)),
+       msk AS (SELECT team_id, train, bit_or(1::BIGINT << k::INT) AS b FROM mem JOIN vid USING (feature) JOIN teams USING (team_id) JOIN tm USING (month) GROUP BY 1, 2),
+       c AS (SELECT b, count(*) AS n FROM msk WHERE train GROUP BY b), q AS (SELECT b, count(*) AS n FROM msk WHERE NOT train GROUP BY b),
+       near AS (SELECT q.b, any_value(q.n) AS asked, min({'d': (bit_count(q.b) - bit_count(q.b & c.b))::BIGINT, 'n': -c.n}) AS m FROM q CROSS JOIN c GROUP BY q.b)"""
+
+
+def _late_and_seen(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(team_id, roster) of the last fifth of the time, and (roster, n) of all teams before: every team is on one side."""
+    when = teams(s, d).select("team_id", "month")
+    split = evaluation.chronological_split(when.groupBy("month").agg(F.count("*").alias("n")), "month", 0.8)
+    dated = rosters(species_members(s, d)).join(when.join(F.broadcast(split.select("month", "train")), "month"), "team_id")
+    return dated.where("NOT train").select("team_id", "roster"), dated.where("train").groupBy("roster").agg(F.count("*").alias("n"))
+
+
+@query("e25_nearest_observed", f"{_LATE} SELECT team_id, m.d AS delta, -m.n AS n FROM msk JOIN near USING (b) WHERE NOT train")
 def nearest_observed(s, d):
-    dated = rosters(species_members(s, d)).join(teams(s, d).select("team_id", "month"), "team_id")
-    seen = dated.where("month < '1996'").groupBy("roster").agg(F.count("*").alias("n"))
-    return scoring.nearest_observed(dated.where("month >= '2001-06'").select("team_id", "roster"), seen)
+    return scoring.nearest_observed(*_late_and_seen(s, d))
 
 
 #: Every distinct roster against every other by the members they share; each meets itself, so none is left without.
@@ -323,7 +331,7 @@ _NEAR_ALL = """, rr AS (SELECT roster, count(*) AS n, row_number() OVER () AS id
 
 @query("e25_nearest_observed_all", f"{_NEAR_ALL} SELECT team_id, delta, best.n FROM ros JOIN rr USING (roster) JOIN best USING (id)")
 def nearest_observed_all(s, d):
-    """All teams against all rosters, without the date bounds of ``e25_nearest_observed``."""
+    """All teams against all rosters, their own included."""
     every = rosters(species_members(s, d))
     return scoring.nearest_observed(every, every.groupBy("roster").agg(F.count("*").alias("n")))
 
@@ -345,17 +353,10 @@ def variety(s, d):
     return scoring.variety(named).withColumn("variety", F.round("variety", 9))
 
 
-@query(
-    "e29_novelty",
-    """, q AS (SELECT roster, count(*) AS n FROM ros SEMI JOIN teams ON teams.team_id = ros.team_id AND month >= '2001-06' GROUP BY roster),
-       c AS (SELECT DISTINCT roster FROM ros SEMI JOIN teams ON teams.team_id = ros.team_id AND month < '1996'),
-       dl AS (SELECT q.roster, n, min(len(q.roster) - len(list_intersect(q.roster, c.roster))) AS delta FROM q CROSS JOIN c GROUP BY 1, 2)
-       SELECT round(100 * sum(n * least(delta, 3) / 3) / sum(n), 8) AS novelty FROM dl""",
-)
+@query("e29_novelty", f"{_LATE} SELECT round(100 * sum(asked * least(m.d, 3) / 3) / sum(asked), 8) AS novelty FROM near")
 def novelty(s, d):
-    dated = rosters(species_members(s, d)).join(teams(s, d).select("team_id", "month"), "team_id")
-    asked = dated.where("month >= '2001-06'").groupBy("roster").agg(F.count("*").alias("times"), F.min("team_id").alias("team_id"))
-    seen = dated.where("month < '1996'").groupBy("roster").agg(F.count("*").alias("n"))
+    late, seen = _late_and_seen(s, d)
+    asked = late.groupBy("roster").agg(F.count("*").alias("times"), F.min("team_id").alias("team_id"))
     found = scoring.nearest_observed(asked.select("team_id", "roster"), seen).select("team_id", "delta").join(asked, "team_id")
     return scoring.novelty(found.withColumnRenamed("times", "n")).select(F.round("novelty", 8).alias("novelty"))
 
