@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lineupkit.llm.conversation_repair import OP11_SQL, op11_earley_repair
+from lineupkit.llm.hard_negatives import OP13_SQL, op13_hard_negatives
 from lineupkit.llm.jaccard_join import OP6_SQL, op6_ngram_jaccard
 from lineupkit.llm.language_id import op4_byte_cnn
 from lineupkit.llm.line_dedup import OP8_SQL, op8_line_dedup
@@ -30,5 +31,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pack_tiers": op9_pack_tiers,
     "op10_rp_forest": op10_rp_forest,
     "op11_earley_repair": op11_earley_repair,
+    "op13_hard_negatives": op13_hard_negatives,
 }
-SQL: dict[str, str] = {"op1_hnsw_dedup": OP1_SQL, "op6_ngram_jaccard": OP6_SQL, "op8_line_dedup": OP8_SQL, "op11_earley_repair": OP11_SQL}
+SQL: dict[str, str] = {"op1_hnsw_dedup": OP1_SQL, "op6_ngram_jaccard": OP6_SQL, "op8_line_dedup": OP8_SQL, "op11_earley_repair": OP11_SQL, "op13_hard_negatives": OP13_SQL}
