@@ -14,6 +14,7 @@ from lineupkit.llm.line_dedup import OP8_SQL, op8_line_dedup
 from lineupkit.llm.mixing import op3_mix_quotas
 from lineupkit.llm.packing import op9_pack_tiers
 from lineupkit.llm.pii import op7_surrogates
+from lineupkit.llm.quality_rules import op12_rule_ensemble
 from lineupkit.llm.token_counts import op5_prefix_counts
 from lineupkit.llm.token_files import op2_token_wavelet
 from lineupkit.llm.vector_dedup import OP1_SQL, op1_hnsw_dedup
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pack_tiers": op9_pack_tiers,
     "op10_rp_forest": op10_rp_forest,
     "op11_earley_repair": op11_earley_repair,
+    "op12_rule_ensemble": op12_rule_ensemble,
     "op13_hard_negatives": op13_hard_negatives,
 }
 SQL: dict[str, str] = {"op1_hnsw_dedup": OP1_SQL, "op6_ngram_jaccard": OP6_SQL, "op8_line_dedup": OP8_SQL, "op11_earley_repair": OP11_SQL, "op13_hard_negatives": OP13_SQL}
