@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lineupkit.llm.language_id import held_out
-from lineupkit.runtime import table
+from lineupkit.runtime import stash, table
 
 #: Names of the statistics, in the order of ``statistics``.
 STATISTICS = [
@@ -208,16 +208,21 @@ def train(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, rate: f
     return RuleEnsemble([names[k] for k in kept], [float(weights[k]) for k in kept], intercept)
 
 
-def fit(labelled: DataFrame, max_rows: int = 20_000, seed: int = 12) -> RuleEnsemble:
-    """Learn from (text, quality) rows: distinct texts, about ``max_rows`` at most."""
-    known = labelled.where("quality IS NOT NULL").select(F.coalesce("text", F.lit("")).alias("text"), F.col("quality").cast("double").alias("y"))
-    known = known.withColumn("hash_", F.xxhash64(F.lit(seed), "text"))
-    count, span = known.select("hash_").distinct().count(), 1 << 40
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, seed: int = 12) -> RuleEnsemble:
+    """Learn from (doc_id, text) and (doc_id, quality): distinct labelled texts, about ``max_rows`` at most.
+
+    Only hashes and labels are shuffled; the texts of the sample are found where they lie, by its hashes.
+    """
+    hashed = docs.select("doc_id", F.xxhash64(F.lit(seed), F.coalesce("text", F.lit(""))).alias("hash_"))
+    known = hashed.join(labels.where("quality IS NOT NULL").select("doc_id", F.col("quality").cast("double").alias("y")), "doc_id")
+    known = stash(known.groupBy("hash_").agg(F.avg("y").alias("y"), F.min("doc_id").alias("id_")), "labelled")
+    count, span = known.count(), 1 << 40
     if not count:
         return RuleEnsemble([], [], 0.0)
-    near = known.where(F.pmod("hash_", F.lit(span)) < F.lit(-(-span * min(max_rows, count) // count)))
-    rows = near.groupBy("hash_").agg(F.first("text").alias("text"), F.avg("y").alias("y"))
-    sample = rows.select("hash_", "y", statistics(F.col("text")).alias("s")).select("hash_", "y", "s.*").toArrow().sort_by("hash_")
+    few = known.where(F.pmod("hash_", F.lit(span)) < F.lit(-(-span * min(max_rows, count) // count)))
+    # About max_rows rows of three numbers: a proven bound for the broadcast.
+    rows = docs.select("doc_id", "text", F.xxhash64(F.lit(seed), F.coalesce("text", F.lit(""))).alias("hash_")).join(F.broadcast(few), "hash_").where("doc_id = id_")
+    sample = rows.select("hash_", "y", statistics(F.col("text")).alias("s")).dropDuplicates(["hash_"]).select("hash_", "y", "s.*").toArrow().sort_by("hash_")
     if not sample.num_rows:
         return RuleEnsemble([], [], 0.0)
     x = np.column_stack([sample.column(c).to_numpy() for c in STATISTICS])
@@ -237,6 +242,5 @@ def score(docs: DataFrame, rules: RuleEnsemble) -> DataFrame:
 def op12_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality of all documents, learned from labelled ones that are not held out."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    known = docs.where(~held_out()).select("doc_id", "text").join(labels.select("doc_id", "quality"), "doc_id")
-    out = score(docs.select("doc_id", "text"), fit(known))
+    out = score(docs.select("doc_id", "text"), fit(docs.where(~held_out()), labels))
     return out.select("doc_id", held_out().alias("held_out"), "score", "predicted")

@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.01"
 @pytest.fixture(scope="module")
 def model(spark):
     docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
-    return qr.fit(docs.where(~held_out()).select("doc_id", "text").join(labels.select("doc_id", "quality"), "doc_id"))
+    return qr.fit(docs.where(~held_out()), labels)
 
 
 def test_held_out_accuracy(spark, model):
@@ -56,7 +56,8 @@ def test_odd_rows(spark):
     for model in (qr.RuleEnsemble([], [], 0.0), qr.RuleEnsemble([((0, True, 10.0),)], [3.0], -1.0)):
         rows = qr.score(docs.withColumnRenamed("score", "s_"), model).collect()
         assert len(rows) == 3 and all(0 < r.score < 1 and r.predicted == int(r.score >= 0.5) for r in rows)
-    none = spark.createDataFrame([], "text string, quality int")
-    assert qr.fit(none).intercept == 0 and qr.score(docs.limit(0), qr.fit(none)).count() == 0
-    one = spark.createDataFrame([("a b", 1), ("c", 1), (None, 1), ("d", None)], "text string, quality int")
-    assert qr.fit(one).rules == [] and qr.fit(one).intercept > 0
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert qr.fit(docs, none).intercept == 0 and qr.score(docs.limit(0), qr.fit(docs.limit(0), none)).count() == 0
+    few = spark.createDataFrame([(1, "a b"), (2, "c"), (3, None), (4, "d"), (2, "c"), (None, "e")], "doc_id long, text string")
+    one = qr.fit(few, spark.createDataFrame([(1, 1), (2, 1), (2, 1), (3, 1), (4, None), (None, 0), (9, 0)], none.schema))
+    assert one.rules == [] and one.intercept > 0
