@@ -154,15 +154,15 @@ def lasso(design: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 400)
     x = ((design - mean) / dev).astype(np.float32)
     share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
     w, b = np.zeros(x.shape[1]), float(np.log(share / (1 - share)))
-    v = np.ones(x.shape[1])  # a bound of the curvature by power iteration
+    v = np.ones(x.shape[1], np.float32)  # a bound of the curvature by power iteration
     for _ in range(20):
         v = x.T @ (x @ v)
         v /= max(np.sqrt(v @ v), 1e-12)
     step = 1 / (0.25 * max(float(v @ (x.T @ (x @ v))) / n, 1.0) * 1.05)
     u, c, t = w.copy(), b, 1.0
     for _ in range(rounds):
-        r = 0.5 * (1 + np.tanh((x @ u + c) / 2)) - y
-        g = u - step * (x.T @ r) / n
+        r = 0.5 * (1 + np.tanh((x @ u.astype(np.float32) + c) / 2)) - y
+        g = u - step * (x.T @ r.astype(np.float32)) / n
         new, bias = np.sign(g) * np.maximum(np.abs(g) - step * penalty, 0), c - step * r.mean()
         after = (1 + np.sqrt(1 + 4 * t * t)) / 2
         u, c = new + (t - 1) / after * (new - w), bias + (t - 1) / after * (bias - b)
