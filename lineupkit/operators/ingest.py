@@ -11,7 +11,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lineupkit.operators.evaluation import running_sums
 from lineupkit.operators.names import item_name, species_name, strip_blanks
+from lineupkit.runtime import stash
 
 TEAM_SIZE, LEAST_TEAMS, LEAST_PROTECT = 6, 64, 1.0
 # Version written, and the least version of each type that is read.
@@ -235,3 +237,32 @@ def read_votes(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
     checked = F.when(F.col("line").rlike(f"^[01]{{{len(names)}}}$"), F.col("line")).otherwise(wrong.cast("string"))
     votes = [F.struct(F.lit(n).alias("feature"), F.substring(checked, k + 1, 1).cast("int").alias("vote")) for k, n in enumerate(names)]
     return rows.select((F.col("pos") + 1).cast("long").alias("row_no"), F.inline(F.array(*votes)))
+
+
+def walk_pages(catalog: DataFrame, candidate: Column, keep: Column, max_teams: int, start_page: int = 0, page_size: int = 1_000) -> DataFrame:
+    """Entries that a walk over landed catalog pages takes, with ``before``, the teams taken until then.
+
+    ``catalog`` (page, pos, id, teams, ...).  An id counts where it stands first, from ``start_page`` on; ``candidate`` entries
+    are new to the walk, of these it takes those that ``keep``.  The walk ends before the first page that is missing or has
+    no new candidate, and after the entry that brings the teams to ``max_teams``.  Nothing is put in order as a whole: a page lies in the
+    unbroken prefix if as many good pages as its number come up to it, and both running counts go by stretches.
+    Null ids, pages and places are left out, null teams count 0; ``pos`` is below ``page_size``.
+    """
+    rows = catalog.where((F.col("page") >= start_page) & F.col("pos").isNotNull() & F.col("id").isNotNull())
+    first = rows.groupBy(F.col("id").alias("id_")).agg(F.min(F.struct("page", "pos")).alias("at_"))
+    fresh = rows.join(first, (F.col("id") == F.col("id_")) & (F.col("page") == F.col("at_.page")) & (F.col("pos") == F.col("at_.pos"))).where(candidate)
+    fresh = stash(fresh.drop("id_", "at_"), "walk")
+    good = fresh.select("page").distinct().withColumn("one_", F.lit(1))
+    counted = running_sums(good, "page", ["one_"], 10_000)
+    last = counted.where(F.col("one__below") == F.col("page") - start_page).agg(F.max("page").alias("last_"))
+    taken = fresh.where(keep).crossJoin(F.broadcast(last)).where("page <= last_").drop("last_")
+    taken = taken.withColumn("place_", F.col("page") * page_size + F.col("pos")).withColumn("held_", F.coalesce("teams", F.lit(0)).cast("long"))
+    # One row a place for the running sum; entries of one place and different ids share it.
+    sums = running_sums(taken.groupBy("place_").agg(F.sum("held_").alias("held_")), "place_", ["held_"], 100_000)
+    out = taken.drop("held_").join(sums.select("place_", F.col("held__below").cast("long").alias("before")), "place_")
+    return out.where(F.col("before") < max_teams).drop("place_")
+
+
+def deactivate_tracks(tracks: DataFrame, inactive: list[int]) -> DataFrame:
+    """A model's tracks (place, name, unique) with the flag ``unique`` of the chosen places cleared; other places change nothing."""
+    return tracks.withColumn("unique", F.when(F.col("place").isin(*inactive), False).otherwise(F.col("unique"))) if inactive else tracks

@@ -140,22 +140,6 @@ def top_teams(counts: DataFrame, top: int) -> DataFrame:
     return first.withColumn("rank", F.row_number().over(order))
 
 
-def enumerate_states(spark, h: list[float], j: list[list[float]], pinned: dict[int, int] | None = None) -> DataFrame:
-    """All states of a small model with their probabilities: (state, energy, p); bit k is spin k."""
-    n = len(h)
-    if n > 20:
-        raise ValueError("too many spins to enumerate")
-    bit = lambda k: F.shiftright("state", k).bitwiseAND(F.lit(1))
-    terms = [bit(k) * F.lit(float(h[k])) for k in range(n)]
-    terms += [bit(a) * bit(b) * F.lit(float(j[a][b])) for a in range(n) for b in range(a) if j[a][b]]
-    states = spark.range(1 << n).withColumnRenamed("id", "state")
-    for k, v in (pinned or {}).items():
-        states = states.where(bit(k) == v)
-    scored = states.withColumn("energy", -sum(terms, F.lit(0.0)))
-    z = scored.agg(F.sum(F.exp(-F.col("energy"))).alias("z_"))
-    return scored.crossJoin(F.broadcast(z)).select("state", "energy", (F.exp(-F.col("energy")) / F.col("z_")).alias("p"))
-
-
 def variety(completions: DataFrame) -> DataFrame:
     """(group, variety): mean number of differing members over pairs of a group's teams; null below two.
 

@@ -445,23 +445,6 @@ def top_teams(s, d):
     return scoring.top_teams(corpus.roster_counts(species_members(s, d)), 50)
 
 
-_H, _J = [0.3, -0.2, 0.1, -0.5, 0.4, 0.0, 0.2, -0.1, 0.25], [[0.0] * 9 for _ in range(9)]
-for _a in range(9):
-    for _b in range(_a):
-        _J[_a][_b] = round(0.05 * ((_a * 3 + _b * 5) % 11 - 5), 2)
-_ENERGY = " - ".join(
-    ["0"]
-    + [f"((k >> {a}) & 1) * ({h})::DOUBLE" for a, h in enumerate(_H)]
-    + [f"((k >> {a}) & 1) * ((k >> {b}) & 1) * ({_J[a][b]})::DOUBLE" for a in range(9) for b in range(a) if _J[a][b]]
-)
-
-
-@query("e37_exact_enumeration", f", st AS (SELECT k, {_ENERGY} AS energy FROM range(512) t(k)) SELECT k AS state, round(energy, 9) AS energy, round(exp(-energy) / (SELECT sum(exp(-energy)) FROM st), 10) AS p FROM st")
-def exact_enumeration(s, d):
-    out = scoring.enumerate_states(s, _H, _J)
-    return out.select("state", F.round("energy", 9).alias("energy"), F.round("p", 10).alias("p"))
-
-
 @query(
     "e38_observed_configurations",
     """, b AS (SELECT team_id, CAST(sum(DISTINCT 1 << (ascii(right(feature, 1)) - 49)) AS BIGINT) AS state FROM mem WHERE right(feature, 1) BETWEEN '1' AND '5' GROUP BY team_id)
