@@ -1,12 +1,12 @@
 """Operator 1: near-duplicate embeddings by navigable small-world graphs, one a shard.
 
-Equal vectors are one node with a multiplicity.  Every node queries every shard's graph.  A query's
-beam is widened until its last member is no link any more, so all links within reach are in it; and a
-shard's starting beam is widened until an audit passes: against brute force over a sample of its
+Equal vectors are one node with a multiplicity.  Every node queries every shard's graph.  A query whose
+beam is full of links is compared with the whole shard in blocks instead; and a
+shard's beam is widened until an audit passes: against brute force over a sample of its
 queries, drawn by hash, all links and nine tenths of the nearest vectors must be found.  A shard whose audit never
-passes is compared by brute force in blocks, and so is a query whose beam grows to the whole shard.  Cosines of found
+passes is compared by brute force in blocks as well.  Cosines of found
 candidates are computed anew in double precision.  A task counts its links and keeps a spanning
-forest of them, never the pairs; forests are united by connected components.
+forest of them in arrays, never the pairs; forests are united by connected components.
 
 The number of shards is the parallelism at hand, or what ``shard_rows`` asks for: a shard of the graph
 must fit a task.  Queries come in blocks of ``block_rows``.
@@ -40,8 +40,7 @@ class _Search:
     def __init__(self, shard: pa.Table | None, threshold: float, beam: int, audit: int) -> None:
         self.threshold, self.beam, self.audit = threshold, beam, audit
         self.audited = self.exact = False
-        self.parent: dict[int, int] = {}
-        self.edges: list[tuple[int, int]] = []
+        self.edges: list[np.ndarray] = []  # (query, vector) ids
         self.graph = None
         if shard is not None:
             self.ids = np.asarray(shard.column("id").combine_chunks())
@@ -49,15 +48,16 @@ class _Search:
             self.vectors = matrix(shard.column("e").combine_chunks())
             self.norms = np.sqrt((self.vectors * self.vectors).sum(1))
             self.graph = Hnsw(self.vectors / self.norms[:, None])
+            self.by_id = np.argsort(self.ids)
+            self.parent = np.arange(len(self.ids))  # of the shard's vectors, as united so far
 
-    def _root(self, x: int) -> int:
-        path = []
-        while (up := self.parent.setdefault(x, x)) != x:
-            path.append(x)
-            x = up
-        for y in path:
-            self.parent[y] = x
-        return x
+    def _roots(self, node: np.ndarray) -> np.ndarray:
+        """Roots of an array of vectors; paths are shortened."""
+        root = self.parent[node]
+        while ((up := self.parent[root]) != root).any():
+            root = up
+        self.parent[node] = root
+        return root
 
     def _widen(self, unit: np.ndarray) -> None:
         """The audit: a sample of queries by brute force, in blocks."""
@@ -80,13 +80,25 @@ class _Search:
         self.audited = True
 
     def _count(self, links: np.ndarray, ids: np.ndarray, row: np.ndarray, node: np.ndarray) -> None:
-        """Add links between queries ``row`` and vectors ``node`` of the shard."""
-        np.add.at(links, row, self.weight[node])
-        for a, b in zip(ids[row].tolist(), self.ids[node].tolist(), strict=True):
-            a, b = self._root(a), self._root(b)
-            if a != b:
-                self.parent[max(a, b)] = min(a, b)
-                self.edges.append((a, b))
+        """Add links between queries ``row`` and vectors ``node`` of the shard; of each query one edge a component that it meets."""
+        if not len(row):
+            return
+        links += np.bincount(row, self.weight[node], len(links)).astype(np.int64)
+        order = np.argsort(row, kind="stable")
+        row, node = row[order], node[order]
+        place = np.minimum(np.searchsorted(self.ids[self.by_id], ids), len(self.ids) - 1)
+        own = np.where(self.ids[self.by_id[place]] == ids, self.by_id[place], -1)
+        cuts = np.flatnonzero(np.diff(row)) + 1
+        for q, met in zip(row[np.r_[0, cuts]], np.split(node, cuts), strict=True):
+            roots, at = np.unique(self._roots(met), return_index=True)
+            here = int(own[q])
+            if here >= 0:  # the query is a vector of this shard: what it is united with already needs no edge
+                root = self._roots(np.array([here]))[0]
+                roots, at = roots[roots != root], at[roots != root]
+            else:
+                root = roots[0]
+            self.parent[roots] = root
+            self.edges.append(np.column_stack([np.full(len(at), ids[q]), self.ids[met[at]]]))
 
     def _compare(self, links: np.ndarray, ids: np.ndarray, vectors: np.ndarray, norms: np.ndarray, todo: np.ndarray) -> None:
         """The queries ``todo`` against every vector of the shard, in blocks."""
@@ -98,8 +110,8 @@ class _Search:
 
     def __call__(self, batch: pa.RecordBatch | None) -> Iterator[pa.RecordBatch]:
         if batch is None:
-            u, v = zip(*self.edges, strict=True) if self.edges else ((), ())
-            yield self._rows(np.array(u, np.int64), v, np.zeros(len(u), np.int64))
+            edges = np.concatenate([np.zeros((0, 2), np.int64), *self.edges])
+            yield self._rows(edges[:, 0], edges[:, 1], np.zeros(len(edges), np.int64))
             return
         if self.graph is None:
             return
@@ -109,19 +121,19 @@ class _Search:
         if not self.audited:
             self._widen(unit)
         links = np.zeros(len(ids), np.int64)
-        todo, beam, slack = np.arange(len(ids)), self.beam, 1e-4
-        while len(todo):
-            if self.exact or beam >= len(self.ids):
-                self._compare(links, ids, vectors, norms, todo)
-                break
-            near, sims = self.graph.search(unit[todo], beam)
+        todo, slack = np.arange(len(ids)), 1e-4
+        if not self.exact and self.beam < len(self.ids):
+            near, sims = self.graph.search(unit, self.beam)
             full = sims[:, -1] >= self.threshold - slack
-            r, c = np.nonzero((sims >= self.threshold - slack) & ~full[:, None])
-            row, node = todo[r], near[r, c]
+            row, c = np.nonzero((sims >= self.threshold - slack) & ~full[:, None])
+            node = near[row, c]
             dots = (vectors[row] * self.vectors[node]).sum(1)
             good = (dots / (norms[row] * self.norms[node]) >= self.threshold) & (self.ids[node] != ids[row])
             self._count(links, ids, row[good], node[good])
-            todo, beam = todo[full], min(beam * 4, len(self.ids))
+            todo = todo[full]
+        # A beam that is full of links may miss some: such a query meets every vector of the shard, in blocks.
+        if len(todo):
+            self._compare(links, ids, vectors, norms, todo)
         yield self._rows(ids, [None] * len(ids), links)
 
     @staticmethod

@@ -1,5 +1,7 @@
 """The audit of op1_hnsw_dedup: an exact way when it fails, a random sample, reverse links by nearness."""
 
+import time
+
 import numpy as np
 import pyarrow as pa
 from lineupkit.llm.hnsw import Hnsw
@@ -55,3 +57,39 @@ def test_first_batch_is_a_random_sample(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
     assert [r.n for r in got] == [256, 256] and all(r.most > 1500 for r in got)
+
+
+def test_thousands_of_near_equal_vectors_in_one_shard():
+    """5,000 near-equal vectors and 1,500 others: the links and components of brute force, within seconds."""
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(size=24) + 0.02 * rng.normal(size=(5000, 24)), rng.normal(size=(1500, 24))])
+    ids = rng.permutation(len(x)) * 3 + 1
+    table = pa.table({"id": ids, "n": np.ones(len(x), np.int64), "e": list(x)})
+    began = time.time()
+    search = _Search(table, 0.9, 64, 64)
+    found, edges = {}, []
+    order = rng.permutation(len(x))
+    for at in range(0, len(x), 256):
+        part = table.take(pa.array(order[at : at + 256])).combine_chunks().to_batches()[0]
+        for batch in search(part):
+            found |= dict(zip(batch.column("u").to_pylist(), batch.column("links").to_pylist(), strict=True))
+    for batch in search(None):
+        edges = list(zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True))
+    took = time.time() - began
+    unit = x / np.sqrt((x * x).sum(1))[:, None]
+    linked = unit @ unit.T >= 0.9
+    np.fill_diagonal(linked, False)
+    assert found == dict(zip(ids.tolist(), linked.sum(1).tolist(), strict=True))
+    parent = {int(i): int(i) for i in ids}
+
+    def root(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for a, b in edges:
+        parent[root(a)] = root(b)
+    assert len(edges) < 2 * len(x)
+    group = {root(int(i)) for i, k in zip(ids, linked.sum(1), strict=True) if k > 4000}
+    assert len(group) == 1 and sum(root(int(i)) in group for i in ids) == 5000
+    assert took < 60
