@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lineupkit.operators.corpus import mirrored
+from lineupkit.runtime import remove_path
 
 VERSION = 1
 TABLES = ["fields", "couplings", "team_counts"]
@@ -17,11 +18,13 @@ _META = "version int, id string, type string, regulation string, V long, n_corpu
 def write_model(tables: dict[str, DataFrame], path: str, meta: dict, force: bool = False) -> None:
     """Write fields (feature, h, m), couplings (i, j, coupling) and team_counts, then the metadata; without ``force`` an existing model is an error.
 
-    The metadata come last, so a model that was cut short is never listed.
+    The metadata come last, and those of an overwritten model go first, so a model that was cut short is never listed.
     """
     spark = next(iter(tables.values())).sparkSession
     if set(tables) != set(TABLES):
         raise ValueError(f"a model has the tables {TABLES}")
+    if force:
+        remove_path(spark, f"{path}/meta")
     for name in TABLES:
         tables[name].write.mode("overwrite" if force else "error").parquet(f"{path}/{name}")
     line = json.dumps({"version": VERSION, **meta, "V": spark.read.parquet(f"{path}/fields").count()})

@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lineupkit.operators.evaluation import running_sums
-from lineupkit.operators.names import item_name, species_name, strip_blanks
-from lineupkit.runtime import stash
+from lineupkit.operators.names import item_name, let, species_name, strip_blanks
+from lineupkit.runtime import path_exists, stash
 
 TEAM_SIZE, LEAST_TEAMS, LEAST_PROTECT = 6, 64, 1.0
 # Version written, and the least version of each type that is read.
@@ -68,9 +68,12 @@ def read_standings(spark: SparkSession, local_dir: str) -> DataFrame:
 def members_of(decklist: Column, regulation: Column, size: int = TEAM_SIZE) -> Column:
     """The roster (species, item) in order, or null: not ``size`` named members, a species twice, or no item at all."""
     named = F.transform(decklist, lambda m: F.struct(species_name(m["name"]).alias("species"), item_name(m["item"], regulation).alias("item")))
-    kept = F.filter(named, lambda m: m["species"].isNotNull())
-    whole = (F.size(kept) == size) & (F.size(F.array_distinct(kept["species"])) == size) & F.exists(kept, lambda m: m["item"].isNotNull())
-    return F.when(whole, F.array_sort(kept))
+
+    def whole(kept: Column) -> Column:
+        fine = (F.size(kept) == size) & (F.size(F.array_distinct(kept["species"])) == size) & F.exists(kept, lambda m: m["item"].isNotNull())
+        return F.when(fine, F.array_sort(kept))
+
+    return let(F.filter(named, lambda m: m["species"].isNotNull()), whole)
 
 
 def parsed(entries: DataFrame, size: int = TEAM_SIZE) -> DataFrame:
@@ -91,9 +94,11 @@ def extract_teams(entries: DataFrame, size: int = TEAM_SIZE) -> DataFrame:
 
 def extract_matches(entries: DataFrame, size: int = TEAM_SIZE) -> DataFrame:
     """(tournament_id, round, winner, loser): pairings that both valid entries report, one W and one L, names unique."""
-    rows = parsed(entries, size).withColumn("name", F.coalesce("name", F.lit("")))
+    # Written once: names, winners and losers are all read from it.
+    rows = parsed(entries, size).select("tournament_id", F.coalesce("name", F.lit("")).alias("name"), F.col("members").isNotNull().alias("valid_"), "team_idx", "rounds")
+    rows = stash(rows, "parsed-entries")
     once = rows.groupBy("tournament_id", "name").agg(F.count("*").alias("n_")).where("n_ = 1").drop("n_")
-    told = rows.where("members IS NOT NULL").join(once, ["tournament_id", "name"])
+    told = rows.where("valid_").join(once, ["tournament_id", "name"])
     told = told.select("tournament_id", "name", "team_idx", F.explode("rounds").alias("round_key", "played"))
     told = told.select("tournament_id", "name", "team_idx", "round_key", F.col("played.name").alias("other"), F.col("played.result").alias("result"))
     told = told.where(F.col("result").isin("W", "L") & (F.col("other") != F.col("name")))
@@ -196,14 +201,20 @@ def cached(docs: DataFrame, tournament_id: str) -> DataFrame:
 
 
 def import_in_person(spark: SparkSession, local_dir: str, cache: str, have: DataFrame | None = None, size: int = TEAM_SIZE) -> DataFrame:
-    """New files of ``local_dir`` as documents, appended to the cache; events in ``have`` (ids) are left out."""
+    """New files of ``local_dir`` as documents, appended to the cache; events in ``have`` (ids), or else in the cache, are left out.
+
+    What is returned has been written and stays the same, however the cache grows.  A second call writes nothing.
+    """
     entries = read_standings(spark, local_dir)
+    if have is None and path_exists(spark, cache):
+        have = spark.read.schema(DOCUMENT + ", of string").json(cache).select("meta.id")
     if have is not None:
         entries = entries.join(have.toDF("tournament_id"), "tournament_id", "left_anti")
     meta = entries.groupBy("tournament_id", "regulation", "date").agg(F.max("players").alias("players"))
     meta = meta.withColumn("name", F.expr("substring(tournament_id, 7)"))
-    out = documents(meta, extract_teams(entries, size), extract_matches(entries, size), "in-person")
-    write_cache(out, cache)
+    out = stash(documents(meta, extract_teams(entries, size), extract_matches(entries, size), "in-person"), "imported")
+    if not out.isEmpty():
+        write_cache(out, cache)
     return out
 
 

@@ -35,38 +35,57 @@ def strip_blanks(s: Column) -> Column:
     return F.regexp_replace(s, r"(?U)^\s+|\s+$", "")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` planned and computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalize_name(name: Column) -> Column:
     """Trimmed, lower-cased, every word and every hyphen part capitalised; blank gives null."""
-    bare = strip_blanks(F.lower(name))
     part = lambda p: F.concat(F.upper(F.substring(p, 1, 1)), p.substr(F.lit(2), F.length(p)))
     word = lambda w: F.array_join(F.transform(F.split(w, "-", -1), part), "-")
-    return F.when(bare != "", F.array_join(F.transform(F.split(bare, r"(?U)\s+"), word), " "))
+    whole = lambda bare: F.when(bare != "", F.array_join(F.transform(F.split(bare, r"(?U)\s+"), word), " "))
+    return let(strip_blanks(F.lower(name)), whole)
 
 
 def bracket_forme(name: Column) -> Column:
     """``Base [Forme]`` as a prefix or suffix of the base; names of another shape stay."""
     shape = r"^(.+?)\s*\[(.+)\]\s*$"
-    base, held = (strip_blanks(F.regexp_extract(name, shape, k)) for k in (1, 2))
-    low = F.lower(held)
-    out = F.when(~name.rlike(shape), name).when(low.isin([*COSMETIC, "male"]), base).when(low == "female", F.concat(base, F.lit(" ♀")))
-    out = out.when((F.lower(base) == "rotom") & low.contains("rotom"), held)
-    for region in REGIONS:
-        rest = strip_blanks(F.substring(held, F.lit(len(region) + 6), F.length(held)))
-        breed = F.when(rest.startswith("- "), F.concat(F.lit(" "), strip_blanks(F.substring(rest, F.lit(3), F.length(rest))))).otherwise("")
-        out = out.when(low.startswith(f"{region} form"), F.concat(F.lit(f"{region.capitalize()} "), base, breed))
-    out = out.when(low == "eternal flower", F.concat(F.lit("Eternal Flower "), base))
-    word = strip_blanks(F.substring(held, F.lit(1), F.length(held) - 5))
-    return out.when(low.endswith(" form"), F.concat(base, F.lit(" "), word)).otherwise(name)
+
+    def regional(base: Column, held: Column, region: str) -> Column:
+        def joined(rest: Column) -> Column:
+            breed = F.when(rest.startswith("- "), F.concat(F.lit(" "), strip_blanks(F.substring(rest, F.lit(3), F.length(rest))))).otherwise("")
+            return F.concat(F.lit(f"{region.capitalize()} "), base, breed)
+
+        return let(strip_blanks(F.substring(held, F.lit(len(region) + 6), F.length(held))), joined)
+
+    def renamed(parts: Column) -> Column:
+        whole, base, held, low = (parts[k] for k in ("name", "base", "held", "low"))
+        out = F.when(low.isin([*COSMETIC, "male"]), base).when(low == "female", F.concat(base, F.lit(" ♀")))
+        out = out.when((F.lower(base) == "rotom") & low.contains("rotom"), held)
+        for region in REGIONS:
+            out = out.when(low.startswith(f"{region} form"), regional(base, held, region))
+        out = out.when(low == "eternal flower", F.concat(F.lit("Eternal Flower "), base))
+        word = strip_blanks(F.substring(held, F.lit(1), F.length(held) - 5))
+        return out.when(low.endswith(" form"), F.concat(base, F.lit(" "), word)).otherwise(whole)
+
+    def split(name: Column) -> Column:
+        base, held = (strip_blanks(F.regexp_extract(name, shape, k)) for k in (1, 2))
+        parts = let(held, lambda h: F.struct(name.alias("name"), base.alias("base"), h.alias("held"), F.lower(h).alias("low")))
+        return F.when(~name.rlike(shape), name).otherwise(let(parts, renamed))
+
+    return let(name, split)
 
 
 def strip_mega(species: Column) -> Column:
     """``Mega Base`` and ``Mega Base X`` (Y, Z) as ``Base``."""
-    return F.when(species.startswith("Mega "), F.regexp_replace(F.substring(species, F.lit(6), F.length(species)), " [XYZ]$", "")).otherwise(species)
+    bare = lambda s: F.when(s.startswith("Mega "), F.regexp_replace(F.substring(s, F.lit(6), F.length(s)), " [XYZ]$", "")).otherwise(s)
+    return let(species, bare)
 
 
 def _alias(name: Column, aliases: dict[str, str]) -> Column:
     table = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair])
-    return F.coalesce(F.try_element_at(table, name), name)
+    return let(name, lambda n: F.coalesce(F.try_element_at(table, n), n))
 
 
 def species_name(raw: Column) -> Column:
@@ -76,11 +95,14 @@ def species_name(raw: Column) -> Column:
 
 def item_name(raw: Column, regulation: Column) -> Column:
     """Canonical form; null where nothing is held or the regulation forbids the item."""
-    named = normalize_name(raw)
-    named = _alias(F.when(~named.isin(ITEMLESS), named), ITEM_ALIASES)
     banned = F.create_map(*[x for k, v in ILLEGAL_ITEMS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    forbidden = F.coalesce(F.array_contains(F.try_element_at(banned, F.coalesce(regulation, F.lit(""))), named), F.lit(False))
-    return F.when(~forbidden, named)
+
+    def allowed(named: Column) -> Column:
+        forbidden = F.coalesce(F.array_contains(F.try_element_at(banned, F.coalesce(regulation, F.lit(""))), named), F.lit(False))
+        return F.when(~forbidden, named)
+
+    held = let(normalize_name(raw), lambda n: F.when(~n.isin(ITEMLESS), n))
+    return let(_alias(held, ITEM_ALIASES), allowed)
 
 
 def format_pair(species: Column, item: Column) -> Column:

@@ -1,15 +1,16 @@
 """Registered queries on names and ingest, with their SQL.
 
 Raw standings are made from the tables: a month is an event, an order an entry, its parts the decklist with names in several
-spellings, customers (by number modulo 97, so that some names repeat) the players, neighbours by number the opponents.
+spellings, customers the players (some enter an event twice), neighbours by number the opponents.
 """
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lineupkit.operators import ingest, names
-from lineupkit.runtime import table
+from lineupkit.runtime import table, work_path
 from lineupkit.sources.domain import teams as order_teams
 
 QUERIES: dict = {}
@@ -51,7 +52,7 @@ mon AS (SELECT team_id, l_linenumber, CASE WHEN starts_with(nm, 'Mega ') THEN re
         CASE WHEN it IN ('None', 'No Item', 'Nothing', 'Null', 'Assault Vest', 'Covert Cloak', 'Safety Goggles') THEN NULL WHEN it = 'Dread Plate' THEN 'Black Glasses' ELSE it END AS item FROM n1),
 ok AS (SELECT team_id, string_agg(species || '/' || coalesce(item, '-'), ',' ORDER BY species) AS roster FROM mon GROUP BY team_id
        HAVING count(species) = 4 AND count(DISTINCT species) = 4 AND count(item) > 0),
-ent AS (SELECT o_orderkey AS team_id, strftime(o_orderdate, '%Y-%m') AS month, 'P' || (o_custkey % 97) AS name, o_totalprice AS price,
+ent AS (SELECT o_orderkey AS team_id, strftime(o_orderdate, '%Y-%m') AS month, 'P' || o_custkey AS name, o_totalprice AS price,
         row_number() OVER (PARTITION BY strftime(o_orderdate, '%Y-%m') ORDER BY o_orderkey) - 1 AS pos FROM orders),
 idx AS (SELECT ent.*, ok.roster, row_number() OVER (PARTITION BY month ORDER BY pos) - 1 AS team_idx FROM ent JOIN ok USING (team_id))"""
 
@@ -61,15 +62,17 @@ def _entries(s, d):
     parts = table(s, d, "part").select("p_partkey", F.expr(_RAW_NAME).alias("name"), F.expr(_RAW_ITEM).alias("item"), F.array("p_name", F.concat("p_type", F.lit(" protect"))).alias("attacks"))
     lines = table(s, d, "lineitem").select(F.col("l_orderkey").alias("team_id"), "l_linenumber", F.col("l_partkey").alias("p_partkey")).join(parts, "p_partkey")
     decks = lines.groupBy("team_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "name", "item", "attacks"))), lambda x: F.struct(x["name"].alias("name"), x["item"].alias("item"), x["attacks"].alias("attacks"))).alias("decklist"))
-    rows = order_teams(s, d).select("team_id", F.col("month").alias("tournament_id"), F.concat(F.lit("P"), (F.col("player") % 97).cast("string")).alias("name"), "price", "placing")
+    rows = order_teams(s, d).select("team_id", F.col("month").alias("tournament_id"), F.concat(F.lit("P"), F.col("player").cast("string")).alias("name"), "price", "placing")
     # In the order of the key, as in a file; neighbours play each other in round 1, and once more under a key that is no number.
-    keyed = rows.groupBy("tournament_id").agg(F.sort_array(F.collect_list(F.struct("team_id", "name", "price", "placing"))).alias("all_"))
-    keyed = keyed.select("tournament_id", "all_", F.posexplode("all_").alias("pos", "e"))
-    other = F.get("all_", F.col("pos").bitwiseXOR(F.lit(1)))
-    result = F.when((F.col("e.team_id") % 11 == 0) | (other["price"] > F.col("e.price")), "L").otherwise("W")
-    opponent = F.when(F.col("e.team_id") % 13 == 0, "BYE").otherwise(other["name"])
+    # Places are numbered on keys alone; the opponent is the entry at the place beside.
+    place = F.row_number().over(Window.partitionBy("tournament_id").orderBy("team_id")) - 1
+    keyed = rows.select("tournament_id", "team_id").withColumn("pos", place).join(rows, ["tournament_id", "team_id"])
+    beside = keyed.select("tournament_id", F.col("pos").bitwiseXOR(F.lit(1)).alias("pos"), F.col("name").alias("other_name"), F.col("price").alias("other_price"))
+    keyed = keyed.join(beside, ["tournament_id", "pos"], "left")
+    result = F.when((F.col("team_id") % 11 == 0) | (F.col("other_price") > F.col("price")), "L").otherwise("W")
+    opponent = F.when(F.col("team_id") % 13 == 0, "BYE").otherwise(F.col("other_name"))
     rounds = F.create_map(F.lit("1"), F.struct(opponent.alias("name"), result.alias("result")), F.lit("top"), F.struct(opponent.alias("name"), result.alias("result")))
-    out = keyed.select("tournament_id", "pos", "e.*", rounds.alias("rounds")).join(decks, "team_id", "left")
+    out = keyed.select("tournament_id", "pos", "team_id", "name", "price", "placing", rounds.alias("rounds")).join(decks, "team_id", "left")
     record = F.struct(F.lit(1).alias("wins"), F.lit(None).cast("int").alias("losses"), F.lit(None).cast("int").alias("ties"))
     return out.select("tournament_id", F.lit("M-A").alias("regulation"), "pos", "team_id", "name", F.col("placing").cast("int").alias("placing"), record.alias("record"), "decklist", "rounds")
 
@@ -178,6 +181,43 @@ def flattened(s, d):
     return ingest.observations(_documents(s, d)).select("tournament_id", F.col("team_idx").cast("int").alias("team_idx"), "type", "date", _roster().alias("roster"))
 
 
+def _cached(s, d, docs=None):
+    """The path of a cache written from the tables."""
+    path = work_path(s, "cache")
+    ingest.write_cache(_documents(s, d) if docs is None else docs, path)
+    return path
+
+
+_EVENTS = f"""WITH {_NAMED}, ev AS (SELECT month AS id, month || '-15' AS date, count(*) AS teams FROM idx GROUP BY month)"""
+
+
+def _listed(docs):
+    return docs.select(F.col("meta.id").alias("id"), F.col("meta.date").alias("date"), F.size("teams").cast("long").alias("teams"))
+
+
+@query("a9_cache_scan", f"{_EVENTS} SELECT id, date, teams FROM ev WHERE teams >= 25")
+def cache_scan(s, d):
+    """Events written as JSON by regulation and read back, those of 25 teams at least."""
+    return _listed(ingest.read_cache(s, _cached(s, d), "M-A", "in-person", 25))
+
+
+@query("a10_cached_event", f"{_EVENTS} SELECT id, date, teams FROM ev WHERE id = (SELECT max(id) FROM ev)")
+def cached_event(s, d):
+    """One event of the cache by its id."""
+    docs = ingest.read_cache(s, _cached(s, d), least=0)
+    last = docs.agg(F.max("meta.id")).first()[0]
+    return _listed(ingest.cached(docs, last or ""))
+
+
+@query("a11_version_gate", f"""{_EVENTS}, vr AS (SELECT *, nullif(CAST(right(id, 2) AS INTEGER) % 4, 0) AS version, CAST(left(id, 4) AS INTEGER) % 2 = 0 AS online FROM ev)
+ SELECT id, date, teams FROM vr WHERE coalesce(version, 1) >= CASE WHEN online THEN 2 ELSE 3 END""")
+def version_gate(s, d):
+    """Documents of several versions, some without one and some without a type: only those new enough for their type are read."""
+    month, year = F.substring("meta.id", -2, 2).cast("int"), F.substring("meta.id", 1, 4).cast("int")
+    docs = _documents(s, d).withColumn("version", F.nullif(month % 4, F.lit(0))).withColumn("type", F.when(year % 2 != 0, F.col("type")))
+    return _listed(ingest.read_cache(s, _cached(s, d, docs), least=0))
+
+
 @query("b16_pair_parts", "SELECT DISTINCT p_brand || ' @ ' || p_type AS feature, p_brand AS species, p_type AS item FROM part")
 def pair_parts(s, d):
     features = table(s, d, "part").select(names.format_pair(F.col("p_brand"), F.col("p_type")).alias("feature")).distinct()

@@ -64,14 +64,30 @@ def stash(df: DataFrame, label: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.unset(_CLEAN_UP) if before is None else spark.conf.set(_CLEAN_UP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stashed_at = path
+    return out
+
+
+def _file_system(spark: SparkSession, path: str):
+    """Hadoop's path and its file system."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    found, system = _file_system(spark, path)
+    return system.exists(found)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder, if it is there."""
+    found, system = _file_system(spark, path)
+    system.delete(found, True)
 
 
 def drop_stash(df: DataFrame) -> None:
-    """Remove the files of a stashed table that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/lineupkit/" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Remove the files of a table that ``stash`` returned and nothing reads any more."""
+    path = getattr(df, "_stashed_at", None)
+    if path:
+        remove_path(df.sparkSession, path)

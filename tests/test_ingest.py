@@ -52,6 +52,9 @@ def test_import_and_cache(spark, folder, tmp_path):
     assert ingest.observations(back).count() == 4
     match = ingest.match_observations(back).first()
     assert match["round"] == 1 and match.winner == match.loser and len(match.winner) == 6
+    count = ingest.read_cache(spark, cache, least=0).count()
+    twice = ingest.import_in_person(spark, str(folder), cache)
+    assert twice.count() == 0 and ingest.read_cache(spark, cache, least=0).count() == count and docs.count() > 0
     again = ingest.import_in_person(spark, str(folder), str(tmp_path / "other"), back.select("meta.id"))
     assert again.count() == 0
 
