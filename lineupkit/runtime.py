@@ -87,7 +87,11 @@ def remove_path(spark: SparkSession, path: str) -> None:
 
 
 def drop_stash(df: DataFrame) -> None:
-    """Remove the files of a table that ``stash`` returned and nothing reads any more."""
+    """Remove the files of a stashed table, or of those that ``df`` is made of, which nothing reads any more.
+
+    The path of a table that ``stash`` returned is known; only for what is made of one its files are listed.
+    """
     path = getattr(df, "_stashed_at", None)
-    if path:
-        remove_path(df.sparkSession, path)
+    for folder in [path] if path else {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/lineupkit/" in folder:
+            remove_path(df.sparkSession, folder)
