@@ -40,7 +40,7 @@ def _signed(s: SparkSession, d: str, positive: bool) -> DataFrame:
 
 
 def _communities(s: SparkSession, d: str) -> list[tuple[str, DataFrame, list[float]]]:
-    return [(sign, *graphs.communities(_signed(s, d, sign == "positive"), least_gain=0.002)) for sign in ("positive", "negative")]
+    return [(sign, *graphs.communities(_signed(s, d, sign == "positive"), least_gain=0.002, max_rounds=8)) for sign in ("positive", "negative")]
 
 
 @query("g29_communities")
