@@ -193,12 +193,12 @@ def op3_mix_quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed with weights 1, 2, 3: the mix is written with its texts, and the result counted from it.
 
     ``shards`` names the output shards of a document's copies, in order.  A document of which nothing is taken is
-    written as well, without text and shard, so that the files account for every row; rows alike in doc_id and
+    written as well, without text and shard, so that the files account for every row; rows alike in doc_id, source and
     text are told apart by their number.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     same = [F.xxhash64("doc_id", "text").alias("a"), F.xxhash64(F.lit("second"), "doc_id", "text").alias("b")]
-    facts = ["doc_id", "a", "b", "size", "source_size", "target"]
+    facts = ["doc_id", "source", "a", "b", "size", "source_size", "target"]
     none = F.array(F.struct(F.lit(None).cast("int").alias("shard"), F.xxhash64("doc_id", "text").alias("rank"), F.lit(0).cast("long").alias("words")))
     mixed = mix(docs).select("*", *same).withColumn("draws", F.when(F.size("draws") > 0, F.col("draws")).otherwise(none))
     rows = mixed.select(*facts, "text", F.posexplode("draws").alias("copy", "draw"))
