@@ -2,6 +2,8 @@
 
 The model (a vocabulary and its square, at most ``max_features``) goes to every task once; teams are rows with their
 members, and each row is worked on where it is.  So nothing is shuffled but the members' way into their team's row.
+A task takes its teams in batches: one array operation serves all teams, members and candidates of a batch, whose
+size is held so that (teams x members x vocabulary) stays below ``_CELLS``.
 """
 
 from __future__ import annotations
@@ -11,9 +13,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lineupkit.runtime import local_table
+
+_CELLS = 1 << 20
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
+
 
 @dataclass
 class Model:
@@ -32,40 +41,88 @@ class Model:
         items = self.item[held]
         return out | ((self.item >= 0) & np.isin(self.item, items[items >= 0]))
 
-    def swaps(self, team: np.ndarray, pinned: np.ndarray, excluded: np.ndarray, field_weight: float) -> tuple[np.ndarray, ...]:
-        """All legal swaps: (out, in, delta_adj, delta_raw, delta_coherence)."""
-        pull = self.j[:, team].sum(1)
-        found = []
-        for out in team[~np.isin(team, pinned)]:
-            others = team[team != out]
-            free = ~self.clash(others)
-            free[team] = False
-            free[excluded] = False
-            into = np.flatnonzero(free)
-            gain = pull[into] - self.j[into, out] - pull[out]
-            rise = self.h[into] - self.h[out]
-            found.append((np.full(len(into), out), into, -field_weight * rise - gain, -rise - gain, gain))
-        if not found:
-            none = np.zeros(0)
-            return none.astype(int), none.astype(int), none, none, none
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
-
-    def mean_field(self, pinned: np.ndarray, excluded: np.ndarray, rounds: int, tol: float, damping: float, field_weight: float = 1.0) -> tuple[np.ndarray, int]:
-        """Damped fixed point with pins at 1 and what they rule out at 0: (marginals, rounds taken)."""
-        free = ~self.clash(pinned) if len(pinned) else np.ones(len(self.h), bool)
-        free[excluded] = False
-        free[pinned] = False
+    # Teams of a batch are rows of ids in ascending order, filled up with -1.
+
+    def held(self, teams: np.ndarray) -> np.ndarray:
+        """Which features each team holds."""
+        out = np.zeros((len(teams), len(self.names)), bool)
+        rows, slots = np.nonzero(teams >= 0)
+        out[rows, teams[rows, slots]] = True
+        return out
+
+    def sharing(self, teams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each team and feature, how many members share its species, and how many its item."""
+        rows, slots = np.nonzero(teams >= 0)
+        ids, out = teams[rows, slots], []
+        for code in (self.species, self.item):
+            counts = np.zeros((len(teams), int(code.max(initial=0)) + 1), int)
+            known = code[ids] >= 0
+            np.add.at(counts, (rows[known], code[ids[known]]), 1)
+            out.append(np.where(code >= 0, counts[:, code], 0))
+        return out[0], out[1]
+
+    def swaps(self, teams: np.ndarray, pinned: np.ndarray, excluded: np.ndarray, field_weight: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(delta_adj, rise of h, gain of coherence) by team, slot that leaves and feature that comes; infinite where not legal.
+
+        ``pinned`` are masks of features by team, ``excluded`` is one mask for all.
+        """
+        if not self.names:
+            none = np.zeros((*teams.shape, 0))
+            return none, none, none
+        member = teams >= 0
+        at = np.where(member, teams, 0)
+        ties = self.j[at]
+        pull = (ties * member[:, :, None]).sum(1)
+        gain = pull[:, None, :] - ties - np.take_along_axis(pull, at, 1)[:, :, None]
+        rise = self.h - self.h[at][:, :, None]
+        by_species, by_item = self.sharing(teams)
+        crowded = by_species[:, None, :] > (self.species[at][:, :, None] == self.species)
+        crowded |= by_item[:, None, :] > (self.item[at][:, :, None] == self.item)
+        leaves = member & ~np.take_along_axis(pinned, at, 1)
+        legal = leaves[:, :, None] & ~crowded & ~(self.held(teams) | excluded)[:, None, :]
+        return np.where(legal, -field_weight * rise - gain, np.inf), rise, gain
+
+    def descend(self, teams: np.ndarray, pinned: np.ndarray, field_weight: float, most: int) -> tuple[np.ndarray, list[tuple]]:
+        """Best swaps while the energy falls: teams at the end, and (teams' rows, step, out, in, delta) of each step."""
+        teams, live, chain, v = teams.copy(), np.arange(len(teams)), [], len(self.names)
+        for step in range(1, most + 1):
+            if not len(live) or not v:
+                break
+            adj = self.swaps(teams[live], pinned[live], np.zeros(v, bool), field_weight)[0].reshape(len(live), -1)
+            best = np.round(adj, 9).argmin(1)  # the first of equals has the least names
+            delta = adj[np.arange(len(live)), best]
+            falls = delta < -1e-12
+            live, best, delta = live[falls], best[falls], delta[falls]
+            slot, into = np.divmod(best, v)
+            chain.append((live, np.full(len(live), step), teams[live, slot], into, delta))
+            teams[live, slot] = into
+            teams[live] = _in_order(teams[live], v)
+        return teams, chain
+
+    def mean_field(self, pins: np.ndarray, rounds: int, tol: float, damping: float, field_weight: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+        """Damped fixed points with pins at 1 and what they rule out at 0: (marginals, rounds taken) by team."""
+        held, (by_species, by_item) = self.held(pins), self.sharing(pins)
+        free = ~held & (by_species == 0) & (by_item == 0)
         h = field_weight * self.h
         sigma = lambda z: 0.5 * (1 + np.tanh(z / 2))
-        m = np.where(free, sigma(h), 0.0)
-        m[pinned] = 1
+        m = np.where(free, sigma(h), held)
+        taken, live = np.full(len(pins), rounds), np.arange(len(pins))
         for k in range(1, rounds + 1):
-            new = np.where(free, sigma(h + self.j @ m), m)
-            change = np.abs(new - m)[free].max(initial=0)
-            m = damping * new + (1 - damping) * m
-            if change < tol:
-                return m, k
-        return m, rounds
+            if not len(live):
+                break
+            old, open_ = m[live], free[live]
+            new = np.where(open_, sigma(h + old @ self.j), old)
+            m[live] = damping * new + (1 - damping) * old
+            done = np.where(open_, np.abs(new - old), 0).max(1, initial=0) < tol
+            taken[live[done]] = k
+            live = live[~done]
+        return m, taken
+
+
+def _in_order(teams: np.ndarray, v: int) -> np.ndarray:
+    """Rows of ids ascending, with what is -1 at the end."""
+    key = np.sort(np.where(teams < 0, v, teams), 1)
+    return np.where(key == v, -1, key)
 
 
 def available(pins: DataFrame, vocab: DataFrame, excluded: list[str] | None = None) -> DataFrame:
@@ -84,9 +141,12 @@ def local_model(fields: DataFrame, couplings: DataFrame, features: DataFrame | N
     names = [r.feature for r in rows]
     at, v = {f: k for k, f in enumerate(names)}, len(rows)
     j = np.zeros((v, v))
-    for r in couplings.collect():  # at most a vocabulary squared
-        if r.i in at and r.j in at:
-            j[at[r.i], at[r.j]] = j[at[r.j], at[r.i]] = r.coupling
+    if rows:
+        number = local_table(fields.sparkSession, [(f, k) for k, f in enumerate(names)], "feature string, k long")
+        known = couplings.join(F.broadcast(number.toDF("i", "a")), "i").join(F.broadcast(number.toDF("j", "b")), "j")
+        found = known.select("a", "b", F.col("coupling").cast("double").alias("c")).toArrow()  # at most a vocabulary squared, as numbers
+        a, b, c = (found.column(k).to_numpy() for k in ("a", "b", "c"))
+        j[a, b] = j[b, a] = c
     species, item = np.arange(v), np.full(v, -1)
     if features is not None:
         known = {r.feature: r for r in features.collect() if r.feature in at}
@@ -98,29 +158,54 @@ def local_model(fields: DataFrame, couplings: DataFrame, features: DataFrame | N
     return Model(names, np.array([r.h for r in rows]), j, m, species, item)
 
 
+def _padded(index: pd.Index, lists: pa.Array) -> np.ndarray:
+    """Known names of every list as ids in ascending order, filled up with -1; a null list has none."""
+    lengths = np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
+    ids = index.get_indexer(lists.flatten().to_pandas()) if lengths.sum() else np.zeros(0, int)
+    rows = np.repeat(np.arange(len(lists)), lengths)[ids >= 0]
+    ids = ids[ids >= 0]
+    order = np.lexsort((ids, rows))
+    rows, ids = rows[order], ids[order]
+    counts = np.bincount(rows, minlength=len(lists))
+    out = np.full((len(lists), max(1, counts.max(initial=0))), -1)
+    out[rows, np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)] = ids
+    return out
+
+
 def _each(members: DataFrame, model: Model, work, kinds: str, pinned: DataFrame | None = None) -> DataFrame:
-    """``work(model, team, pinned)`` for every team (known members as sorted ids), which gives columns of equal length."""
+    """``work(model, teams, pins)`` for batches of teams: it gives the rows of the batch and columns as long; ids stand for names.
+
+    Names the model does not know are left out of a team; a team without any is worked on as an empty one.
+    """
     rows = members.groupBy("team_id").agg(F.collect_set("feature").alias("members"))
     if pinned is not None:
         rows = rows.join(pinned.groupBy("team_id").agg(F.collect_set("feature").alias("pinned")), "team_id", "left")
     else:
         rows = rows.withColumn("pinned", F.lit(None).cast("array<string>"))
+    rows = rows.select(F.col("team_id").cast("long").alias("team_id"), "members", "pinned")
     shared = members.sparkSession.sparkContext.broadcast(model)
+    columns = [c.split(" ") for c in kinds.split(", ")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        at = {f: k for k, f in enumerate(own.names)}
-        ids = lambda x: np.array(sorted(at[f] for f in x if f in at), int) if x is not None else np.zeros(0, int)
-        names = [c.split(" ")[0] for c in kinds.split(", ")][1:]
+        index, names = pd.Index(own.names, dtype=object), pa.array(own.names, pa.string())
+
+        def column(values: np.ndarray, kind: str) -> pa.Array:
+            if kind == "string" and values.dtype != object:
+                return names.take(pa.array(values, mask=values < 0))
+            return pa.array(values, _KINDS[kind], from_pandas=True)
+
         for batch in batches:
-            for first in range(0, len(batch), 512):
-                some = batch.iloc[first : first + 512]
-                found = [(t, work(own, ids(m), ids(p))) for t, m, p in zip(some["team_id"], some["members"], some["pinned"], strict=True)]
-                lengths = [len(f[0]) for _, f in found]
-                columns = {n: np.concatenate([np.asarray(f[k], object) for _, f in found]) for k, n in enumerate(names)}
-                yield pd.DataFrame({"team_id": np.repeat([t for t, _ in found], lengths), **columns})
+            longest = pc.max(pc.list_value_length(batch.column("members"))).as_py() or 1
+            step = max(1, _CELLS // max(1, len(own.names) * longest))
+            for first in range(0, batch.num_rows, step):
+                part = batch.slice(first, step)
+                at, *found = work(own, _padded(index, part.column("members")), _padded(index, part.column("pinned")))
+                arrays = [part.column("team_id").take(pa.array(at, pa.int64()))]
+                arrays += [column(np.asarray(x), kind) for x, (_, kind) in zip(found, columns[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, names=[n for n, _ in columns])
 
-    return rows.mapInPandas(run, kinds)
+    return rows.mapInArrow(run, kinds)
 
 
 def ranked_swaps(members: DataFrame, model: Model, top: int = 20, field_weight: float = 1.0, pinned: DataFrame | None = None, excluded: list[str] | None = None) -> DataFrame:
@@ -128,13 +213,21 @@ def ranked_swaps(members: DataFrame, model: Model, top: int = 20, field_weight:
 
     The one that leaves may share its species and item with the one that comes; pinned members stay, excluded features stay out.
     """
-    barred = np.array([k for k, f in enumerate(model.names) if f in set(excluded or [])], int)
-
-    def work(own: Model, team: np.ndarray, pins: np.ndarray):
-        out, into, adj, raw, gain = own.swaps(team, pins, barred, field_weight)
-        order = np.lexsort((into, out, np.round(adj, 9)))[:top]
-        name = np.array(own.names, object)
-        return name[out[order]], name[into[order]], adj[order], raw[order], gain[order], np.arange(1, len(order) + 1)
+    barred = np.isin(np.array(model.names, object), list(excluded or []))
+
+    def work(own: Model, teams: np.ndarray, pins: np.ndarray):
+        adj, rise, gain = (x.reshape(len(teams), -1) for x in own.swaps(teams, own.held(pins), barred, field_weight))
+        near = np.round(adj, 9)
+        last = min(top, near.shape[1])
+        edge = np.partition(near, last - 1, 1)[:, last - 1 : last] if last else np.zeros((len(near), 1))
+        rows, cells = np.nonzero((near <= edge) & np.isfinite(near))
+        order = np.lexsort((cells, near[rows, cells], rows))  # cells go by out, then in
+        rows, cells = rows[order], cells[order]
+        rank = np.arange(1, len(rows) + 1) - np.searchsorted(rows, rows)
+        rows, cells, rank = rows[rank <= top], cells[rank <= top], rank[rank <= top]
+        slot, into = np.divmod(cells, max(1, len(own.names)))
+        a, g = adj[rows, cells], gain[rows, cells]
+        return rows, teams[rows, slot], into, a, -rise[rows, cells] - g, g, rank
 
     return _each(members, model, work, "team_id long, out string, in string, delta_adj double, delta_raw double, delta_coherence double, rank int", pinned)
 
@@ -145,19 +238,22 @@ def resolve_sites(sites: DataFrame, model: Model, pinned: DataFrame | None = Non
     ``sites`` (team_id, feature) names each site by any feature of it.  In the order of these names, each takes its feature of
     largest marginal (ties by name) that clashes with nothing placed so far; where a site has none, the team has one row with a problem.
     """
-    barred = np.array([k for k, f in enumerate(model.names) if f in set(excluded or [])], int)
+    barred = np.isin(np.array(model.names, object), list(excluded or []))
 
-    def work(own: Model, wanted: np.ndarray, pins: np.ndarray):
-        placed, found = pins, []
+    def place(own: Model, wanted: np.ndarray, placed: np.ndarray) -> list[int]:
+        found = []
         for f in wanted:
-            free = (own.species == own.species[f]) & ~own.clash(placed)
-            free[barred] = False
-            options = np.flatnonzero(free)
+            options = np.flatnonzero((own.species == own.species[f]) & ~own.clash(placed) & ~barred)
             if not len(options):
-                return (None,), ("no feature can stand on a site",)
+                return [-1]
             found.append(options[np.lexsort((options, -np.round(own.m[options], 12)))[0]])
             placed = np.append(placed, found[-1])
-        return np.array(own.names, object)[np.array(found, int)], np.full(len(found), None)
+        return found
+
+    def work(own: Model, wanted: np.ndarray, pins: np.ndarray):
+        found = [place(own, w[w >= 0], p[p >= 0]) for w, p in zip(wanted, pins, strict=True)]
+        features = np.array([f for some in found for f in some], int)
+        return np.repeat(np.arange(len(found)), [len(f) for f in found]), features, np.where(features < 0, "no feature can stand on a site", None)
 
     return _each(sites, model, work, "team_id long, feature string, problem string", pinned)
 
@@ -165,28 +261,22 @@ def resolve_sites(sites: DataFrame, model: Model, pinned: DataFrame | None = Non
 def greedy_descent(members: DataFrame, model: Model, max_swaps: int = 20, field_weight: float = 1.0, pinned: DataFrame | None = None) -> DataFrame:
     """The chain of best swaps of each team while the energy falls: (team_id, step, out, in, delta)."""
 
-    def work(own: Model, team: np.ndarray, pins: np.ndarray):
-        chain = []
-        while len(chain) < max_swaps:
-            out, into, adj, _, _ = own.swaps(team, pins, np.zeros(0, int), field_weight)
-            if not len(out):
-                break
-            best = np.lexsort((into, out, np.round(adj, 9)))[0]
-            if adj[best] >= -1e-12:
-                break
-            chain.append((len(chain) + 1, own.names[out[best]], own.names[into[best]], adj[best]))
-            team = np.sort(np.append(team[team != out[best]], into[best]))
-        return tuple(zip(*chain, strict=True)) or ((), (), (), ())
+    def work(own: Model, teams: np.ndarray, pins: np.ndarray):
+        _, chain = own.descend(teams, own.held(pins), field_weight, max_swaps)
+        none = np.zeros(0, int)
+        return tuple(map(np.concatenate, zip((none, none, none, none, np.zeros(0)), *chain, strict=True)))
 
     return _each(members, model, work, "team_id long, step int, out string, in string, delta double", pinned)
 
 
-def mean_field(pins: DataFrame, model: Model, rounds: int = 200, tol: float = 1e-5, damping: float = 0.5) -> DataFrame:
-    """Marginals of all features beside each set of pins: (team_id, feature, m, rounds)."""
+def mean_field(pins: DataFrame, model: Model, rounds: int = 200, tol: float = 1e-5, damping: float = 0.5, top: int | None = None) -> DataFrame:
+    """Marginals beside each set of pins: (team_id, feature, m, rounds); of all features, or of each team's ``top`` (ties by name)."""
 
-    def work(own: Model, team: np.ndarray, _):
-        m, k = own.mean_field(team, np.zeros(0, int), rounds, tol, damping)
-        return np.array(own.names, object), m, np.full(len(m), k)
+    def work(own: Model, teams: np.ndarray, _):
+        m, taken = own.mean_field(teams, rounds, tol, damping)
+        some = np.argsort(-np.round(m, 12), 1, kind="stable")[:, :top] if top is not None else np.broadcast_to(np.arange(m.shape[1]), m.shape)
+        rows = np.repeat(np.arange(len(m)), some.shape[1])
+        return rows, some.ravel(), m[rows, some.ravel()], taken[rows]
 
     return _each(pins, model, work, "team_id long, feature string, m double, rounds int")
 
@@ -197,24 +287,30 @@ def fast_path(pins: DataFrame, model: Model, size: int = 6, max_swaps: int = 10)
     ``problem`` names why there is no team: pins that clash, or too few features that may stand beside them.
     """
 
-    def work(own: Model, pinned: np.ndarray, _):
-        if len(pinned) > size or len(np.unique(own.species[pinned])) < len(pinned) or len(set(own.item[pinned][own.item[pinned] >= 0])) < (own.item[pinned] >= 0).sum():
-            return (None,), ("pins clash",)
-        m, _ = own.mean_field(pinned, np.zeros(0, int), 200, 1e-5, 0.5)
-        team = pinned
-        for k in np.lexsort((np.arange(len(m)), -np.round(m, 12))):
-            if len(team) < size and k not in team and not (len(team) and own.clash(team)[k]):
-                team = np.append(team, k)
-        if len(team) < size:
-            return (None,), ("too few features",)
-        for _ in range(max_swaps):
-            out, into, adj, _, _ = own.swaps(np.sort(team), pinned, np.zeros(0, int), 1.0)
-            if not len(out):
-                break
-            best = np.lexsort((into, out, np.round(adj, 9)))[0]
-            if adj[best] >= -1e-12:
-                break
-            team = np.append(team[team != out[best]], into[best])
-        return np.array(own.names, object)[np.sort(team)], np.full(size, None)
+    def work(own: Model, pins: np.ndarray, _):
+        held = own.held(pins)
+        by_species, by_item = own.sharing(pins)
+        clash = (held.sum(1) > size) | (held & ((by_species > 1) | (by_item > 1))).any(1)
+        m = np.round(own.mean_field(pins, 200, 1e-5, 0.5)[0], 12)
+        teams = np.full((len(pins), size), -1)
+        kept = min(size, pins.shape[1])
+        teams[:, :kept] = pins[:, :kept]
+        for slot in range(size):
+            short = np.flatnonzero((teams[:, slot] < 0) & ~clash)
+            if not len(short) or not own.names:
+                continue
+            a, b = own.sharing(teams[short])
+            worth = np.where((a > 0) | (b > 0), -np.inf, m[short])
+            best = worth.argmax(1)  # the first of equals has the least name
+            teams[short, slot] = np.where(np.isfinite(worth[np.arange(len(short)), best]), best, -1)
+        few = (teams < 0).any(1) & ~clash
+        fine = np.flatnonzero(~clash & ~few)
+        ended, _ = own.descend(_in_order(teams[fine], len(own.names)), held[fine], 1.0, max_swaps)
+        bad = np.flatnonzero(clash | few)
+        rows = np.concatenate([np.repeat(fine, size), bad])
+        features = np.concatenate([ended.ravel(), np.full(len(bad), -1)])
+        why = np.full(len(rows), None, object)
+        why[len(fine) * size :] = np.where(clash[bad], "pins clash", "too few features")
+        return rows, features, why
 
     return _each(pins, model, work, "team_id long, feature string, problem string")

@@ -6,12 +6,14 @@ the vocabulary or its pairs, and joins leave it to Spark to broadcast them.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineupkit.operators.corpus import mirrored, team_pairs
 from lineupkit.operators.evaluation import running_sums
-from lineupkit.runtime import stash
+from lineupkit.runtime import drop_stash, stash
 
 
 def team_scores(members: DataFrame, fields: DataFrame, couplings: DataFrame) -> DataFrame:
@@ -32,29 +34,58 @@ def pairwise_rows(members: DataFrame, couplings: DataFrame) -> DataFrame:
     return rows.select("team_id", "i", "j", "coupling", share.alias("share"), F.row_number().over(order).alias("rank"))
 
 
-def cooccurrence_scores(held: DataFrame, counts: DataFrame, vocab: DataFrame) -> DataFrame:
-    """(team_id, feature, score): how often each feature of the vocabulary meets the held ones."""
-    teams = held.select("team_id").distinct().crossJoin(F.broadcast(vocab.select("feature")))
-    met = held.toDF("team_id", "j").join(mirrored(counts, "n"), "j").groupBy("team_id", "i").agg(F.sum("n").alias("score"))
-    out = teams.join(met.withColumnRenamed("i", "feature"), ["team_id", "feature"], "left")
-    return out.fillna(0, ["score"])
+def cooccurrence_scores(held: DataFrame, counts: DataFrame, vocab: DataFrame | None = None, max_features: int = 4_000) -> DataFrame:
+    """(team_id, feature, score): how often a feature meets the held ones.
+
+    With ``vocab`` (at most ``max_features``, else an error) features that meet none have rows of score 0, made inside each
+    team's row from one list of names; without, they have no row.
+    """
+    met = held.toDF("team_id", "j").join(mirrored(counts.where("n > 0"), "n"), "j")
+    met = met.groupBy("team_id", F.col("i").alias("feature")).agg(F.sum("n").alias("score"))
+    if vocab is None:
+        return met
+    names = [r.feature for r in vocab.select("feature").where("feature IS NOT NULL").distinct().orderBy("feature").limit(max_features + 1).collect()]
+    if len(names) > max_features:
+        raise ValueError(f"more than {max_features} features")
+    asked = held.select("team_id", F.lit(None).cast("string").alias("feature"), F.lit(0).cast("long").alias("score"))
+    lists = met.unionByName(asked).groupBy("team_id").agg(F.collect_list(F.when(F.col("feature").isNotNull(), F.struct("feature", "score"))).alias("met"))
+    rest = F.array_except(F.array(*map(F.lit, names)).cast("array<string>"), F.col("met.feature"))
+    none = F.transform(rest, lambda f: F.struct(f.alias("feature"), F.lit(0).cast("long").alias("score")))
+    return lists.select("team_id", F.inline(F.concat("met", none)))
 
 
 def cooccurrence_greedy(held: DataFrame, counts: DataFrame, vocab: DataFrame, size: int) -> DataFrame:
-    """Fill every team up to ``size`` by the best-scored feature it lacks, ties to the first by name.
+    """(team_id, feature, step): every team filled up to ``size`` by the best-scored feature it lacks, ties to the first by name.
 
-    One step a missing member, each a join and an aggregate over all teams whose result is written, so
-    that the plan does not double with every step.
+    Scores are kept: a step adds what the feature of the step before meets, drops it from the candidates and takes the best
+    that is left, in one aggregate by team and feature whose result is written.  So a pair of a member and its partner is
+    joined once, and only features that meet a member are candidates.  A team without such takes the first of the
+    vocabulary that it lacks, which lies among the first ``size``; with none left it stops.  Held features have step 0; a
+    team that holds ``size`` or more stays as it is, one without held features has no row.
     """
-    now = stash(held.select("team_id", "feature").withColumn("step", F.lit(0)), "greedy")
-    counts, vocab = stash(counts, "greedy-counts"), stash(vocab.select("feature"), "greedy-vocab")
-    for step in range(1, size):
-        short = now.groupBy("team_id").count().where(F.col("count") < size).select("team_id")
-        part = now.join(short, "team_id", "left_semi").select("team_id", "feature")
-        scored = cooccurrence_scores(part, counts, vocab).join(part, ["team_id", "feature"], "left_anti")
-        best = scored.groupBy("team_id").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("feature").alias("f")))["f"].alias("feature"))
-        now = stash(now.unionByName(best.withColumn("step", F.lit(step))), "greedy")
-    return now
+    first = [r.feature for r in vocab.select("feature").where("feature IS NOT NULL").distinct().orderBy("feature").limit(size).collect()]
+    spare = F.array(*map(F.lit, first)).cast("array<string>")
+    counts = stash(mirrored(counts.where("n > 0"), "n"), "greedy-counts")
+    held = held.select("team_id", "feature").distinct()
+    added = [stash(held.withColumn("step", F.lit(0)), "greedy")]
+    scores = None  # (team_id, feature, score, own) of teams that are not full; a member's row says so
+    for step in range(1, size + 1):
+        fresh = added[-1].select("team_id", F.col("feature").alias("j"))
+        met = fresh.join(counts, "j").select("team_id", F.col("i").alias("feature"), F.col("n").alias("score"), F.lit(False).alias("own"))
+        rows = met.unionByName(fresh.select("team_id", F.col("j").alias("feature"), F.lit(0).cast("long").alias("score"), F.lit(True).alias("own")))
+        if scores is not None:  # a team that stopped has no fresh feature and needs no scores
+            rows = rows.unionByName(scores.join(fresh.select("team_id").distinct(), "team_id", "left_semi"))
+        last, scores = scores, stash(rows.groupBy("team_id", "feature").agg(F.sum("score").alias("score"), F.max("own").alias("own")), "greedy-scores")
+        if last is not None:
+            drop_stash(last)
+        best = F.min(F.when(~F.col("own"), F.struct((-F.col("score")).alias("s"), F.col("feature").alias("f"))))["f"]
+        own = F.collect_set(F.when(F.col("own"), F.col("feature")))
+        teams = scores.groupBy("team_id").agg(best.alias("best"), own.alias("own")).where(F.size("own") < size)
+        taken = teams.select("team_id", F.coalesce("best", F.get(F.array_except(spare, "own"), F.lit(0))).alias("feature"), F.lit(step).alias("step"))
+        added.append(stash(taken.where("feature IS NOT NULL"), "greedy"))
+    drop_stash(scores)
+    drop_stash(counts)
+    return functools.reduce(DataFrame.unionByName, added)
 
 
 def _parts(roster: str) -> Column:
@@ -141,15 +172,20 @@ def top_teams(counts: DataFrame, top: int) -> DataFrame:
 
 
 def variety(completions: DataFrame) -> DataFrame:
-    """(group, variety): mean number of differing members over pairs of a group's teams; null below two.
+    """(group, variety): mean number of members of one team that the other lacks, over a group's pairs of teams; null below two.
 
-    Needs no pairs: a member held by c of g teams of equal size is shared by c(c-1)/2 of the pairs.
+    Of teams of unlike size the larger one's members count.  Needs no pairs: a member held by c of g teams is shared by
+    c(c-1)/2 of the pairs, and a size is the larger one in as many pairs as there are smaller teams, and half its equals.
     """
-    sizes = completions.groupBy("group", "team_id").agg(F.count("*").alias("k")).groupBy("group").agg(F.count("*").alias("g"), F.avg("k").alias("k"))
+    sizes = completions.groupBy("group", "team_id").agg(F.count("*").alias("k")).groupBy("group", "k").agg(F.count("*").alias("g"))
+    upto = F.sum("g").over(Window.partitionBy("group").orderBy("k"))  # one row a size of a group
+    below = sizes.withColumn("b", upto - F.col("g"))
+    pairs = F.col("g") * F.col("b") + F.col("g") * (F.col("g") - 1) / 2
+    most = below.groupBy("group").agg(F.sum("g").alias("g"), F.sum(F.col("k") * pairs).alias("m"))
     held = completions.groupBy("group", "feature").agg(F.count("*").alias("c"))
     shared = held.groupBy("group").agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("s"))
-    value = F.when(F.col("g") >= 2, F.col("k") - F.col("s") / (F.col("g") * (F.col("g") - 1) / 2))
-    return sizes.join(shared, "group").select("group", value.alias("variety"))
+    value = F.when(F.col("g") >= 2, (F.col("m") - F.col("s")) / (F.col("g") * (F.col("g") - 1) / 2))
+    return most.join(shared, "group").select("group", value.alias("variety"))
 
 
 def novelty(found: DataFrame) -> DataFrame:

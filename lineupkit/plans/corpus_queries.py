@@ -250,13 +250,12 @@ def single_swaps(s, d):
 
 
 def _held(s, d):
-    """Two members of every team of six: the first and last by name."""
-    members = species_members(s, d)
-    six = members.groupBy("team_id").agg(F.count("*").alias("k"), F.min("feature").alias("a"), F.max("feature").alias("b")).where("k = 6")
-    return six.select("team_id", F.explode(F.array("a", "b")).alias("feature"))
+    """One or two members of every team: the first and last by name."""
+    ends = species_members(s, d).groupBy("team_id").agg(F.min("feature").alias("a"), F.max("feature").alias("b"))
+    return ends.select("team_id", F.explode(F.array_distinct(F.array("a", "b"))).alias("feature"))
 
 
-_HELD = """held AS (SELECT team_id, unnest([min(feature), max(feature)]) AS feature FROM mem GROUP BY team_id HAVING count(*) = 6)"""
+_HELD = """held AS (SELECT DISTINCT team_id, unnest([min(feature), max(feature)]) AS feature FROM mem GROUP BY team_id)"""
 
 
 @query(
@@ -267,27 +266,27 @@ _HELD = """held AS (SELECT team_id, unnest([min(feature), max(feature)]) AS feat
 )
 def cooccurrence_scores(s, d):
     members = species_members(s, d)
-    return scoring.cooccurrence_scores(_held(s, d), corpus.cooccurrence(members), members.select("feature").distinct())
+    return scoring.cooccurrence_scores(_held(s, d), corpus.cooccurrence(members), members.select("feature"))
 
 
-def _greedy_sql(steps: int) -> str:
+def _greedy_sql(size: int) -> str:
     parts = [f", {_HELD}, g0 AS (SELECT team_id, feature, 0 AS step FROM held)"]
-    for k in range(1, steps + 1):
+    for k in range(1, size):
         parts.append(
             f"""g{k} AS (SELECT * FROM g{k - 1} UNION ALL SELECT team_id, feature, {k} FROM (
               SELECT t.team_id, v.feature, row_number() OVER (PARTITION BY t.team_id ORDER BY coalesce(sum(n), 0) DESC, v.feature) AS r
-              FROM (SELECT DISTINCT team_id FROM g{k - 1}) t CROSS JOIN (SELECT DISTINCT feature FROM mem) v
+              FROM (SELECT team_id FROM g{k - 1} GROUP BY team_id HAVING count(*) < {size}) t CROSS JOIN (SELECT DISTINCT feature FROM mem) v
               LEFT JOIN (SELECT team_id, i, n FROM g{k - 1} JOIN sym ON sym.j = g{k - 1}.feature) x ON x.team_id = t.team_id AND x.i = v.feature
               WHERE NOT EXISTS (SELECT 1 FROM g{k - 1} o WHERE o.team_id = t.team_id AND o.feature = v.feature)
               GROUP BY 1, 2) WHERE r = 1)"""
         )
-    return ",\n".join(parts) + f" SELECT team_id, feature, CAST(step AS INTEGER) AS step FROM g{steps}"
+    return ",\n".join(parts) + f" SELECT team_id, feature, CAST(step AS INTEGER) AS step FROM g{size - 1}"
 
 
-@query("e22_cooccurrence_greedy", _greedy_sql(4))
+@query("e22_cooccurrence_greedy", _greedy_sql(6))
 def cooccurrence_greedy(s, d):
     members = species_members(s, d)
-    return scoring.cooccurrence_greedy(_held(s, d), corpus.cooccurrence(members), members.select("feature").distinct(), 6)
+    return scoring.cooccurrence_greedy(_held(s, d), corpus.cooccurrence(members), members.select("feature"), 6)
 
 
 @query(
@@ -336,20 +335,14 @@ def nearest_observed_all(s, d):
     return scoring.nearest_observed(every, every.groupBy("roster").agg(F.count("*").alias("n")))
 
 
-_COMP = """comp AS (SELECT month AS "group", team_id, feature FROM mem JOIN teams USING (team_id)
-         WHERE team_id IN (SELECT team_id FROM mem GROUP BY team_id HAVING count(*) = 6))"""
-
-
 @query(
     "e28_variety",
-    f""", {_COMP}, ct AS (SELECT "group", team_id, list(feature) AS f FROM comp GROUP BY 1, 2)
-       SELECT a."group", round(avg(CASE WHEN a.team_id < b.team_id THEN 6 - len(list_intersect(a.f, b.f)) END), 9) AS variety
+    """, ct AS (SELECT month AS "group", team_id, list(feature) AS f FROM mem JOIN teams USING (team_id) GROUP BY 1, 2)
+       SELECT a."group", round(avg(CASE WHEN a.team_id < b.team_id THEN greatest(len(a.f), len(b.f)) - len(list_intersect(a.f, b.f)) END), 9) AS variety
        FROM ct a LEFT JOIN ct b ON a."group" = b."group" GROUP BY 1""",
 )
 def variety(s, d):
-    members = species_members(s, d)
-    six = members.groupBy("team_id").count().where("count = 6").select("team_id")
-    named = members.join(six, "team_id", "left_semi").join(teams(s, d).select("team_id", F.col("month").alias("group")), "team_id")
+    named = species_members(s, d).join(teams(s, d).select("team_id", F.col("month").alias("group")), "team_id")
     return scoring.variety(named).withColumn("variety", F.round("variety", 9))
 
 

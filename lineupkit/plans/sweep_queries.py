@@ -65,12 +65,12 @@ def available_features(s, d):
 _ROLLED = "rolled AS (SELECT x.species AS i, y.species AS j, count(*) AS n FROM pmem x JOIN pmem y ON x.team_id = y.team_id AND x.feature <> y.feature AND x.species <> y.species GROUP BY 1, 2)"
 
 
-@query("e23_species_greedy", f", {_ROLLED}" + base._greedy_sql(4).replace("JOIN sym ON sym.j", "JOIN rolled ON rolled.j"))
+@query("e23_species_greedy", f", {_ROLLED}" + base._greedy_sql(6).replace("JOIN sym ON sym.j", "JOIN rolled ON rolled.j"))
 def species_greedy(s, d):
     """Greedy fill on the species matrix that pairs of features roll up to."""
     members = pair_members(s, d)
     rolled = corpus.species_rollup(corpus.cooccurrence(members.select("team_id", "feature")), members.select("feature", "species").distinct())
-    return scoring.cooccurrence_greedy(base._held(s, d), rolled, members.select(F.col("species").alias("feature")).distinct(), 6)
+    return scoring.cooccurrence_greedy(base._held(s, d), rolled, members.select(F.col("species").alias("feature")), 6)
 
 
 _RECORD = """rec AS (SELECT o_orderkey AS team_id, sum((l_returnflag = 'A')::INT) AS wins, sum((l_returnflag = 'R')::INT) AS losses, sum((l_returnflag = 'N' AND l_linestatus = 'F')::INT) AS ties
