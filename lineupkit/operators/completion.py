@@ -281,6 +281,29 @@ def mean_field(pins: DataFrame, model: Model, rounds: int = 200, tol: float = 1e
     return _each(pins, model, work, "team_id long, feature string, m double, rounds int")
 
 
+def mean_field_ranks(problems: DataFrame, model: Model, species: dict[str, str] | None = None, rounds: int = 200, tol: float = 1e-4) -> DataFrame:
+    """(team_id, truth, rank): 1 + features not held in whose marginal beside the held ones is greater (nine digits).
+
+    ``problems`` (team_id, feature, held_out).  With ``species`` (of every feature) marginals are summed by species, and the
+    truth's species is ranked among those not held in.  Marginals stay in their task; a truth the model does not know has no row.
+    """
+    sites = np.unique([species[f] for f in model.names], return_inverse=True)[1] if species is not None else None
+
+    def work(own: Model, teams: np.ndarray, truths: np.ndarray):
+        m, held = own.mean_field(teams, rounds, tol, 0.5)[0], own.held(teams)
+        at = truths
+        if sites is not None and len(sites):
+            sums = np.eye(sites.max() + 1)[sites]
+            m, held, at = m @ sums, held @ sums > 0, np.where(truths >= 0, sites[truths], -1)
+        worth = np.round(np.where(held, -np.inf, m), 9)
+        rows, slots = np.nonzero(truths >= 0)
+        own_worth = np.round(m[rows, at[rows, slots]], 9)
+        return rows, truths[rows, slots], 1 + (worth[rows] > own_worth[:, None]).sum(1)
+
+    held_out = F.col("held_out")
+    return _each(problems.where(~held_out), model, work, "team_id long, truth string, rank int", problems.where(held_out))
+
+
 def fast_path(pins: DataFrame, model: Model, size: int = 6, max_swaps: int = 10) -> DataFrame:
     """Mean field, then the legal features of largest marginal, then greedy descent: (team_id, feature, problem).
 

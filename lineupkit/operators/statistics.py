@@ -125,10 +125,12 @@ def marginal_ranks(problems: DataFrame, counts: DataFrame) -> DataFrame:
     return above.select("team_id", "truth", (F.col("r_") - F.col("a_")).alias("rank"))
 
 
-def cooccurrence_ranks(problems: DataFrame, counts: DataFrame) -> DataFrame:
-    """(team_id, truth, rank): 1 + features not held in that meet the held ones more often; unmet ones score 0 and are never above."""
+def cooccurrence_ranks(problems: DataFrame, counts: DataFrame, value: str = "n") -> DataFrame:
+    """(team_id, truth, rank): 1 + features not held in that meet the held ones more often; unmet ones score 0 and are never above.
+
+    ``value`` is what is summed over the held ones (counts, or shifted PPMI), not negative."""
     held = problems.where(~F.col("held_out")).select("team_id", F.col("feature").alias("j"))
-    met = held.join(mirrored(counts, "n"), "j").groupBy("team_id", "i").agg(F.sum("n").alias("score"))
+    met = held.join(mirrored(counts, value), "j").groupBy("team_id", "i").agg(F.round(F.sum(value), 9).alias("score"))
     met = met.join(held.toDF("team_id", "i"), ["team_id", "i"], "left_anti")
     truth = problems.where("held_out").select("team_id", F.col("feature").alias("truth"))
     own = truth.join(met.toDF("team_id", "truth", "own"), ["team_id", "truth"], "left").fillna(0, ["own"])
