@@ -40,19 +40,27 @@ class Relabel:
 RELABELS = [Relabel("M-C", "2026-09-09", ("M-B", "CUSTOM"), ("Rillaboom", "Indeedee", "Indeedee ♀", "Salamence", "Golisopod", "Baxcalibur"))]
 
 
+def file_date(stem: Column) -> Column:
+    """The day at the end of a file's name, its parts after - or _, as year-month-day; empty where there is none, null for null."""
+    day = F.regexp_extract_all(stem, F.lit(r"[_-](\d{4})[_-](\d{2})[_-](\d{2})$"), F.lit(0))
+    return F.regexp_replace(F.substring(F.coalesce(F.get(day, F.lit(0)), F.when(stem.isNotNull(), "")), F.lit(2), F.lit(10)), "_", "-")
+
+
 def read_standings(spark: SparkSession, local_dir: str) -> DataFrame:
-    """Entries of ``<regulation>/<id>_<date>.json`` files, with tournament_id, regulation, date and players.
+    """Entries of ``<regulation>/<id>_<date>.json`` files, as ``standings_of`` gives them."""
+    return standings_of(spark.read.text(f"{local_dir}/*/*.json", wholetext=True).select("value", F.col("_metadata.file_path").alias("path")))
+
+
+def standings_of(files: DataFrame) -> DataFrame:
+    """Entries of landed files (value, path), with tournament_id, regulation, date and players.
 
     Each file is one JSON list; what is no list is skipped.  Team-sheet exports (rows with ``tl``) are brought to the same
     shape: division M alone, species and item by place, ``#`` as the placing.
     """
-    files = spark.read.text(f"{local_dir}/*/*.json", wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
     stem = F.regexp_extract("path", r"([^/]+)\.json$", 1)
-    day = F.regexp_extract_all(stem, F.lit(r"[_-](\d{4})[_-](\d{2})[_-](\d{2})$"), F.lit(0))
     parsed = files.select(
         F.concat(F.lit("local_"), stem).alias("tournament_id"), F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("regulation"),
-        F.regexp_replace(F.substring(F.coalesce(F.get(day, F.lit(0)), F.lit("")), F.lit(2), F.lit(10)), "_", "-").alias("date"),
-        F.from_json("value", f"array<{ENTRY}>").alias("all_"),
+        file_date(stem).alias("date"), F.from_json("value", f"array<{ENTRY}>").alias("all_"),
     )
     sheet = F.get("all_", F.lit(0))["tl"].isNotNull()
     kept = F.when(sheet, F.filter("all_", lambda e: e["d"] == "M")).otherwise(F.col("all_"))
@@ -205,7 +213,12 @@ def import_in_person(spark: SparkSession, local_dir: str, cache: str, have: Data
 
     What is returned has been written and stays the same, however the cache grows.  A second call writes nothing.
     """
-    entries = read_standings(spark, local_dir)
+    return import_entries(read_standings(spark, local_dir), cache, have, size)
+
+
+def import_entries(entries: DataFrame, cache: str, have: DataFrame | None = None, size: int = TEAM_SIZE) -> DataFrame:
+    """``import_in_person`` for entries that ``standings_of`` gave."""
+    spark = entries.sparkSession
     if have is None and path_exists(spark, cache):
         have = spark.read.schema(DOCUMENT + ", of string").json(cache).select("meta.id")
     if have is not None:
@@ -242,12 +255,18 @@ def read_votes(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
 
     ``row_no`` counts from 1 in the order of the file, which is short by its nature and read whole.
     """
+    return votes_of(spark.read.text(path, wholetext=True), names)
+
+
+def votes_of(texts: DataFrame, names: list[str]) -> DataFrame:
+    """``read_votes`` for landed texts (value, and columns that are kept): row_no counts within each text; a null text has no rows."""
+    kept = [c for c in texts.columns if c != "value"]
     lines = F.filter(F.transform(F.split("value", "\n"), strip_blanks), lambda x: x != "")
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(lines).alias("pos", "line"))
+    rows = texts.select(*kept, F.posexplode(lines).alias("pos", "line"))
     wrong = F.raise_error(F.concat(F.lit(f"a row must have {len(names)} digits: "), F.col("line")))
     checked = F.when(F.col("line").rlike(f"^[01]{{{len(names)}}}$"), F.col("line")).otherwise(wrong.cast("string"))
     votes = [F.struct(F.lit(n).alias("feature"), F.substring(checked, k + 1, 1).cast("int").alias("vote")) for k, n in enumerate(names)]
-    return rows.select((F.col("pos") + 1).cast("long").alias("row_no"), F.inline(F.array(*votes)))
+    return rows.select(*kept, (F.col("pos") + 1).cast("long").alias("row_no"), F.inline(F.array(*votes)))
 
 
 def walk_pages(catalog: DataFrame, candidate: Column, keep: Column, max_teams: int, start_page: int = 0, page_size: int = 1_000) -> DataFrame:

@@ -57,12 +57,12 @@ ent AS (SELECT o_orderkey AS team_id, strftime(o_orderdate, '%Y-%m') AS month, '
 idx AS (SELECT ent.*, ok.roster, row_number() OVER (PARTITION BY month ORDER BY pos) - 1 AS team_idx FROM ent JOIN ok USING (team_id))"""
 
 
-def _entries(s, d):
-    """Raw entries from the tables."""
+def _entries(s, d, event=None):
+    """Raw entries from the tables; the event is the month, or the SQL expression ``event``."""
     parts = table(s, d, "part").select("p_partkey", F.expr(_RAW_NAME).alias("name"), F.expr(_RAW_ITEM).alias("item"), F.array("p_name", F.concat("p_type", F.lit(" protect"))).alias("attacks"))
     lines = table(s, d, "lineitem").select(F.col("l_orderkey").alias("team_id"), "l_linenumber", F.col("l_partkey").alias("p_partkey")).join(parts, "p_partkey")
     decks = lines.groupBy("team_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "name", "item", "attacks"))), lambda x: F.struct(x["name"].alias("name"), x["item"].alias("item"), x["attacks"].alias("attacks"))).alias("decklist"))
-    rows = order_teams(s, d).select("team_id", F.col("month").alias("tournament_id"), F.concat(F.lit("P"), F.col("player").cast("string")).alias("name"), "price", "placing")
+    rows = order_teams(s, d).select("team_id", (F.col("month") if event is None else F.expr(event)).alias("tournament_id"), F.concat(F.lit("P"), F.col("player").cast("string")).alias("name"), "price", "placing")
     # In the order of the key, as in a file; neighbours play each other in round 1, and once more under a key that is no number.
     # Places are numbered on keys alone; the opponent is the entry at the place beside.
     place = F.row_number().over(Window.partitionBy("tournament_id").orderBy("team_id")) - 1
@@ -218,6 +218,83 @@ def version_gate(s, d):
     return _listed(ingest.read_cache(s, _cached(s, d, docs), least=0))
 
 
+#: Files hold at most so many entries, whatever the size of the tables: an event is a stretch of keys, its day the first order's.
+PER_FILE = 512
+_EVENT = f"concat('E', team_id DIV {PER_FILE})"
+_IN_FILES = _NAMED.replace("strftime(o_orderdate, '%Y-%m')", f"'E' || (o_orderkey // {PER_FILE})")
+_STEMS = f"st AS (SELECT 'E' || (o_orderkey // {PER_FILE}) AS month, 'E' || (o_orderkey // {PER_FILE}) || '_' || strftime(min(o_orderdate), '%Y-%m-%d') AS stem, strftime(min(o_orderdate), '%Y-%m-%d') AS date, count(*) AS players FROM orders GROUP BY 1, o_orderkey // {PER_FILE})"
+
+
+def _landed(s, texts, label):
+    """``texts`` (value, of, stem), one file each, written and read back as (value, of, stem, path)."""
+    path = work_path(s, label)
+    texts.write.partitionBy("of", "stem").text(path)
+    files = s.read.text(path, wholetext=True)
+    return files.select("value", "of", "stem", F.concat("of", F.lit("/"), "stem", F.lit(".json")).alias("path"))
+
+
+def _files(s, d, entry, entries):
+    """Each event's entries, in order, as one JSON list in a file named by event and day."""
+    first = order_teams(s, d).select(F.expr(_EVENT).alias("tournament_id"), "day").groupBy("tournament_id").agg(F.min("day").alias("day"))
+    texts = entries.groupBy("tournament_id").agg(F.concat(F.lit("["), F.array_join(F.sort_array(F.collect_list(F.struct("pos", F.to_json(entry).alias("e"))))["e"], ","), F.lit("]")).alias("value")).join(first, "tournament_id")
+    return _landed(s, texts.select("value", F.lit("M-A").alias("of"), F.concat_ws("_", "tournament_id", F.col("day").cast("string")).alias("stem")), "standings")
+
+
+_MATCHES = SQL["b8_matches"].replace("strftime(o_orderdate, '%Y-%m')", f"'E' || (o_orderkey // {PER_FILE})")
+
+
+@query("a5_imported_events", f"""WITH {_IN_FILES}, {_STEMS}, mt AS ({_MATCHES}), tn AS (SELECT month, count(*) AS teams FROM idx GROUP BY month), mn AS (SELECT tournament_id AS month, count(*) AS matches FROM mt GROUP BY 1)
+ SELECT 'local_' || stem AS id, date, 'M-A' AS regulation, CAST(players AS INTEGER) AS players, teams, coalesce(matches, 0) AS matches, 0 AS again FROM st JOIN tn USING (month) LEFT JOIN mn USING (month)""")
+def imported_events(s, d):
+    """Files of standings imported into an empty cache, and read from there; ``again`` is what a second import wrote."""
+    entries = _entries(s, d, _EVENT)
+    files = _files(s, d, F.struct("name", "placing", "record", "decklist", "rounds"), entries)
+    cache = work_path(s, "imports")
+    ingest.import_entries(ingest.standings_of(files), cache, size=4)
+    again = ingest.import_entries(ingest.standings_of(files), cache, size=4).count()
+    docs = ingest.read_cache(s, cache, "M-A", "in-person", 1)
+    size = lambda c: F.size(c).cast("long").alias(c)
+    return docs.select("meta.id", "meta.date", "meta.regulation", "meta.players", size("teams"), size("matches"), F.lit(again).alias("again"))
+
+
+@query("a6_file_dates", """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN '' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS date FROM orders""")
+def file_dates(s, d):
+    """Days in names of several forms; a day that is not at the end, or has no separator before it, is none."""
+    day = F.to_date("o_orderdate").cast("string")
+    key = F.col("o_orderkey")
+    stem = F.when(key % 4 == 0, F.concat(F.lit("cup"), day)).when(key % 4 == 1, F.concat(F.lit("cup_"), day, F.lit("_x")))
+    stem = stem.when(key % 4 == 2, F.concat(F.lit("cup-"), F.translate(day, "-", "_"))).otherwise(F.concat(F.lit("cup_2001-01-01_"), day))
+    return table(s, d, "orders").select("o_orderkey", ingest.file_date(stem).alias("date"))
+
+
+@query("a7_team_sheets", f"""WITH {_IN_FILES}, {_STEMS} SELECT 'local_' || stem AS tournament_id, name, team_id % 1000 AS placing, idx.roster FROM (SELECT month, team_id, name, roster FROM idx) idx JOIN st USING (month) WHERE team_id % 3 <> 0 AND team_id % 7 <> 0
+ UNION ALL SELECT 'local_' || stem, name, NULL, idx.roster FROM (SELECT month, team_id, name, roster FROM idx) idx JOIN st USING (month) WHERE team_id % 3 <> 0 AND team_id % 7 = 0""")
+def team_sheets(s, d):
+    """Team sheets by place: one division alone, a placing that is no number is none."""
+    key = F.col("team_id")
+    gap = F.lit(None).cast("string")
+    sheet = F.transform("decklist", lambda m: F.array(gap, gap, gap, gap, F.lit("x"), m["name"], m["item"]))
+    placing = F.when(key % 7 == 0, F.lit("DQ")).otherwise((key % 1000).cast("string"))
+    row = F.struct(F.col("name").alias("n"), F.when(key % 3 == 0, "S").otherwise("M").alias("d"), placing.alias("#"), F.coalesce(sheet, F.array().cast("array<array<string>>")).alias("tl"))
+    out = ingest.parsed(ingest.standings_of(_files(s, d, row, _entries(s, d, _EVENT))), 4).where("members IS NOT NULL")
+    return out.select("tournament_id", "name", F.col("placing").cast("long").alias("placing"), _roster().alias("roster"))
+
+
+_VOTES = {"dear": "o_totalprice > 100000", "urgent": "o_orderpriority = '1-URGENT'", "open": "o_orderstatus = 'O'", "player": "o_custkey % 2 = 1", "key": "o_orderkey % 2 = 1"}
+
+
+@query("a13_votes", f"""SELECT 'E' || (o_orderkey // {PER_FILE}) AS stem, row_number() OVER (PARTITION BY o_orderkey // {PER_FILE} ORDER BY o_orderkey) AS row_no, unnest({list(_VOTES)}) AS feature, unnest([{', '.join(f'({x})::INT' for x in _VOTES.values())}]) AS vote FROM orders""")
+def votes(s, d):
+    """Texts of one row of digits an order, with blank lines between and blanks around, written and read back."""
+    digits = F.concat(*[F.expr(x).cast("int").cast("string") for x in _VOTES.values()])
+    line = F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit("\n  "), digits, F.lit(" \n"))).otherwise(digits)
+    stem = F.concat(F.lit("E"), F.floor(F.col("o_orderkey") / PER_FILE).cast("string"))
+    lines = table(s, d, "orders").select(stem.alias("stem"), "o_orderkey", line.alias("line"))
+    texts = lines.groupBy("stem").agg(F.array_join(F.sort_array(F.collect_list(F.struct("o_orderkey", "line")))["line"], "\n").alias("value"))
+    landed = _landed(s, texts.select("value", F.lit("votes").alias("of"), "stem"), "votes").select("value", "stem")
+    return ingest.votes_of(landed, list(_VOTES))
+
+
 @query("b16_pair_parts", "SELECT DISTINCT p_brand || ' @ ' || p_type AS feature, p_brand AS species, p_type AS item FROM part")
 def pair_parts(s, d):
     features = table(s, d, "part").select(names.format_pair(F.col("p_brand"), F.col("p_type")).alias("feature")).distinct()
