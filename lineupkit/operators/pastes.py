@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lineupkit.operators.names import slugify, species_slug, strip_blanks
+from lineupkit.operators.names import let, slugify, species_slug, strip_blanks
 
 TEAM_SIZE = 6
 # Slugs of pasted names that stand for another, and former codes of models.
@@ -33,23 +33,39 @@ def parse(text: Column) -> Column:
     def line(block: Column) -> Column:
         return F.get(F.filter(F.transform(F.split(block, "\n"), strip_blanks), lambda x: x != ""), F.lit(0))
 
+    # What is named more than once is bound, so that it is computed once a block.
+    def unmarked(name: Column) -> Column:
+        return strip_blanks(F.regexp_replace(name, r"(?iU)\s*\((?:M|F)\)\s*$", ""))
+
+    def species_of(name: Column) -> Column:
+        return strip_blanks(let(F.regexp_extract(name, r"(?U)^.*\s+\(([^)]+)\)\s*$", 1), lambda inner: F.when(inner != "", inner).otherwise(name)))
+
     def mon(row: Column) -> Column:
         cut = row.contains(" @ ")
-        item = strip_blanks(F.regexp_extract(row, r"^.* @ (.*)$", 1))
+        item = let(strip_blanks(F.regexp_extract(row, r"^.* @ (.*)$", 1)), lambda x: F.when(x != "", x))
         name = strip_blanks(F.when(cut, F.regexp_extract(row, r"^(.*) @ .*$", 1)).otherwise(row))
-        name = strip_blanks(F.regexp_replace(name, r"(?iU)\s*\((?:M|F)\)\s*$", ""))
-        inner = F.regexp_extract(name, r"(?U)^.*\s+\(([^)]+)\)\s*$", 1)
-        species = strip_blanks(F.when(inner != "", inner).otherwise(name))
-        return F.struct(species.alias("species"), F.when(cut & (item != ""), item).alias("item"))
+        return F.struct(let(unmarked(name), species_of).alias("species"), F.when(cut, item).alias("item"))
+
+    def slug_of(species: Column) -> Column:
+        slug = species_slug(F.regexp_replace(species, r"(?i)-Mega(-[XYZ])?$", ""))
+        return let(slug, lambda s: F.coalesce(_looked_up(s, PASTE_ALIASES), s))
 
     def named(m: Column) -> Column:
-        slug = species_slug(F.regexp_replace(m["species"], r"(?i)-Mega(-[XYZ])?$", ""))
-        return F.struct(m["species"].alias("species"), m["item"].alias("item"), F.coalesce(_looked_up(slug, PASTE_ALIASES), slug).alias("species_slug"), slugify(m["item"]).alias("item_slug"))
+        return F.struct(m["species"].alias("species"), m["item"].alias("item"), slug_of(m["species"]).alias("species_slug"), slugify(m["item"]).alias("item_slug"))
 
     lines = F.filter(F.transform(F.split(text, r"(?U)\n\s*\n", -1), line), lambda x: x.isNotNull())
     return F.transform(F.filter(F.transform(lines, mon), lambda m: m["species"] != ""), named)
 
 
+def parsed_mons(pastes: DataFrame) -> DataFrame:
+    """(paste_id, pos, species, item, species_slug, item_slug) of (paste_id, text); a paste without members has one row of nulls.
+
+    An outer explode: before an inner one Spark puts a filter on the array, which parses every text once more.
+    """
+    rows = pastes.select("paste_id", F.posexplode_outer(parse(F.col("text"))).alias("pos", "m_"))
+    return rows.select("paste_id", "pos", "m_.species", "m_.item", "m_.species_slug", "m_.item_slug")
+
+
 def slug_index(vocab: DataFrame) -> DataFrame:
     """The vocabulary with slugs and ``place``: 1 for the largest marginal of its species slug, ties by feature."""
     named = vocab.select("feature", "item", "m", species_slug(F.col("species")).alias("species_slug"), slugify(F.col("item")).alias("item_slug"))
@@ -78,10 +94,10 @@ def match(pastes: DataFrame, vocab: DataFrame, size: int = TEAM_SIZE) -> DataFra
 
     A repeated species goes silently, a repeated item with a warning; ``error`` tells an empty paste and one that matches nothing.
     """
-    whole = pastes.select("paste_id", parse(F.col("text")).alias("mons_"))
-    rows = resolve(whole.select("paste_id", F.posexplode("mons_").alias("pos", "m_")).select("paste_id", "pos", "m_.*"), vocab)
-    # A paste's rows are as few as its blocks.
-    mons = rows.groupBy("paste_id").agg(F.sort_array(F.collect_list(F.struct("pos", "species", "species_slug", "feature", "feature_item", "warning"))).alias("r_"))
+    rows = resolve(parsed_mons(pastes), vocab)
+    # A paste's rows are as few as its blocks; an empty one has none but its row of nulls.
+    member = F.when(F.col("pos").isNotNull(), F.struct("pos", "species", "species_slug", "feature", "feature_item", "warning"))
+    mons = rows.groupBy("paste_id").agg(F.sort_array(F.collect_list(member)).alias("r_"))
     none = F.array().cast("array<string>")
     start = F.struct(none.alias("features"), none.alias("slugs"), none.alias("items"), none.alias("holders"), none.alias("warnings"))
 
@@ -100,10 +116,9 @@ def match(pastes: DataFrame, vocab: DataFrame, size: int = TEAM_SIZE) -> DataFra
             add("holders", r["species"], taken & held), add("warnings", told, told.isNotNull()),
         )
 
-    found = whole.join(mons.select("paste_id", F.aggregate("r_", start, step).alias("f_")), "paste_id", "left")
-    empty = F.coalesce(F.size("mons_") < 1, F.lit(True))
-    error = F.when(empty, "The paste is empty.").when(F.size("f_.features") == 0, "Nothing of the paste matched this model.")
-    return found.select("paste_id", F.coalesce("f_.features", none).alias("features"), F.coalesce("f_.warnings", none).alias("warnings"), error.alias("error"))
+    found = mons.select("paste_id", F.size("r_").alias("size_"), F.explode_outer(F.array(F.aggregate("r_", start, step))).alias("f_"))
+    error = F.when(F.col("size_") < 1, "The paste is empty.").when(F.size("f_.features") == 0, "Nothing of the paste matched this model.")
+    return found.select("paste_id", F.col("f_.features").alias("features"), F.col("f_.warnings").alias("warnings"), error.alias("error"))
 
 
 def export(members: Column) -> Column:

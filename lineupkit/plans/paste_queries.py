@@ -56,8 +56,7 @@ def _vocab(s, d):
 
 
 def _mons(s, d):
-    rows = _pastes(s, d).select("paste_id", F.posexplode(pastes.parse(F.col("text"))).alias("pos", "m"))
-    return rows.select("paste_id", F.col("pos").cast("long").alias("pos"), "m.*")
+    return pastes.parsed_mons(_pastes(s, d)).where("pos IS NOT NULL").withColumn("pos", F.col("pos").cast("long"))
 
 
 @query("b18_parsed_pastes", f", {_TEXT} SELECT paste_id, pos, species, item, species_slug, item_slug FROM mons")

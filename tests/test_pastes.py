@@ -103,3 +103,13 @@ def test_sites(spark):
     assert found == {1: [None], 2: [None], 3: [None], 4: [None]}
     free = completion.resolve_sites(sites.where("team_id = 1"), model).collect()
     assert [r.feature for r in free] == ["a1", "b2"]
+
+
+def test_each_text_is_parsed_once(spark):
+    texts = spark.createDataFrame([(1, "A @ B\n\nC (M)"), (2, ""), (3, None)], "paste_id long, text string")
+    rows = pastes.parsed_mons(texts)
+    assert sorted(((r.paste_id, r.pos, r.species, r.item) for r in rows.collect()), key=str) == [(1, 0, "A", "B"), (1, 1, "C", None), (2, None, None, None), (3, None, None, None)]
+    vocab = spark.createDataFrame([("A @ B", "A", "B", 0.5)], "feature string, species string, item string, m double")
+    for df in (rows.where("pos IS NOT NULL"), pastes.match(texts, vocab)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("(?iU)") == 1  # the gender mark's pattern
