@@ -2,7 +2,7 @@
 
 The model (a vocabulary and its square, at most ``max_features``) goes to every task once; teams are rows with their
 members, and each row is worked on where it is.  So nothing is shuffled but the members' way into their team's row.
-A task takes its teams in batches: one array operation serves all teams, members and candidates of a batch, whose
+Teams alike are worked on once.  A task takes its teams in batches: one array operation serves all teams, members and candidates of a batch, whose
 size is held so that (teams x members x vocabulary) stays below ``_CELLS``.
 """
 
@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineupkit.runtime import local_table
+from lineupkit.runtime import local_table, stash
 
 _CELLS = 1 << 20
 _KINDS = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
@@ -176,13 +176,20 @@ def _each(members: DataFrame, model: Model, work, kinds: str, pinned: DataFrame
     """``work(model, teams, pins)`` for batches of teams: it gives the rows of the batch and columns as long; ids stand for names.
 
     Names the model does not know are left out of a team; a team without any is worked on as an empty one.
+    Teams of the same members and pins are worked on once: the distinct sets are numbered, and their rows joined to the teams.
     """
-    rows = members.groupBy("team_id").agg(F.collect_set("feature").alias("members"))
+    named = F.sort_array(F.collect_set("feature"))
+    rows = members.groupBy("team_id").agg(named.alias("members"))
     if pinned is not None:
-        rows = rows.join(pinned.groupBy("team_id").agg(F.collect_set("feature").alias("pinned")), "team_id", "left")
+        rows = rows.join(pinned.groupBy("team_id").agg(named.alias("pinned")), "team_id", "left")
     else:
         rows = rows.withColumn("pinned", F.lit(None).cast("array<string>"))
-    rows = rows.select(F.col("team_id").cast("long").alias("team_id"), "members", "pinned")
+    rows = stash(rows.select(F.col("team_id").cast("long").alias("team_id"), "members", "pinned"), "teams")
+    sets = stash(rows.select("members", "pinned").distinct().withColumn("set_id", F.monotonically_increasing_id()), "sets")
+    same = rows["members"].eqNullSafe(sets["members"]) & rows["pinned"].eqNullSafe(sets["pinned"])
+    teams = rows.join(sets.hint("merge"), same).select("team_id", "set_id")
+    # Many sets to a task would wait for one core where the sets are a short file.
+    sets = sets.repartition("set_id").select(F.col("set_id").alias("team_id"), "members", "pinned")
     shared = members.sparkSession.sparkContext.broadcast(model)
     columns = [c.split(" ") for c in kinds.split(", ")]
 
@@ -205,7 +212,8 @@ def _each(members: DataFrame, model: Model, work, kinds: str, pinned: DataFrame
                 arrays += [column(np.asarray(x), kind) for x, (_, kind) in zip(found, columns[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names=[n for n, _ in columns])
 
-    return rows.mapInArrow(run, kinds)
+    found = sets.mapInArrow(run, kinds).withColumnRenamed("team_id", "set_id")
+    return teams.join(found.hint("merge"), "set_id").select("team_id", *[n for n, _ in columns[1:]])
 
 
 def ranked_swaps(members: DataFrame, model: Model, top: int = 20, field_weight: float = 1.0, pinned: DataFrame | None = None, excluded: list[str] | None = None) -> DataFrame:

@@ -103,3 +103,18 @@ def test_equal_sets_are_filled_once(spark, monkeypatch):
     want = {0: {("a", 0), ("b", 1), ("c", 2)}, 1: {("b", 0), ("a", 1), ("c", 2)}}
     assert len(got) == 300 and all({(r.feature, r.step) for r in got if r.team_id == k} == want[k % 2] for k in range(100))
     assert sizes["greedy"] == 2 and sizes["greedy-scores"] < 20  # 100 teams hold two sets
+
+
+def test_equal_teams_are_worked_on_once(spark):
+    model = completion.Model(["a", "b", "c"], np.zeros(3), np.zeros((3, 3)), np.full(3, 0.5), np.arange(3), np.full(3, -1))
+    seen = spark.sparkContext.accumulator(0)
+
+    def work(own, teams, pins):
+        seen.add(len(teams))
+        return np.arange(len(teams)), teams[:, 0]
+
+    members = spark.createDataFrame([(k, "abc"[k % 3]) for k in range(90)], "team_id long, feature string")
+    pins = spark.createDataFrame([(k, "c") for k in range(0, 90, 3)], "team_id long, feature string")
+    got = completion._each(members, model, work, "team_id long, feature string", pins).collect()
+    assert sorted(map(tuple, got)) == [(k, "abc"[k % 3]) for k in range(90)]
+    assert seen.value == 3
