@@ -94,3 +94,14 @@ def test_usage_report(spark, tmp_path):
     vocab = usage.usage_vocabulary(rows, 0.2)
     assert [r.name for r in vocab.collect()] == ["B", "A"]
     assert {tuple(r) for r in usage.usage_cooccurrence(rows, vocab).collect()} == {("A", "B", 2.5), ("B", "A", 2.5)}
+
+
+def test_documents_parse_their_entries_once(spark, monkeypatch):
+    from conftest import SF
+    from lineupkit.plans import ingest_queries
+
+    calls, members_of = [], ingest.members_of
+    monkeypatch.setattr(ingest, "members_of", lambda *a: calls.append(1) or members_of(*a))
+    docs = ingest_queries._documents(spark, SF)
+    assert len(calls) == 1
+    assert "decklist" not in docs._jdf.queryExecution().optimizedPlan().toString()
