@@ -181,7 +181,7 @@ def _each(members: DataFrame, model: Model, work, kinds: str, pinned: DataFrame
     named = F.sort_array(F.collect_set("feature"))
     rows = members.groupBy("team_id").agg(named.alias("members"))
     if pinned is not None:
-        rows = rows.join(pinned.groupBy("team_id").agg(named.alias("pinned")), "team_id", "left")
+        rows = rows.join(pinned.groupBy("team_id").agg(named.alias("pinned")).hint("merge"), "team_id", "left")
     else:
         rows = rows.withColumn("pinned", F.lit(None).cast("array<string>"))
     rows = stash(rows.select(F.col("team_id").cast("long").alias("team_id"), "members", "pinned"), "teams")

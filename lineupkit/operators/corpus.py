@@ -12,6 +12,14 @@ from pyspark.sql import functions as F
 from lineupkit.sources.domain import rosters
 
 
+def weighed(rows: DataFrame, weights: DataFrame) -> DataFrame:
+    """``rows`` (team_id, ...) with their teams' weights.
+
+    Both grow with the teams, and a stashed table's files are a small part of its rows, so size by files must not get either broadcast.
+    """
+    return rows.join(weights.hint("merge"), "team_id")
+
+
 def _beside(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Every row with the columns of a single-row aggregate."""
     return df.crossJoin(F.broadcast(one_row))
@@ -36,7 +44,7 @@ def team_weights(teams: DataFrame, tau: float | None, in_person: float = 1.0) ->
 
 def vocabulary(members: DataFrame, weights: DataFrame, cutoff: float, prior: DataFrame | None = None) -> DataFrame:
     """Features with raw and weighted count of at least ``cutoff``, and all of ``prior``; ids in order."""
-    counts = members.join(weights, "team_id").groupBy("feature").agg(
+    counts = weighed(members, weights).groupBy("feature").agg(
         F.count("*").alias("raw_count"), F.sum("w").alias("weighted_count")
     )
     kept = counts.where((F.col("raw_count") >= cutoff) & (F.col("weighted_count") >= cutoff))
@@ -50,7 +58,7 @@ def vocabulary(members: DataFrame, weights: DataFrame, cutoff: float, prior: Dat
 def marginals(members: DataFrame, weights: DataFrame) -> DataFrame:
     """(feature, m): weighted share of all weighted teams, those without members included."""
     total = weights.agg(F.sum("w").alias("total_"))
-    sums = members.join(weights, "team_id").groupBy("feature").agg(F.sum("w").alias("sum_"))
+    sums = weighed(members, weights).groupBy("feature").agg(F.sum("w").alias("sum_"))
     return _beside(sums, total).select("feature", (F.col("sum_") / F.col("total_")).alias("m"))
 
 
@@ -75,7 +83,7 @@ def empirical_moments(members: DataFrame, weights: DataFrame) -> DataFrame:
     """(i, j, p): weighted second moments, i <= j; the diagonal has the first moments."""
     total = weights.agg(F.sum("w").alias("total_"))
     pairs = team_pairs(members).unionByName(members.select("team_id", F.col("feature").alias("i"), F.col("feature").alias("j")))
-    sums = pairs.join(weights, "team_id").groupBy("i", "j").agg(F.sum("w").alias("sum_"))
+    sums = weighed(pairs, weights).groupBy("i", "j").agg(F.sum("w").alias("sum_"))
     return _beside(sums, total).select("i", "j", (F.col("sum_") / F.col("total_")).alias("p"))
 
 
@@ -171,7 +179,7 @@ def log_odds_model(members: DataFrame, weights: DataFrame, support: int = 10) ->
     m = marginals(members, weights)
     fields = m.where("m > 0 AND m < 1").select("feature", "m", F.ln(F.col("m") / (1 - F.col("m"))).alias("h"))
     total = weights.agg(F.sum("w").alias("total_"))
-    pairs = team_pairs(members).join(weights, "team_id").groupBy("i", "j").agg(F.count("*").alias("n"), F.sum("w").alias("sum_"))
+    pairs = weighed(team_pairs(members), weights).groupBy("i", "j").agg(F.count("*").alias("n"), F.sum("w").alias("sum_"))
     pairs = _beside(pairs.where(F.col("n") >= support), total)
     both = pairs.join(fields.select("feature", "m").toDF("i", "mi"), "i").join(fields.select("feature", "m").toDF("j", "mj"), "j")
     return fields, both.select("i", "j", F.ln(F.col("sum_") / F.col("total_") / (F.col("mi") * F.col("mj"))).alias("coupling"))

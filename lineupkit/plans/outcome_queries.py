@@ -134,7 +134,7 @@ def ppmi_ranks(s, d):
 
 def _trained(s, d, train):
     """The closed-form model of the teams before the last fifth of the time."""
-    weights = base._weights(s, d).join(train.select("team_id").distinct(), "team_id", "left_semi")
+    weights = base._weights(s, d).join(train.select("team_id").distinct().hint("merge"), "team_id", "left_semi")
     return completion.local_model(*corpus.log_odds_model(train, weights, base.SUPPORT))
 
 

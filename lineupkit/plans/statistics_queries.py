@@ -61,7 +61,7 @@ def _train(s, d):
 
 def _problems(s, d, members=None):
     """Problems of the last fifth of the time, and the members of the teams before."""
-    named = (species_members(s, d) if members is None else members).join(_train(s, d), "team_id")
+    named = (species_members(s, d) if members is None else members).join(_train(s, d).hint("merge"), "team_id")
     named = stash(named, "problems")
     return statistics.leave_out(named.where("NOT train"), 1, 3), named.where("train").select("team_id", "feature")
 
