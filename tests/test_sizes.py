@@ -1,11 +1,15 @@
 """What must not depend on a table's file size: no broadcast of tables that grow with the teams, no shuffle of what is met already."""
 
 import re
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from lineupkit.operators import corpus
-from lineupkit.runtime import stash
+from lineupkit.plans import registry
+from lineupkit.runtime import dealt, stash, table_bytes
+
+from conftest import SF
 
 
 def _plan(df):
@@ -20,3 +24,20 @@ def test_weights_and_pairs_are_never_broadcast(spark):
     for df in (fields, couplings, corpus.marginals(members, weights), corpus.empirical_moments(members, weights), corpus.vocabulary(members, weights, 1)):
         assert not re.search(r"BroadcastHashJoin \[team_id", _plan(df))
     assert corpus.empirical_moments(members, weights).count() == 6
+
+
+def _shuffles(df):
+    return re.findall(r"Exchange hashpartitioning\(([^)]*), \d+\)", _plan(df))
+
+
+def test_tasks_grow_with_the_files(spark):
+    rows = spark.range(100)
+    assert dealt(rows, "id", 9, 1).rdd.getNumPartitions() == 9  # nine files' worth of tasks, of which 4 is the session's number
+    assert dealt(rows, "id", 0, 1).count() == dealt(rows, "id", 9, 1).count() == 100
+    assert table_bytes(spark, SF, "lineitem") == Path(f"{SF}/lineitem.parquet").stat().st_size
+
+
+def test_violations_deal_lines_by_team_once(spark):
+    """e5: one shuffle by part on either side, one by team; none of rows copied for each distinct count."""
+    df = registry.QUERIES["e5_violations"](spark, SF)
+    assert "Expand" not in _plan(df) and len(_shuffles(df)) == 3
