@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lineupkit.operators import completion, corpus, evaluation, scoring
+from lineupkit.runtime import stash
 from lineupkit.sources.domain import MEMBERS_SQL, pair_members, rosters, species_members, teams
 
 TAU, IN_PERSON, SUPPORT = 365.0, 3.0, 10
@@ -49,7 +50,9 @@ def _weights(s: SparkSession, d: str) -> DataFrame:
 
 
 def _model(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return corpus.log_odds_model(species_members(s, d), _weights(s, d), SUPPORT)
+    """Fields and couplings, made once: their files show how short they are, so rows of teams need not be dealt by feature to meet them."""
+    fields, couplings = corpus.log_odds_model(species_members(s, d), _weights(s, d), SUPPORT)
+    return stash(fields, "model-fields"), stash(couplings, "model-couplings")
 
 
 def _scores(s: SparkSession, d: str) -> DataFrame:
@@ -403,7 +406,8 @@ _PAIRMODEL = """pmarg AS (SELECT feature, species, item, sum(w) / (SELECT sum(w)
 def _pair_model(s, d):
     members = pair_members(s, d)
     fields, couplings = corpus.log_odds_model(members.select("team_id", "feature"), _weights(s, d), SUPPORT)
-    return fields, couplings, members.select("feature", "species", "item").distinct()
+    features = members.select("feature", "species", "item").distinct()
+    return stash(fields, "pair-fields"), stash(couplings, "pair-couplings"), stash(features, "pair-features")
 
 
 @query(

@@ -41,3 +41,9 @@ def test_violations_deal_lines_by_team_once(spark):
     """e5: one shuffle by part on either side, one by team; none of rows copied for each distinct count."""
     df = registry.QUERIES["e5_violations"](spark, SF)
     assert "Expand" not in _plan(df) and len(_shuffles(df)) == 3
+
+
+def test_pairs_meet_a_short_model_where_they_are(spark):
+    """e4: no pair of a team is dealt by its features."""
+    df = registry.QUERIES["e4_pairwise_rows"](spark, SF)
+    assert len(_shuffles(df)) == 3 and "SortMergeJoin [i" not in _plan(df)
