@@ -172,11 +172,12 @@ def _padded(index: pd.Index, lists: pa.Array) -> np.ndarray:
     return out
 
 
-def _each(members: DataFrame, model: Model, work, kinds: str, pinned: DataFrame | None = None) -> DataFrame:
+def _each(members: DataFrame, model: Model, work, kinds: str, pinned: DataFrame | None = None, dense: bool = True) -> DataFrame:
     """``work(model, teams, pins)`` for batches of teams: it gives the rows of the batch and columns as long; ids stand for names.
 
     Names the model does not know are left out of a team; a team without any is worked on as an empty one.
     Teams of the same members and pins are worked on once: the distinct sets are numbered, and their rows joined to the teams.
+    Work that is not ``dense`` (it meets members, not the vocabulary) costs less than that: every team is worked on where it is.
     """
     named = F.sort_array(F.collect_set("feature"))
     rows = members.groupBy("team_id").agg(named.alias("members"))
@@ -184,12 +185,21 @@ def _each(members: DataFrame, model: Model, work, kinds: str, pinned: DataFrame
         rows = rows.join(pinned.groupBy("team_id").agg(named.alias("pinned")).hint("merge"), "team_id", "left")
     else:
         rows = rows.withColumn("pinned", F.lit(None).cast("array<string>"))
-    rows = stash(rows.select(F.col("team_id").cast("long").alias("team_id"), "members", "pinned"), "teams")
+    rows = rows.select(F.col("team_id").cast("long").alias("team_id"), "members", "pinned")
+    if not dense:
+        return rows.mapInArrow(_in_batches(model, members, work, kinds, dense), kinds)
+    rows = stash(rows, "teams")
     sets = stash(rows.select("members", "pinned").distinct().withColumn("set_id", F.monotonically_increasing_id()), "sets")
     same = rows["members"].eqNullSafe(sets["members"]) & rows["pinned"].eqNullSafe(sets["pinned"])
     teams = rows.join(sets.hint("merge"), same).select("team_id", "set_id")
     # Many sets to a task would wait for one core where the sets are a short file.
     sets = sets.repartition("set_id").select(F.col("set_id").alias("team_id"), "members", "pinned")
+    found = sets.mapInArrow(_in_batches(model, members, work, kinds, dense), kinds).withColumnRenamed("team_id", "set_id")
+    return teams.join(found.hint("merge"), "set_id").select("team_id", *[c.split(" ")[0] for c in kinds.split(", ")[1:]])
+
+
+def _in_batches(model: Model, members: DataFrame, work, kinds: str, dense: bool):
+    """The task of ``_each``: rows (team_id, members, pinned) in, rows of ``kinds`` out."""
     shared = members.sparkSession.sparkContext.broadcast(model)
     columns = [c.split(" ") for c in kinds.split(", ")]
 
@@ -204,7 +214,7 @@ def _each(members: DataFrame, model: Model, work, kinds: str, pinned: DataFrame
 
         for batch in batches:
             longest = pc.max(pc.list_value_length(batch.column("members"))).as_py() or 1
-            step = max(1, _CELLS // max(1, len(own.names) * longest))
+            step = max(1, _CELLS // max(1, (len(own.names) if dense else 1) * longest))
             for first in range(0, batch.num_rows, step):
                 part = batch.slice(first, step)
                 at, *found = work(own, _padded(index, part.column("members")), _padded(index, part.column("pinned")))
@@ -212,8 +222,7 @@ def _each(members: DataFrame, model: Model, work, kinds: str, pinned: DataFrame
                 arrays += [column(np.asarray(x), kind) for x, (_, kind) in zip(found, columns[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names=[n for n, _ in columns])
 
-    found = sets.mapInArrow(run, kinds).withColumnRenamed("team_id", "set_id")
-    return teams.join(found.hint("merge"), "set_id").select("team_id", *[n for n, _ in columns[1:]])
+    return run
 
 
 def ranked_swaps(members: DataFrame, model: Model, top: int = 20, field_weight: float = 1.0, pinned: DataFrame | None = None, excluded: list[str] | None = None) -> DataFrame:
@@ -248,22 +257,38 @@ def resolve_sites(sites: DataFrame, model: Model, pinned: DataFrame | None = Non
     """
     barred = np.isin(np.array(model.names, object), list(excluded or []))
 
-    def place(own: Model, wanted: np.ndarray, placed: np.ndarray) -> list[int]:
-        found = []
-        for f in wanted:
-            options = np.flatnonzero((own.species == own.species[f]) & ~own.clash(placed) & ~barred)
-            if not len(options):
-                return [-1]
-            found.append(options[np.lexsort((options, -np.round(own.m[options], 12)))[0]])
-            placed = np.append(placed, found[-1])
-        return found
+    # The features of each site, best first, filled up with -1.
+    codes = np.unique(model.species, return_inverse=True)[1]
+    ranked = np.lexsort((np.arange(len(codes)), -np.round(model.m, 12), codes))
+    ranked = ranked[~barred[ranked]]
+    counts = np.bincount(codes[ranked], minlength=codes.max(initial=-1) + 1)
+    best = np.full((len(counts), counts.max(initial=0) + 1), -1)
+    best[codes[ranked], np.arange(len(ranked)) - np.repeat(np.cumsum(counts) - counts, counts)] = ranked
 
     def work(own: Model, wanted: np.ndarray, pins: np.ndarray):
-        found = [place(own, w[w >= 0], p[p >= 0]) for w, p in zip(wanted, pins, strict=True)]
-        features = np.array([f for some in found for f in some], int)
-        return np.repeat(np.arange(len(found)), [len(f) for f in found]), features, np.where(features < 0, "no feature can stand on a site", None)
-
-    return _each(sites, model, work, "team_id long, feature string, problem string", pinned)
+        fine, chosen, placed = np.ones(len(wanted), bool), np.full(wanted.shape, -1), pins
+        for slot in range(wanted.shape[1] if own.names else 0):
+            live = np.flatnonzero(fine & (wanted[:, slot] >= 0))
+            site, taken = codes[wanted[live, slot]], placed[live]
+            sites, items = np.where(taken >= 0, codes[taken], -1), np.where(taken >= 0, own.item[taken], -1)
+            found, open_ = np.full(len(live), -1), ~(sites == site[:, None]).any(1)
+            for k in range(best.shape[1]):
+                some = np.flatnonzero(open_)
+                if not len(some):
+                    break
+                f = best[site[some], k]
+                item = np.where(f >= 0, own.item[f], -1)
+                stands = (f >= 0) & ~((item >= 0)[:, None] & (items[some] == item[:, None])).any(1)
+                found[some[stands]] = f[stands]
+                open_[some[stands | (f < 0)]] = False
+            chosen[live, slot], fine[live] = found, found >= 0
+            placed = np.concatenate([placed, chosen[:, slot : slot + 1]], 1)
+        rows, slots = np.nonzero((chosen >= 0) & fine[:, None])
+        bad = np.flatnonzero(~fine)
+        why = np.concatenate([np.full(len(rows), None, object), np.full(len(bad), "no feature can stand on a site", object)])
+        return np.concatenate([rows, bad]), np.concatenate([chosen[rows, slots], np.full(len(bad), -1)]), why
+
+    return _each(sites, model, work, "team_id long, feature string, problem string", pinned, dense=False)
 
 
 def greedy_descent(members: DataFrame, model: Model, max_swaps: int = 20, field_weight: float = 1.0, pinned: DataFrame | None = None) -> DataFrame:

@@ -3,9 +3,10 @@
 import re
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from lineupkit.operators import corpus
+from lineupkit.operators import completion, corpus
 from lineupkit.plans import registry
 from lineupkit.runtime import dealt, stash, table_bytes
 
@@ -47,3 +48,29 @@ def test_pairs_meet_a_short_model_where_they_are(spark):
     """e4: no pair of a team is dealt by its features."""
     df = registry.QUERIES["e4_pairwise_rows"](spark, SF)
     assert len(_shuffles(df)) == 3 and "SortMergeJoin [i" not in _plan(df)
+
+
+def test_sites_of_many_teams_against_plain_python(spark):
+    """e7: one pass over the teams in place of a search for teams alike; the same choice as site by site."""
+    rng = np.random.default_rng(11)
+    names = [f"f{k:02d}" for k in range(24)]
+    model = completion.Model(names, np.zeros(24), np.zeros((24, 24)), rng.integers(1, 5, 24) / 10, rng.integers(0, 6, 24), rng.integers(-1, 4, 24))
+    barred = {"f03", "f10"}
+    sites = {t: sorted(rng.choice(names, rng.integers(1, 4), replace=False)) for t in range(120)}
+    pins = {t: sorted(rng.choice(names, rng.integers(0, 3), replace=False)) for t in range(120)}
+    plain = set()
+    for t, wanted in sites.items():
+        placed, found = [names.index(p) for p in pins[t]], []
+        for w in map(names.index, wanted):
+            held = {int(model.item[p]) for p in placed if model.item[p] >= 0}
+            free = [k for k in range(24) if model.species[k] == model.species[w] and names[k] not in barred and int(model.item[k]) not in held and all(model.species[k] != model.species[p] for p in placed)]
+            if not free:
+                found = [None]
+                break
+            placed.append(min(free, key=lambda k: (-model.m[k], k)))
+            found.append(names[placed[-1]])
+        plain |= {(t, f, None if f else "no feature can stand on a site") for f in found}
+    frame = lambda sets: spark.createDataFrame([(t, str(f)) for t, some in sets.items() for f in [*some, "unknown"]], "team_id long, feature string")
+    got = completion.resolve_sites(frame(sites), model, frame(pins), sorted(barred))
+    assert _plan(got).count("SortMergeJoin") == 1  # pins beside sites, no sets beside teams
+    assert {tuple(r) for r in got.collect()} == plain and len(plain) > 120
