@@ -161,13 +161,19 @@ def ranking_metrics(ranks: DataFrame) -> DataFrame:
 
 def pseudo_likelihood(members: DataFrame, fields: DataFrame, couplings: DataFrame) -> DataFrame:
     """(team_id, pll): Σ_i ln P(s_i | rest).  Features without a coupling to the team share one sum, so a team has a row for
-    each feature that it touches, not for the vocabulary."""
+    each feature that it touches, not for the vocabulary.
+
+    A member touches itself as well, without a coupling, so one grouping has both: members that are dealt by team meet a short
+    model and are summed where they are.
+    """
     soft = lambda z: F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z)))
     h = fields.select("feature", "h")
     base = h.agg(F.sum(soft(F.col("h"))).alias("base_"))
-    own = members.join(h, "feature").select("team_id", "feature")
-    pull = own.toDF("team_id", "j").join(mirrored(couplings, "coupling"), "j").groupBy("team_id", F.col("i").alias("feature")).agg(F.sum("coupling").alias("pull"))
-    both = own.withColumn("on_", F.lit(1)).join(pull, ["team_id", "feature"], "full").fillna(0, ["on_"]).fillna(0.0, ["pull"]).join(h, "feature")
+    known = fields.select(F.col("feature").alias("j"))
+    touch = mirrored(couplings, "coupling").join(known, "j", "left_semi").select("j", "i", "coupling", F.lit(0).alias("on_"))
+    touch = touch.unionByName(known.select("j", F.col("j").alias("i"), F.lit(0.0).alias("coupling"), F.lit(1).alias("on_")))
+    met = members.select("team_id", F.col("feature").alias("j")).join(touch, "j")
+    both = met.groupBy("team_id", "i").agg(F.sum("coupling").alias("pull"), F.max("on_").alias("on_")).join(h.toDF("i", "h"), "i")
     z = F.col("h") + F.col("pull")
     sums = both.groupBy("team_id").agg(F.sum(F.when(F.col("on_") == 1, z).otherwise(0.0) - soft(z) + soft(F.col("h"))).alias("d_"))
     return sums.crossJoin(F.broadcast(base)).select("team_id", (F.col("d_") - F.col("base_")).alias("pll"))

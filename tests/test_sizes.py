@@ -50,6 +50,11 @@ def test_pairs_meet_a_short_model_where_they_are(spark):
     assert len(_shuffles(df)) == 3 and "SortMergeJoin [i" not in _plan(df)
 
 
+def test_pseudo_likelihood_sums_each_team_where_it_is(spark):
+    """g9: rows of a team and a touched feature are not shuffled."""
+    assert len(_shuffles(registry.QUERIES["g9_pseudo_likelihood"](spark, SF))) == 3
+
+
 def test_sites_of_many_teams_against_plain_python(spark):
     """e7: one pass over the teams in place of a search for teams alike; the same choice as site by site."""
     rng = np.random.default_rng(11)
