@@ -5,6 +5,10 @@ Orders over whole tables go through ``running_sums`` (stretches of values), neve
 
 from __future__ import annotations
 
+from hashlib import md5
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,14 +89,31 @@ def random_split(rows: DataFrame, key: str, share: float) -> DataFrame:
     return hashed.join(run, "u_").crossJoin(F.broadcast(size)).select(*rows.columns, (F.col("below_") < F.col("size_")).alias("test"))
 
 
-def shuffled_within(rows: DataFrame, event: str, key: str, value: str, replicates: int) -> DataFrame:
-    """(replicate, key, value): each event's values dealt anew among its rows, by hash."""
-    many = rows.select(event, key, value, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
-    by = Window.partitionBy("replicate", event)
-    to = many.select("replicate", event, key, F.row_number().over(by.orderBy(key)).alias("k_"))
-    draw = F.md5(F.concat_ws("|", F.col("replicate").cast("string"), F.col(key).cast("string")))
-    out = many.select("replicate", event, F.col(value).alias("dealt"), F.row_number().over(by.orderBy(draw)).alias("k_"))
-    return to.join(out, ["replicate", event, "k_"]).select("replicate", key, "dealt")
+def dealt_correlations(rows: DataFrame, event: str, key: str, x: str, y: str, replicates: int) -> DataFrame:
+    """(replicate, r): correlation of ``x`` with ``y`` dealt anew among each event's rows: in order of ``key`` they take the values in order of a hash.
+
+    ``key`` is unique.  Rows are shuffled once, by event, and copied for no replicate: means and deviations stay as they are, so an event
+    gives a sum of products for each.  An event's numbers stand in one task.
+    """
+    known = rows.where(F.col(event).isNotNull() & F.col(key).isNotNull() & F.col(x).isNotNull() & F.col(y).isNotNull())
+    c = [F.avg(x).alias("x_"), F.avg(y).alias("y_"), (F.count("*") * F.stddev_pop(x) * F.stddev_pop(y)).alias("d_")]
+    whole = known.agg(*c)
+    name, runs = F.col(key).cast("string").alias("name_"), [f"{r}|".encode() for r in range(1, replicates + 1)]
+    centred = known.crossJoin(F.broadcast(whole)).select(event, key, name, (F.col(x) - F.col("x_")).alias("x_"), (F.col(y) - F.col("y_")).alias("y_"))
+
+    def work(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values(key)
+        xs, ys, names = own["x_"].to_numpy(), own["y_"].to_numpy(), [n.encode() for n in own["name_"]]
+        sums = []
+        for run in runs:
+            draw = np.frombuffer(b"".join([md5(run + n).digest() for n in names]), ">u8").reshape(-1, 2)
+            sums.append(float(xs @ ys[np.lexsort((draw[:, 1], draw[:, 0]))]))
+        return pd.DataFrame({"replicate": np.arange(1, len(runs) + 1, dtype=np.int32), "s_": sums})
+
+    # Events are few: a fixed number of tasks keeps them from being put together.
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sums = centred.repartition(tasks, event).groupBy(event).applyInPandas(work, "replicate int, s_ double")
+    return sums.groupBy("replicate").agg(F.sum("s_").alias("s_")).crossJoin(F.broadcast(whole)).select("replicate", F.when(F.col("d_") > 0, F.col("s_") / F.col("d_")).alias("r"))
 
 
 def bootstrap(rows: DataFrame, key: str, delta: str, replicates: int) -> DataFrame:

@@ -31,7 +31,7 @@ _PLACED = """pl AS (SELECT team_id, month, player, in_person, round(popularity +
 def _placed(s, d):
     placed = evaluation.placement(teams(s, d), "month", "placing")
     scores = base._scores(s, d).select("team_id", F.round("score", 6).alias("score"))
-    return placed.join(scores, "team_id", "left").select("team_id", "month", "player", "in_person", "score", "placement")
+    return placed.join(scores.hint("merge"), "team_id", "left").select("team_id", "month", "player", "in_person", "score", "placement")
 
 
 @query(

@@ -158,8 +158,11 @@ _RANKED = f"""{_PLACED}, kn AS (SELECT pl.team_id, pl.month, pl.player, score, p
 
 
 def _known(s, d):
-    more = base._scores(s, d).select("team_id", F.round("popularity", 6).alias("popularity"))
-    return stash(_placed(s, d).where("score IS NOT NULL AND placement IS NOT NULL").join(more, "team_id"), "known")
+    """Teams with a score and a placement; the model's scores are worked out once for both columns."""
+    placed = evaluation.placement(teams(s, d), "month", "placing").select("team_id", "month", "player", "in_person", "placement")
+    scores = base._scores(s, d).select("team_id", F.round("score", 6).alias("score"), F.round("popularity", 6).alias("popularity"))
+    known = placed.join(scores.hint("merge"), "team_id").where("score IS NOT NULL AND placement IS NOT NULL")
+    return stash(known.select("team_id", "month", "player", "in_person", "score", "placement", "popularity"), "known")
 
 
 @query("g16_pooled_spearman", f", {_RANKED} SELECT count(*) AS n, round(corr(rx, ry), 8) AS rho FROM rk")
@@ -191,9 +194,7 @@ def partial_spearman(s, d):
        a AS (SELECT r, month, team_id, score, row_number() OVER (PARTITION BY r, month ORDER BY team_id) AS k FROM m), b AS (SELECT r, month, placement, row_number() OVER (PARTITION BY r, month ORDER BY md5(r || '|' || team_id)) AS k FROM m)
        SELECT CAST(r AS INTEGER) AS replicate, round(corr(score, placement), 8) AS r FROM a JOIN b USING (r, month, k) GROUP BY r""")
 def permutation_null(s, d):
-    rows = _known(s, d)
-    dealt = statistics.shuffled_within(rows, "month", "team_id", "placement", 20)
-    return dealt.join(rows.select("team_id", "score"), "team_id").groupBy("replicate").agg(F.round(F.corr("score", "dealt"), 8).alias("r"))
+    return _rounded(statistics.dealt_correlations(_known(s, d), "month", "team_id", "score", "placement", 20), 8, "r")
 
 
 @query("g21_windowed_icc", f""", {_RANKED}, {_MONTHS}, k AS (SELECT month, row_number() OVER (ORDER BY month) - 1 AS k, count(*) OVER () AS c FROM mo), wd AS (SELECT month, least(k // greatest(c // 4, 1), 3) AS w FROM k),

@@ -1,12 +1,14 @@
 """What must not depend on a table's file size: no broadcast of tables that grow with the teams, no shuffle of what is met already."""
 
+import hashlib
 import re
 from pathlib import Path
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from lineupkit.operators import completion, corpus
+from lineupkit.operators import completion, corpus, statistics
 from lineupkit.plans import registry
 from lineupkit.runtime import dealt, stash, table_bytes
 
@@ -55,6 +57,26 @@ def test_pseudo_likelihood_sums_each_team_where_it_is(spark):
     assert len(_shuffles(registry.QUERIES["g9_pseudo_likelihood"](spark, SF))) == 3
 
 
+def test_dealt_correlations_against_plain_python_without_copies(spark):
+    rng = np.random.default_rng(3)
+    rows = [(f"e{k % 3}", k * 7 - 50, float(rng.normal()), float(rng.normal())) for k in range(90)]
+    loose = [(None, 901, 1.0, 2.0), ("e1", 902, None, 2.0), ("e1", 903, 1.0, None)]
+    frame = spark.createDataFrame(rows + loose, "event string, key long, x double, y double")
+    got = statistics.dealt_correlations(frame, "event", "key", "x", "y", 4)
+    plain = {}
+    for r in range(1, 5):
+        xs, ys = [], []
+        for e in ("e0", "e1", "e2"):
+            own = sorted(row[1:] for row in rows if row[0] == e)
+            xs += [x for _, x, _ in own]
+            ys += [y for _, _, y in sorted(own, key=lambda row: hashlib.md5(f"{r}|{row[0]}".encode()).hexdigest())]
+        plain[r] = np.corrcoef(xs, ys)[0, 1]
+    assert "Generate" not in _plan(got) and len([x for x in _shuffles(got) if "event" in x]) == 1
+    assert dict(map(tuple, got.collect())) == pytest.approx(plain)
+    same = statistics.dealt_correlations(frame.withColumn("y", F.lit(1.0)), "event", "key", "x", "y", 1)
+    assert [r.r for r in same.collect()] == [None]
+
+
 def test_sites_of_many_teams_against_plain_python(spark):
     """e7: one pass over the teams in place of a search for teams alike; the same choice as site by site."""
     rng = np.random.default_rng(11)
