@@ -179,7 +179,8 @@ def log_odds_model(members: DataFrame, weights: DataFrame, support: int = 10) ->
     m = marginals(members, weights)
     fields = m.where("m > 0 AND m < 1").select("feature", "m", F.ln(F.col("m") / (1 - F.col("m"))).alias("h"))
     total = weights.agg(F.sum("w").alias("total_"))
-    pairs = weighed(team_pairs(members), weights).groupBy("i", "j").agg(F.count("*").alias("n"), F.sum("w").alias("sum_"))
+    # Teams are merged with their weights before their pairs are formed: there are fewer of them.
+    pairs = weighed(rosters(members), weights).select("w", F.inline(pairs_of(F.col("roster"))).alias("i", "j")).groupBy("i", "j").agg(F.count("*").alias("n"), F.sum("w").alias("sum_"))
     pairs = _beside(pairs.where(F.col("n") >= support), total)
     both = pairs.join(fields.select("feature", "m").toDF("i", "mi"), "i").join(fields.select("feature", "m").toDF("j", "mj"), "j")
     return fields, both.select("i", "j", F.ln(F.col("sum_") / F.col("total_") / (F.col("mi") * F.col("mj"))).alias("coupling"))
