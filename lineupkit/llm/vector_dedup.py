@@ -1,6 +1,13 @@
-"""Operator 1: near-duplicate embeddings by navigable small-world graphs, one a shard.
+"""Operator 1: near-duplicate embeddings by navigable small-world graphs.
 
-Equal vectors are one node with a multiplicity.  Every node queries every shard's graph.  A query whose
+Equal vectors are one node with a multiplicity.  A small-world graph of pivots (nodes drawn by hash, at most
+``max_pivots``, none linked with another) is the upper layer: every node searches it and hangs on its ``homes`` nearest
+pivots.  Nodes that share a pivot meet in blocks, a pair where it shares its first one; so a node meets a few thousand
+others, however many there are, until ``max_pivots`` is reached.  A pivot with many nodes is cut into tiles, and each pair
+of tiles is a group of its own.  An audit holds the homes against brute force: a sample of nodes drawn by hash is compared
+with all nodes, and every link of theirs must share a pivot; else four times the homes are taken.
+
+Where that fails too, every node queries the graphs of all shards.  A query whose
 beam is full of links is compared with the whole shard in blocks instead; and a
 shard's beam is widened until an audit passes: against brute force over a sample of its
 queries, drawn by hash, all links and nine tenths of the nearest vectors must be found.  A shard whose audit never
@@ -9,7 +16,8 @@ candidates are computed anew in double precision.  A task counts its links and k
 forest of them in arrays, never the pairs; forests are united by connected components.
 
 The number of shards is the parallelism at hand, or what ``shard_rows`` asks for: a shard of the graph
-must fit a task.  Queries come in blocks of ``block_rows``.
+must fit a task.  Queries come in blocks of ``block_rows``.  The driver holds the pivots and the audit's sample of each vector
+length, and the number of nodes of each pivot.
 
 Nulls and edge cases: vectors that are null, zero or hold null or non-finite components link with
 nothing and are components of their own; only vectors of equal length are compared; a null vec_id
@@ -20,18 +28,214 @@ and get a result row each; an empty table gives no rows; other columns are ignor
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lineupkit.llm.components import components
 from lineupkit.llm.hnsw import Hnsw
 from lineupkit.llm.vectors import against_shards, hashes, is_valid, matrix
-from lineupkit.runtime import stash, table
+from lineupkit.runtime import drop_stash, local_table, stash, table
 
 _FOUND = "u long, v long, links long"
+#: Single precision is off by less than this; what lies closer to the threshold is worked out anew.
+_SLACK = 1e-4
+
+
+def _found(u, v, links) -> pa.RecordBatch:
+    columns = [pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(links, pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, names=["u", "v", "links"])
+
+
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    return (vectors / np.sqrt((vectors * vectors).sum(1))[:, None]).astype(np.float32)
+
+
+class _Layer(NamedTuple):
+    """The upper layer for one vector length: its pivots' graph, their first number, and the audit's sample."""
+
+    graph: Hnsw
+    first: int
+    homes: int
+    ids: np.ndarray
+    vectors: np.ndarray
+
+    def hang(self, vectors: np.ndarray, beam: int) -> np.ndarray:
+        """The pivots that vectors hang on, nearest first (-1: none)."""
+        near, _ = self.graph.search(_unit(vectors), max(beam, 2 * self.homes))
+        near = near[:, : self.homes]
+        return np.where(near >= 0, near + self.first, -1)
+
+
+def _apart(vectors: np.ndarray, threshold: float) -> np.ndarray:
+    """Unit vectors, without those linked with an earlier one: a dense group would spread over many pivots."""
+    kept = np.zeros((0, vectors.shape[1]), np.float32)
+    for at in range(0, len(vectors), 256):
+        some = vectors[at : at + 256]
+        some = some[~(some @ kept.T >= threshold).any(1)] if len(kept) else some
+        near = np.tril(some @ some.T >= threshold, -1)
+        free = np.ones(len(some), bool)
+        for k in np.flatnonzero(near.any(1)):
+            free[k] = not (near[k] & free).any()
+        kept = np.concatenate([kept, some[free]])
+    return kept
+
+
+def _share(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether rows of homes have one in common (-1 is none)."""
+    out = np.zeros(len(a), bool)
+    for at in range(0, len(a), 65_536):
+        x, y = a[at : at + 65_536], b[at : at + 65_536]
+        for k in range(x.shape[1]):
+            out[at : at + 65_536] |= ((x[:, k : k + 1] == y) & (x[:, k : k + 1] >= 0)).any(1)
+    return out
+
+
+def _upper_layers(nodes: DataFrame, threshold: float, homes: int, audit: int, list_rows: int, max_pivots: int) -> dict[int, _Layer]:
+    """By vector length: the graph of its pivots, and the sample that the audit asks about."""
+    counts = {r.dim: r.n for r in nodes.groupBy(F.size("e").alias("dim")).agg(F.count("*").alias("n")).collect()}
+    wanted = {d: min(max_pivots, n * homes // list_rows) for d, n in counts.items()}
+    wanted = {d: k if k > 2 * homes else 0 for d, k in wanted.items()}  # few nodes meet all in one place
+
+    def drawn(salt: str, most: dict[int, int]) -> pa.Table:
+        whole = 1 << 40
+        share = F.create_map(*[F.lit(x) for d, k in most.items() for x in (d, min(whole, -(-whole * k // counts[d])))])
+        place = F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(whole))
+        rows = nodes.select("id", "e", F.size("e").alias("dim"), place.alias("place")).where(F.col("place") < share[F.col("dim")])
+        return rows.toArrow().sort_by([("place", "ascending"), ("id", "ascending")])
+
+    if not counts:
+        return {}
+    pivots, sample = drawn("pivot", wanted), drawn("audit", dict.fromkeys(counts, audit))
+    out, first = {}, 0
+    for d in sorted(counts):
+        some = pivots.filter(pc.equal(pivots["dim"], d)).combine_chunks()
+        asked = sample.filter(pc.equal(sample["dim"], d)).combine_chunks()
+        vectors = [matrix(x["e"].combine_chunks()) if x.num_rows else np.zeros((0, d)) for x in (some, asked)]
+        apart = _apart(_unit(vectors[0]), threshold)
+        graph = Hnsw(apart if len(apart) > homes else apart[:0])
+        out[d] = _Layer(graph, first, homes, np.asarray(asked["id"].combine_chunks()), vectors[1])
+        first += max(1, len(graph.x))
+    return out
+
+
+def _hung(nodes: DataFrame, layers: dict[int, _Layer], threshold: float, beam: int) -> DataFrame:
+    """``nodes`` with their homes, and how many links with the audit's sample share none (written)."""
+    asked = {d: layer.hang(layer.vectors, beam) if len(layer.ids) and len(layer.graph.x) else None for d, layer in layers.items()}
+    shared = nodes.sparkSession.sparkContext.broadcast((layers, asked))
+
+    def hang(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        layers, asked = shared.value
+        for whole in batches:
+            dims = np.asarray(pc.list_value_length(whole.column("e")))
+            for d in np.unique(dims).tolist():
+                batch, layer = whole.filter(pa.array(dims == d)), layers[d]
+                ids, vectors = np.asarray(batch.column("id")), matrix(batch.column("e"))
+                missed = np.zeros(len(ids), np.int64)
+                if len(layer.graph.x):
+                    homes = layer.hang(vectors, beam)
+                else:
+                    homes = np.full((len(ids), 1), layer.first, np.int64)
+                if asked[d] is not None:
+                    norms = [np.sqrt((x * x).sum(1)) for x in (vectors, layer.vectors)]
+                    near = vectors @ layer.vectors.T / (norms[0][:, None] * norms[1]) >= threshold
+                    row, q = np.nonzero(near & (ids[:, None] != layer.ids))
+                    missed = np.bincount(row[~_share(homes[row], asked[d][q])], minlength=len(ids))
+                columns = [*batch.columns, pa.array(list(homes), pa.list_(pa.int64())), pa.array(missed, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "homes", "missed"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in nodes.schema.fields)
+    out = stash(nodes.mapInArrow(hang, f"{kinds}, homes array<long>, missed long"), "vector-homes")
+    shared.destroy()
+    return out
+
+
+class _Meeting:
+    """Nodes of one pivot, or of two of its tiles, compared in blocks: links counted, a spanning forest kept."""
+
+    def __init__(self, rows: pa.Table, home: int, threshold: float) -> None:
+        self.home, self.threshold = home, threshold
+        self.ids, self.weight = np.asarray(rows["id"].combine_chunks()), np.asarray(rows["n"].combine_chunks())
+        self.vectors = matrix(rows["e"].combine_chunks())
+        self.norms = np.sqrt((self.vectors * self.vectors).sum(1))
+        self.unit = (self.vectors / self.norms[:, None]).astype(np.float32)
+        homes = matrix(rows["homes"].combine_chunks()).astype(np.int64)
+        self.earlier = np.where(homes < home, homes, -1)
+        self.links = np.zeros(len(self.ids))
+        self.parent = np.arange(len(self.ids))
+        self.edges: list[np.ndarray] = []
+
+    def compare(self, left: np.ndarray, right: np.ndarray) -> None:
+        """Pairs of ``left`` and ``right`` (places of rows); where they are the same, each pair once."""
+        alike = left is right
+        for at in range(0, len(left), 512):
+            some = left[at : at + 512]
+            sims = self.unit[some] @ self.unit[right].T
+            if sims.max(initial=-2) < self.threshold - _SLACK and not alike:
+                continue
+            r, c = np.nonzero(sims >= self.threshold - _SLACK)
+            if alike:
+                later = c > r + at
+                r, c = r[later], c[later]
+            a, b = some[r], right[c]
+            unsure = np.flatnonzero(sims[r, c] < self.threshold + _SLACK)
+            if len(unsure):
+                u, v = a[unsure], b[unsure]
+                dots = (self.vectors[u] * self.vectors[v]).sum(1)
+                good = np.ones(len(a), bool)
+                good[unsure] = dots / (self.norms[u] * self.norms[v]) >= self.threshold
+                a, b = a[good], b[good]
+            if len(a):
+                own = ~_share(self.earlier[a], self.earlier[b])  # the pair meets at its first common pivot alone
+                self._add(a[own], b[own])
+
+    def _add(self, a: np.ndarray, b: np.ndarray) -> None:
+        n = len(self.ids)
+        self.links += np.bincount(a, self.weight[b], n) + np.bincount(b, self.weight[a], n)
+        while True:
+            while ((up := self.parent[self.parent]) != self.parent).any():
+                self.parent = up
+            x, y = self.parent[a], self.parent[b]
+            apart = np.flatnonzero(x != y)
+            if not len(apart):
+                return
+            a, b = a[apart], b[apart]
+            low, high = np.minimum(x[apart], y[apart]), np.maximum(x[apart], y[apart])
+            heads, pick = np.unique(high, return_index=True)
+            self.parent[heads] = low[pick]
+            self.edges.append(np.column_stack([self.ids[a[pick]], self.ids[b[pick]]]))
+
+    def rows(self) -> pa.Table:
+        some = np.flatnonzero(self.links)
+        edges = np.concatenate([np.zeros((0, 2), np.int64), *self.edges])
+        counted = _found(self.ids[some], [None] * len(some), self.links[some].astype(np.int64))
+        return pa.Table.from_batches([counted, _found(edges[:, 0], edges[:, 1], np.zeros(len(edges), np.int64))])
+
+
+def _met(hung: DataFrame, small: str, threshold: float, tile_rows: int) -> DataFrame:
+    """Links and forests (``_FOUND``) of all pivots' nodes."""
+    each = hung.select("id", "n", F.col("e").cast(small).alias("e"), "homes", F.explode("homes").alias("home")).where("home >= 0")
+    sizes = each.groupBy("home").agg(F.count("*").alias("rows")).where(F.col("rows") > tile_rows).collect()
+    # At most one short row a pivot: a proven bound for the broadcast.
+    cut = local_table(hung.sparkSession, [(r.home, -(-r.rows // tile_rows)) for r in sizes], "home long, tiles long")
+    each = each.join(F.broadcast(cut), "home", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    each = each.withColumn("tile", F.pmod(F.xxhash64(F.lit("tile"), "id"), "tiles"))
+    each = each.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    each = each.withColumn("low", F.least("tile", "other")).withColumn("high", F.greatest("tile", "other"))
+
+    def meet(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        home, low, high = (k.as_py() for k in key)
+        meeting = _Meeting(rows, home, threshold)
+        tile = np.asarray(rows["tile"].combine_chunks())
+        left = np.flatnonzero(tile == low)
+        meeting.compare(left, left if low == high else np.flatnonzero(tile == high))
+        return meeting.rows()
+
+    return each.select("home", "low", "high", "tile", "id", "n", "e", "homes").groupBy("home", "low", "high").applyInArrow(meet, _FOUND)
 
 
 class _Search:
@@ -111,7 +315,7 @@ class _Search:
     def __call__(self, batch: pa.RecordBatch | None) -> Iterator[pa.RecordBatch]:
         if batch is None:
             edges = np.concatenate([np.zeros((0, 2), np.int64), *self.edges])
-            yield self._rows(edges[:, 0], edges[:, 1], np.zeros(len(edges), np.int64))
+            yield _found(edges[:, 0], edges[:, 1], np.zeros(len(edges), np.int64))
             return
         if self.graph is None:
             return
@@ -134,12 +338,7 @@ class _Search:
         # A beam that is full of links may miss some: such a query meets every vector of the shard, in blocks.
         if len(todo):
             self._compare(links, ids, vectors, norms, todo)
-        yield self._rows(ids, [None] * len(ids), links)
-
-    @staticmethod
-    def _rows(u, v, links) -> pa.RecordBatch:
-        columns = [pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(links, pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, names=["u", "v", "links"])
+        yield _found(ids, [None] * len(ids), links)
 
 
 def near_vectors(
@@ -149,8 +348,15 @@ def near_vectors(
     audit: int = 256,
     shard_rows: int = 200_000,
     block_rows: int = 1_000_000,
+    homes: int = 8,
+    list_rows: int = 1_024,
+    max_pivots: int = 16_384,
+    tile_rows: int = 4_096,
 ) -> DataFrame:
-    """vec_id, n_links, component_id and kept of every row of ``vectors`` (vec_id, embedding)."""
+    """vec_id, n_links, component_id and kept of every row of ``vectors`` (vec_id, embedding).
+
+    ``list_rows`` is how many nodes a pivot has on average, while there are fewer than ``max_pivots``.
+    """
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
     usable = F.col("vec_id").isNotNull() & is_valid(F.col("e"))
@@ -158,12 +364,21 @@ def near_vectors(
     nodes = keyed.where("usable_").groupBy("ha_", "hb_").agg(F.min("vec_id").alias("low"), F.count("*").alias("n"), F.first("e").alias("e"))
     # A number of its own for every distinct vector, fixed by being written.
     nodes = stash(nodes.withColumn("id", F.monotonically_increasing_id()), "vector-nodes")
-    count = nodes.count()
-    shards = max(spark.sparkContext.defaultParallelism, -(-count // shard_rows))
-    blocks = max(1, -(-count // block_rows))
     both = nodes.select("id", "e", "n")
-    found = against_shards(both, both, shards, blocks, lambda s: _Search(s, threshold, beam, audit), _FOUND)
-    found = stash(found, "vector-links")
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    found = None
+    for more in (homes, 4 * homes):
+        hung = _hung(both, _upper_layers(both, threshold, more, audit, list_rows, max_pivots), threshold, beam)
+        if not hung.agg(F.sum("missed")).first()[0]:
+            found = stash(_met(hung, kind if kind == "array<float>" else "array<double>", threshold, tile_rows), "vector-links")
+            drop_stash(hung)
+            break
+        drop_stash(hung)
+    if found is None:
+        count = nodes.count()
+        shards = max(spark.sparkContext.defaultParallelism, -(-count // shard_rows))
+        blocks = max(1, -(-count // block_rows))
+        found = stash(against_shards(both, both, shards, blocks, lambda s: _Search(s, threshold, beam, audit), _FOUND), "vector-links")
 
     reach = components(found.where("v IS NOT NULL").select("u", "v"))
     links = found.where("v IS NULL").groupBy("u").agg(F.sum("links").alias("links"))

@@ -131,3 +131,27 @@ def test_op1_equals_sql(spark, duck):
 
     got = sorted(map(tuple, QUERIES["op1_hnsw_dedup"](spark, "/root/testdata/sf0.001").select("vec_id", "n_links", "component_id", "kept").collect()))
     assert got == sorted(duck.sql(SQL["op1_hnsw_dedup"]).fetchall())
+
+
+def test_nodes_meet_only_those_of_their_pivots(spark, monkeypatch):
+    """Links of an even cloud, of its near copies and of a dense group cut into tiles, without asking every shard."""
+    from lineupkit.llm import vector_dedup
+
+    def asked(*_):
+        raise AssertionError("every vector asks every shard")
+
+    monkeypatch.setattr(vector_dedup, "against_shards", asked)
+    rng = np.random.default_rng(6)
+    even = rng.normal(size=(4000, 48))
+    copies = even[:800].repeat(2, 0) + rng.normal(size=(1600, 48)) * 0.1
+    dense = rng.normal(size=48) + rng.normal(size=(1400, 48)) * 0.1
+    x = np.concatenate([even, copies, dense]).astype(np.float32).astype(float)
+    x = x[rng.permutation(len(x))]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(df, list_rows=256, tile_rows=500).collect()}
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    linked = unit @ unit.T >= 0.9
+    first = np.arange(len(x))
+    while ((low := np.where(linked, first, len(x)).min(1)) != first).any():
+        first = low
+    assert got == {k: (n - 1, c) for k, (n, c) in enumerate(zip(linked.sum(1).tolist(), first.tolist(), strict=True))}
