@@ -77,7 +77,7 @@ def shingle_sets(hashes: np.ndarray, counts: np.ndarray, n: int) -> list[np.ndar
     """Sorted distinct shingles of ``n`` words for each text; fewer words are one shingle."""
     odd = np.uint64(0xD6E8FEB86659FD93)
     joined = hashes.copy()
-    for k in range(1, n):
+    for k in range(1, min(n, len(joined))):  # all texts together may have fewer words than a shingle
         joined[: len(joined) - k] = joined[: len(joined) - k] * odd + hashes[k:]
     joined = mix64(joined)
     out, at = [], 0

@@ -223,6 +223,19 @@ def test_shingles_cross_piece_borders(monkeypatch):
     assert [s.tolist() for s in batch_sets(texts, 3)] == whole and list(map(len, whole)) == [3, 1, 0, 3]
 
 
+def test_fewer_words_than_a_shingle(spark):
+    """A few short texts alone in a piece: their sets are those they have beside longer texts."""
+    import pyarrow as pa
+
+    texts = ["a", "a b", "a b c", "A\tb c d", "", None]
+    beside = [s.tolist() for s in batch_sets(pa.array([*texts, "some more words that fill the piece"]), 5)][:-1]
+    assert [next(batch_sets(pa.array([t], pa.string()), 5)).tolist() for t in texts] == beside
+    assert [s.tolist() for s in batch_sets(pa.array(["a b", "", "c"]), 5)][1:] == [[], next(batch_sets(pa.array(["c"]), 5)).tolist()]
+    rows = spark.createDataFrame([(1, "a b"), (2, "A B"), (3, "c d e")], "doc_id long, text string").repartition(3, "doc_id")
+    got = sorted(map(tuple, jaccard_join.near_duplicates(rows, 5, 80).collect()))
+    assert got == [(1, 1, 1), (2, 1, 1), (3, 1, 3)]
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(45)] + [(k, k + 1) for k in range(100, 130)]
